@@ -70,7 +70,7 @@ def neighbours(places: DataFrame, radius_m: float, rows_per_block: int = _ROWS_P
     probe = probe.join(blocks, cells).select(
         "region_name", "name", "lat", "lon", *cells,
         F.pmod("h", "blocks").cast("int").alias("p"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("b"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("b"),
     )
     d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) * 1000
     return (

@@ -20,14 +20,14 @@ def rnd(df, digits: int, *cols: str):
 
 
 def stats_rounded(df):
-    """Sums have two decimals; means are compared to four."""
+    """Sums have two decimals; means are compared to six."""
     total = [c for c in ("avg_sum", "total_sum") if c in df.columns]
-    return rnd(rnd(df, 4, "avg_value"), 2, *total)
+    return rnd(rnd(df, 6, "avg_value"), 2, *total)
 
 
 def sql_stats(keys: str, view: str, total: str = "avg_sum", count: str = "avg_count", tail: str = "") -> str:
     return (
-        f"SELECT {keys}, min_value, max_value, round(avg_value, 4) AS avg_value, round({total}, 2) AS {total}, "
+        f"SELECT {keys}, min_value, max_value, round(avg_value, 6) AS avg_value, round({total}, 2) AS {total}, "
         f"cast({count} AS bigint) AS {count} FROM {view} {tail}"
     )
 
@@ -60,12 +60,12 @@ def p4(t):
     return rows.select("event_id", filters.on_day("time", DAY).alias("on_day"))
 
 
-@query("p5", """SELECT * FROM readings WHERE region_name IN ('ASIA', 'EUROPE')
-  AND macrozone_name IN (SELECT name FROM macrozones WHERE type = 'indoor')""")
+@query("p5", """SELECT * FROM readings WHERE region_name IN ('AFRICA', 'ASIA', 'EUROPE')
+  AND macrozone_name IN (SELECT name FROM macrozones WHERE type = 'outdoor')""")
 def p5(t):
-    rows = filters.member_of(t.readings, ["ASIA", "EUROPE"], "region_name")
-    indoor = t.macrozones.filter("type = 'indoor'").select(F.col("name").alias("macrozone_name"))
-    return filters.member_of(rows, indoor, "macrozone_name")
+    rows = filters.member_of(t.readings, ["AFRICA", "ASIA", "EUROPE"], "region_name")
+    outdoor = t.macrozones.filter("type = 'outdoor'").select(F.col("name").alias("macrozone_name"))
+    return filters.member_of(rows, outdoor, "macrozone_name")
 
 
 @query("p6", """SELECT region_name, macrozone_name, name FROM zones
@@ -134,9 +134,9 @@ def u3(t):
 
 
 _GRAINS = (
-    "SELECT time, region_name, macrozone_name, zone_name, type, min_value, max_value, round(avg_value, 4) AS avg_value, "
+    "SELECT time, region_name, macrozone_name, zone_name, type, min_value, max_value, round(avg_value, 6) AS avg_value, "
     "round(avg_sum, 2) AS avg_sum, avg_count FROM zone_q UNION ALL "
-    "SELECT time, region_name, macrozone_name, '' AS zone_name, type, min_value, max_value, round(avg_value, 4) AS avg_value, "
+    "SELECT time, region_name, macrozone_name, '' AS zone_name, type, min_value, max_value, round(avg_value, 6) AS avg_value, "
     "round(avg_sum, 2) AS avg_sum, avg_count FROM macro_q"
 )
 
@@ -205,7 +205,12 @@ def f6(t):
 
 _BOX_LON = f"greatest(lon0, least(lon0 + 0.02e0, {LON}))"
 _BOX_LAT = f"greatest(lat0, least(lat0 + 0.02e0, {LAT}))"
-_BOX = _HAVERSINE.format(la1=LAT, lo1=LON, la2=_BOX_LAT, lo2=_BOX_LON) + " * 1000"
+# nearest point of each side of the square; 0 inside
+_SIDES = [(_BOX_LON, "lat0"), (_BOX_LON, "(lat0 + 0.02e0)"), ("lon0", _BOX_LAT), ("(lon0 + 0.02e0)", _BOX_LAT)]
+_BOX = (
+    f"(CASE WHEN {LON} BETWEEN lon0 AND lon0 + 0.02e0 AND {LAT} BETWEEN lat0 AND lat0 + 0.02e0 THEN 0 ELSE 1000 * least("
+    + ", ".join(_HAVERSINE.format(la1=LAT, lo1=LON, la2=la, lo2=lo) for lo, la in _SIDES) + ") END)"
+)
 
 
 @query("f7", f"SELECT name, round({_BOX}, 1) AS distance_m FROM macrozones")
@@ -229,18 +234,18 @@ def f9(t):
     )
 
 
-@query("f10", """SELECT event_id, round((value - k) / k * 100, 4) AS change FROM ev WHERE k <> 0""")
+@query("f10", """SELECT event_id, round((value - k) / k * 100, 8) AS change FROM ev WHERE k <> 0""")
 def f10(t):
     change = scalars.percent_change(F.col("value"), F.col("k"))
-    return t.events.select("event_id", F.round(change, 4).alias("change")).filter("change IS NOT NULL")
+    return t.events.select("event_id", F.round(change, 8).alias("change")).filter("change IS NOT NULL")
 
 
-@query("f11", """SELECT event_id, round(value / nullif(k, 0), 4) AS or_null,
-  CASE WHEN k = 0 THEN 0 ELSE round(value / k, 4) END AS or_zero FROM ev""")
+@query("f11", """SELECT event_id, round(value / nullif(k, 0), 10) AS or_null,
+  CASE WHEN k = 0 THEN 0 ELSE round(value / k, 10) END AS or_zero FROM ev""")
 def f11(t):
     v, k = F.col("value"), F.col("k")
     return t.events.select(
-        "event_id", F.round(scalars.ratio_or_null(v, k), 4).alias("or_null"), F.round(scalars.ratio_or_zero(v, k), 4).alias("or_zero")
+        "event_id", F.round(scalars.ratio_or_null(v, k), 10).alias("or_null"), F.round(scalars.ratio_or_zero(v, k), 10).alias("or_zero")
     )
 
 
@@ -289,25 +294,25 @@ def t1(t):
     return latest.latest_per_key(t.readings, ["sensor_id"], 50, ("type",))
 
 
-_SHOWN = "time, type, min_value, max_value, round(avg_value, 4) AS avg_value"
+_SHOWN = "time, type, min_value, max_value, round(avg_value, 6) AS avg_value"
 
 
 @query("t2", per_key_sql("region_name, macrozone_name, zone_name", "macrozone_name, zone_name, " + _SHOWN, "zone_q", 50, "type"))
 def t2(t):
     rows = latest.latest_per_key(rollup.zone_stats(t.readings), ["region_name", "macrozone_name", "zone_name"], 50, ("type",))
-    return rnd(rows.select("macrozone_name", "zone_name", *endpoints._STATS), 4, "avg_value")
+    return rnd(rows.select("macrozone_name", "zone_name", *endpoints._STATS), 6, "avg_value")
 
 
 @query("t3", per_key_sql("region_name, macrozone_name", "macrozone_name, " + _SHOWN, "macro_stats", 50, "type"))
 def t3(t):
     rows = latest.latest_per_key(t.macro_stats, ["region_name", "macrozone_name"], 50, ("type",))
-    return rnd(rows.select("macrozone_name", *endpoints._STATS), 4, "avg_value")
+    return rnd(rows.select("macrozone_name", *endpoints._STATS), 6, "avg_value")
 
 
 @query("t4", f"SELECT region_name, {_SHOWN} FROM region_q ORDER BY time DESC, region_name, type LIMIT 50")
 def t4(t):
     regions = rollup.region_stats(rollup.macrozone_stats(rollup.zone_stats(t.readings)))
-    return rnd(latest.latest(regions, 50, ("region_name", "type")).select("region_name", *endpoints._STATS), 4, "avg_value")
+    return rnd(latest.latest(regions, 50, ("region_name", "type")).select("region_name", *endpoints._STATS), 6, "avg_value")
 
 
 @query("t5", "SELECT * FROM outbox WHERE status = 'pending' ORDER BY time, sensor_id, type LIMIT 50")

@@ -180,3 +180,23 @@ class Tables:
     def received(self) -> DataFrame:
         """Events that got through: 15 percent are lost."""
         return self.located.filter("k >= 15")
+
+    # ---- streams ----------------------------------------------------------------
+
+    def event_stream(self) -> DataFrame:
+        """The events as a stream; the pattern fits a single file as well as a folder of files."""
+        schema = self.base("events").schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/events.parquet*")
+
+    def reading_stream(self) -> DataFrame:
+        """Readings as a stream with a TIMESTAMP event time, placed by a stream-static join."""
+        home = F.floor(F.col("user_id") / 15) * 10
+        zone = F.concat(F.lit("zone-"), (F.col("user_id") % 3).cast("string"))
+        return (
+            self.event_stream().withColumn("home", home)
+            .join(self.placed, F.col("home") == F.col("s_suppkey"))
+            .select(
+                "region_name", "macrozone_name", zone.alias("zone_name"), F.col("user_id").cast("string").alias("sensor_id"),
+                F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("type"), "value", "event_id",
+            )
+        )

@@ -31,8 +31,8 @@ def joined(array: str, *cols: str):
     return F.array_join(F.transform(array, lambda e: F.concat_ws("|", *[e[c].cast("string") for c in cols])), ";").alias(array)
 
 
-def agg_text(expr: str, name: str) -> str:
-    return f"coalesce(string_agg({expr}, ';' ORDER BY {expr}), '') AS {name}"
+def agg_text(expr: str, name: str, order: str = "c.id") -> str:
+    return f"coalesce(string_agg({expr}, ';' ORDER BY {order}), '') AS {name}"
 
 
 # ---- J: joins ------------------------------------------------------------------
@@ -75,8 +75,8 @@ query("e11", f"SELECT region_name, macrozone_name, name, creation_time FROM zone
 _J4 = f"""SELECT r.r_name AS name, cast(0 AS bigint) AS page,
   (SELECT count(*) FROM macrozones m WHERE m.region_name = r.r_name) AS macrozones_count,
   (SELECT count(*) FROM region_hubs h WHERE h.region_name = r.r_name) AS hubs_count,
-  (SELECT {agg_text('m.name', 'x')} FROM macrozones m WHERE m.region_name = r.r_name) AS macrozones,
-  (SELECT {agg_text("h.id || '|' || h.service || '|' || strftime(h.last_seen, '%Y-%m-%d %H:%M:%S')", 'x')}
+  (SELECT {agg_text('m.name', 'x', 'm.name')} FROM macrozones m WHERE m.region_name = r.r_name) AS macrozones,
+  (SELECT {agg_text("h.id || '|' || h.service || '|' || strftime(h.last_seen, '%Y-%m-%d %H:%M:%S')", 'x', 'h.id')}
    FROM region_hubs h WHERE h.region_name = r.r_name) AS hubs
 FROM region r"""
 
@@ -98,10 +98,10 @@ def _children(table: str, cols: str, macro: str = "m.macrozone_name", zone: str
 
 _J5 = f"""SELECT m.region_name, m.name AS macrozone_name, round(m.lat, 9) AS lat, round(m.lon, 9) AS lon, m.creation_time,
   cast(0 AS bigint) AS page,
-  (SELECT {agg_text('c.name', 'x')} {_children('zones', '', 'm.name')}) AS zones,
+  (SELECT {agg_text('c.name', 'x', 'c.name')} {_children('zones', '', 'm.name')}) AS zones,
   (SELECT {agg_text("c.id || '|' || c.service", 'x')} {_children('macrozone_hubs', '', 'm.name')}) AS hubs,
-  (SELECT {agg_text("c.id || '|' || c.zone_name || '|' || c.service", 'x')} {_children('zone_hubs', '', 'm.name')}) AS zone_hubs,
-  (SELECT {agg_text("c.id || '|' || c.zone_name || '|' || c.type || '|' || c.reference", 'x')} {_children('device_sensors', '', 'm.name')}) AS sensors,
+  (SELECT {agg_text("c.id || '|' || c.zone_name || '|' || c.service", 'x', 'c.id, c.zone_name')} {_children('zone_hubs', '', 'm.name')}) AS zone_hubs,
+  (SELECT {agg_text("c.id || '|' || c.zone_name || '|' || c.type || '|' || c.reference", 'x', 'c.id, c.zone_name')} {_children('device_sensors', '', 'm.name')}) AS sensors,
   (SELECT count(*) {_children('device_sensors', '', 'm.name')}) AS sensors_count
 FROM macrozones m"""
 
@@ -296,7 +296,7 @@ def a4(t):
 
 
 @query("a5", """SELECT region_name, type, min(min_value) AS min_value, max(max_value) AS max_value,
-  round(sum(avg_sum) / sum(avg_count), 6) AS avg_value, round(sum(avg_sum), 2) AS avg_sum, count(*) AS avg_count,
+  round(cast(sum(avg_sum) AS double) / sum(avg_count), 6) AS avg_value, round(cast(sum(avg_sum) AS double), 2) AS avg_sum, count(*) AS avg_count,
   cast(sum(avg_count) AS bigint) AS total_count, TIMESTAMP '2001-01-01 00:00:00' AS time
 FROM (SELECT * REPLACE (cast(avg_sum AS decimal(18,2)) AS avg_sum) FROM macro_stats) WHERE time >= TIMESTAMP '2000-01-01' AND time < TIMESTAMP '2001-01-01' GROUP BY region_name, type""")
 def a5(t):

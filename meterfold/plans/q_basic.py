@@ -8,15 +8,19 @@ from meterfold.functions import geo, scalars, timeutil
 from meterfold.operators import analysis, catalog, filters, latest, rollup, sets, spatial
 from meterfold.plans import endpoints
 from meterfold.plans.fixtures import NOW
-from meterfold.plans.oracle import query
+from meterfold.plans.oracle import nudge, query
 
 LAT, LON, RADIUS = 31.0, -172.3, 150_000.0
 DAY = dt.date(2024, 1, 10)
 PERIOD = (dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20))
 
 
+def near(col, digits: int):
+    return F.round((F.col(col) if isinstance(col, str) else col) + nudge(digits), digits)
+
+
 def rnd(df, digits: int, *cols: str):
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: near(c, digits) for c in cols})
 
 
 def stats_rounded(df):
@@ -163,7 +167,7 @@ _HAVERSINE = (
 @query("f1", f"SELECT name, round({_HAVERSINE.format(la1=LAT, lo1=LON, la2='lat', lo2='lon')}, 6) AS km FROM macrozones")
 def f1(t):
     km = geo.haversine_km(F.lit(LAT), F.lit(LON), F.col("lat"), F.col("lon"))
-    return t.places.select("name", F.round(km, 6).alias("km"))
+    return t.places.select("name", near(km, 6).alias("km"))
 
 
 @query("f2", """SELECT event_id, time_bucket(INTERVAL '15 minutes', ts) AS quarter,
@@ -216,7 +220,7 @@ _BOX = (
 @query("f7", f"SELECT name, round({_BOX}, 1) AS distance_m FROM macrozones")
 def f7(t):
     d = geo.distance_m(F.col("ring"), F.lit(LON), F.lit(LAT))
-    return t.macrozones.select("name", F.round(d, 1).alias("distance_m"))
+    return t.macrozones.select("name", near(d, 1).alias("distance_m"))
 
 
 def wkt(ring):
@@ -237,7 +241,7 @@ def f9(t):
 @query("f10", """SELECT event_id, round((value - k) / k * 100, 8) AS change FROM ev WHERE k <> 0""")
 def f10(t):
     change = scalars.percent_change(F.col("value"), F.col("k"))
-    return t.events.select("event_id", F.round(change, 8).alias("change")).filter("change IS NOT NULL")
+    return t.events.select("event_id", near(change, 8).alias("change")).filter("change IS NOT NULL")
 
 
 @query("f11", """SELECT event_id, round(value / nullif(k, 0), 10) AS or_null,
@@ -245,7 +249,7 @@ def f10(t):
 def f11(t):
     v, k = F.col("value"), F.col("k")
     return t.events.select(
-        "event_id", F.round(scalars.ratio_or_null(v, k), 10).alias("or_null"), F.round(scalars.ratio_or_zero(v, k), 10).alias("or_zero")
+        "event_id", near(scalars.ratio_or_null(v, k), 10).alias("or_null"), near(scalars.ratio_or_zero(v, k), 10).alias("or_zero")
     )
 
 
@@ -350,8 +354,8 @@ def a22(t):
 
 @query("j9", f"SELECT region_name, name, round({_BOX}, 1) AS distance_m FROM macrozones WHERE {_BOX} <= {RADIUS}")
 def j9(t):
-    near = spatial.near_point(t.macrozones, LAT, LON, RADIUS)
-    return near.select("region_name", "name", F.round("distance_m", 1).alias("distance_m"))
+    found = spatial.near_point(t.macrozones, LAT, LON, RADIUS)
+    return found.select("region_name", "name", near("distance_m", 1).alias("distance_m"))
 
 
 @query("j8", "SELECT region_name, name, neighbour_region, neighbour, round(distance_m, 3) AS distance_m FROM pairs")
@@ -376,7 +380,7 @@ AROUND_NOW = dt.datetime(2001, 10, 20)
 def around(t):
     out = analysis.around_point(t.macro_stats, t.macrozones, LAT, LON, RADIUS, AROUND_NOW, 30 * 86400)
     return rnd(rnd(rnd(out, 4, "avg_value", "weighted_avg"), 3, "weighted_sum"), 6, "weighted_count").withColumn(
-        "avg_sum", F.round("avg_sum", 2)
+        "avg_sum", near("avg_sum", 2)
     )
 
 

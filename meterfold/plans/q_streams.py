@@ -159,6 +159,12 @@ def k4(t):
     return _sent(t, messages.heartbeat_messages(beat_wire(t).filter("timestamp IS NOT NULL")), schemas.HEARTBEAT, "k4")
 
 
+@query("f18", _WIRE)
+def f18(t):
+    """Encode every reading as JSON and decode it again."""
+    return messages.readings(messages.reading_messages(t.readings))
+
+
 def _twice(t: Tables, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Append the first half, then everything: each key must be stored once."""
     path = fresh(t, name)

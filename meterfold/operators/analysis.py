@@ -60,30 +60,44 @@ def neighbour_variations(variations: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_spread(around: DataFrame, nested: bool = False) -> DataFrame:
-    """Mean and population deviation of the neighbours' changes; ``nested`` also lists them."""
-    delta = F.col("delta_perc")
+_VALUES = ["current", "previous", "delta_perc"]
+
+
+def _spread(around: DataFrame, keys: list[str], prefix: str, nested: bool) -> DataFrame:
+    delta = F.col(f"{prefix}delta_perc")
     aggs = [F.avg(delta).alias("neighbor_mean"), F.stddev_pop(delta).alias("neighbor_std_dev")]
     if nested:
-        item = F.struct("neighbour_region", "neighbour", "current", "previous", "delta_perc")
+        item = F.struct("neighbour_region", "neighbour", *[F.col(f"{prefix}{c}").alias(c) for c in _VALUES])
         aggs.append(F.sort_array(F.collect_list(item)).alias("neighbor_variation"))
-    return around.groupBy(*KEYS, "day").agg(*aggs)
+    return around.groupBy(*keys).agg(*aggs)
+
+
+def neighbour_spread(around: DataFrame, nested: bool = False) -> DataFrame:
+    """Mean and population deviation of the neighbours' changes; ``nested`` also lists them."""
+    return _spread(around, [*KEYS, "day"], "", nested)
 
 
 def anomalies(variations: DataFrame, pairs: DataFrame, nested: bool = False) -> DataFrame:
     """Own change against the neighbours'. No row without neighbours; z is 0 when they agree.
 
-    ``nested=True`` adds the neighbours as an array, which is as long as the radius makes
+    Own rows are first sent to their neighbours and then meet the neighbour's row of the
+    same type and day: the large join has a fine-grained key, and days without an own
+    value never reach it. ``nested=True`` adds the neighbours as an array, which is as long as the radius makes
     it; ``neighbour_variations`` gives the same as rows.
     """
-    spread = neighbour_spread(neighbour_variations(variations, pairs), nested)
+    near = pairs.withColumnRenamed("name", "macrozone_name").drop("distance_m")
+    theirs = variations.select(
+        F.col("region_name").alias("neighbour_region"), F.col("macrozone_name").alias("neighbour"), "type", "day",
+        *[F.col(c).alias(f"_{c}") for c in _VALUES],
+    )
+    around = variations.join(near, ["region_name", "macrozone_name"]).join(
+        theirs, ["neighbour_region", "neighbour", "type", "day"]
+    )
+    # the own values depend on the key and only travel along
+    rows = _spread(around, [*KEYS, "day", *_VALUES], "_", nested)
     off = F.col("delta_perc") - F.col("neighbor_mean")
     z = F.when(F.col("neighbor_std_dev") != 0, off / F.col("neighbor_std_dev")).otherwise(F.lit(0.0))
-    return (
-        variations.join(spread, [*KEYS, "day"])
-        .withColumn("abs_error", F.abs(off))
-        .withColumn("z_score", z)
-    )
+    return rows.withColumn("abs_error", F.abs(off)).withColumn("z_score", z)
 
 
 def with_centre(stats: DataFrame, places: DataFrame) -> DataFrame:
@@ -100,10 +114,8 @@ def around_point(
     near = spatial.near_point(macrozones, lat, lon, radius_m)
     centre = geo.centroid(F.col("ring"))
     near = near.withColumn("_c", centre).select("region_name", "name", F.col("_c.lat").alias("lat"), F.col("_c.lon").alias("lon"))
-    recent = filters.fresh(macro_stats, now, freshness).join(
-        near.select("region_name", F.col("name").alias("macrozone_name")), ["region_name", "macrozone_name"], "left_semi"
-    )
-    rows = with_centre(latest.latest_row(recent, KEYS), near)
+    # the cutoff reaches the scan; the join keeps only the macrozones nearby
+    rows = latest.latest_row(with_centre(filters.fresh(macro_stats, now, freshness), near), KEYS)
     km = geo.haversine_km(F.lit(float(lat)), F.lit(float(lon)), F.col("lat"), F.col("lon"))
     weight = 1 / F.when(km == 0, F.lit(params.ZERO_DISTANCE_KM)).otherwise(km)
     return (

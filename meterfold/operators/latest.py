@@ -20,10 +20,8 @@ def latest(df: DataFrame, limit: int = params.ROW_LIMIT, ties: tuple[str, ...] =
 def latest_per_key(
     df: DataFrame, keys: list[str], limit: int = params.ROW_LIMIT, ties: tuple[str, ...] = (), time: str = "time"
 ) -> DataFrame:
-    """Newest rows of every key. The rank filter is also applied before the shuffle, so a
-    hot key sends at most ``limit`` rows per task."""
-    w = Window.partitionBy(*keys).orderBy(F.col(time).desc(), *ties)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= _check(limit)).drop("_rn")
+    """Newest rows of every key."""
+    return ranked(df, keys, limit, ties, time).drop("rank")
 
 
 def latest_row(df: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
@@ -33,11 +31,16 @@ def latest_row(df: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
-def ranked(df: DataFrame, keys: list[str], ties: tuple[str, ...] = (), time: str = "time", limit: int | None = None) -> DataFrame:
-    """Recency rank per key, 1 = newest; give ``limit`` to keep only the first ranks."""
+def ranked(
+    df: DataFrame, keys: list[str], limit: int = params.ROW_LIMIT, ties: tuple[str, ...] = (), time: str = "time"
+) -> DataFrame:
+    """Recency rank per key, 1 = newest, of the newest ``limit`` rows.
+
+    The rank filter is also applied before the shuffle, so a hot key sends at most
+    ``limit`` rows per task.
+    """
     w = Window.partitionBy(*keys).orderBy(F.col(time).desc(), *ties)
-    out = df.withColumn("rank", F.row_number().over(w))
-    return out if limit is None else out.filter(F.col("rank") <= _check(limit))
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= _check(limit))
 
 
 def oldest_pending(outbox: DataFrame, limit: int = params.OUTBOX_PAGE, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -46,8 +46,8 @@ def loss_report(sent: DataFrame, received: DataFrame, is_missing: Column, is_out
         F.count_if(is_outlier).alias("sent_outliers"),
     )
     right = received.agg(F.count(F.lit(1)).alias("received"), F.count_if(is_rejected).alias("rejected"))
-    one = F.lit(1).alias("_one")
-    both = left.select("*", one).join(right.select("*", one), "_one").drop("_one")
+    names = [*left.columns, *right.columns]
+    both = left.unionByName(right, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
     missed = F.greatest(F.col("sent") - F.col("received"), F.lit(0))
     return (
         both.withColumn("missed", missed)
@@ -71,13 +71,15 @@ def throughput(messages: DataFrame, latency_seconds: Column, window_minutes: flo
     )
 
 
-def trimmed_mean(df: DataFrame, value: str, keys: list[str], sigmas: float = 2.0) -> DataFrame:
+def trimmed_mean(df: DataFrame, value: str, keys: list[str] = (), sigmas: float = 2.0) -> DataFrame:
     """Mean without the values above mean + ``sigmas`` sample deviations; ``kept`` counts the rest."""
     v = F.col(value).cast("double")
-    bound = df.groupBy(*keys).agg((F.avg(v) + sigmas * F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("bound"))
+    rows = df.select(*keys, v.alias("_v"))
+    limit = (F.avg(v) + sigmas * F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("bound")
+    bound = df.groupBy(*keys).agg(limit)
+    rows = rows.join(bound, list(keys)) if keys else rows.withColumn("bound", bound.scalar())
     return (
-        df.select(*keys, v.alias("_v")).join(bound, keys)
-        .filter(F.col("_v") <= F.col("bound"))
+        rows.filter(F.col("_v") <= F.col("bound"))
         .groupBy(*keys, "bound").agg(F.avg("_v").alias("trimmed_mean"), F.count(F.lit(1)).alias("kept"))
     )
 

@@ -143,9 +143,9 @@ def zone_and_macrozone_stats(zones: DataFrame) -> DataFrame:
     return out.withColumn("zone_name", zone).drop("coarse")
 
 
-def last_aggregated(stats: DataFrame) -> DataFrame:
-    """Newest stamp per region: where the next run resumes. One row per region."""
-    return stats.groupBy("region_name").agg(F.max("time").alias("last_time"))
+def last_aggregated(stats: DataFrame, keys: list[str] = ("region_name",)) -> DataFrame:
+    """Newest stamp per region (or macrozone): where the next run resumes."""
+    return stats.groupBy(*keys).agg(F.max("time").alias("last_time"))
 
 
 def missing_intervals(
@@ -161,7 +161,8 @@ def missing_intervals(
     first = timeutil.truncate_instant(shift(look_back + delay + seconds), seconds)
     start = F.coalesce(F.col("last_time"), F.lit(first).cast("timestamp_ntz"))
     spine = timeutil.intervals(start, F.lit(end).cast("timestamp_ntz"), seconds)
-    return last.select("region_name", F.explode(spine).alias("start")).withColumn(
+    keys = [c for c in last.columns if c != "last_time"]
+    return last.select(*keys, F.explode(spine).alias("start")).withColumn(
         "end", F.col("start") + F.expr(f"INTERVAL {int(seconds)} SECONDS")
     )
 
@@ -170,13 +171,16 @@ def catch_up_zone_stats(
     readings: DataFrame, last: DataFrame, now: dt.datetime, seconds: int = params.ZONE_INTERVAL,
     delay: int = params.ZONE_DELAY, look_back: int = params.FIRST_LOOK_BACK,
 ) -> DataFrame:
-    """Statistics of every complete interval after the resume point; empty intervals give nothing."""
+    """Statistics of every complete interval after the resume point; empty intervals give nothing.
+
+    ``last`` is ``last_aggregated`` of the stored statistics, per region or per macrozone.
+    """
     end = timeutil.truncate_instant(now - dt.timedelta(seconds=delay), seconds)
     first = timeutil.truncate_instant(now - dt.timedelta(seconds=look_back + delay + seconds), seconds)
     start = F.coalesce(F.col("last_time"), F.lit(first).cast("timestamp_ntz"))
     due = (
         readings.filter(F.col("time") < F.lit(end).cast("timestamp_ntz"))
-        .join(last, "region_name", "left")
+        .join(last, [c for c in last.columns if c != "last_time"], "left")
         .filter(F.col("time") >= start)
         .drop("last_time")
     )

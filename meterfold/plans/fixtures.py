@@ -106,7 +106,7 @@ class Tables:
             F.col("l_shipdate").cast("timestamp_ntz").alias("time"), "l_suppkey", F.col("l_returnflag").alias("type")
         ).agg(
             F.min(price).alias("min_value"), F.max(price).alias("max_value"),
-            F.sum(price.cast("decimal(18,2)")).cast("double").alias("avg_sum"), F.count(F.lit(1)).alias("avg_count"),
+            F.sum(price).alias("avg_sum"), F.count(F.lit(1)).alias("avg_count"),
         )
         return daily.join(self.placed, F.col("l_suppkey") == F.col("s_suppkey")).select(
             "time", "region_name", "macrozone_name", "type", "min_value", "max_value",

@@ -302,10 +302,10 @@ def st5(t):
 
 
 @query("st6", sql_stats("time, region_name, macrozone_name, zone_name, type", "zone_q z", tail="""WHERE time <= TIMESTAMP '2024-01-30 23:45:00'
-  AND time > (SELECT max(time) FROM zone_q l WHERE l.region_name = z.region_name AND l.time <= TIMESTAMP '2024-01-16 00:00:00')"""))
+  AND time > coalesce((SELECT max(time) FROM zone_q l WHERE l.macrozone_name = z.macrozone_name AND l.time <= TIMESTAMP '2024-01-16 00:00:00'), TIMESTAMP '2024-01-29 23:30:00')"""))
 def st6(t):
     done = rollup.zone_stats(t.readings.filter(F.col("time") < ntz(SPLIT)))
-    out = rollup.catch_up_zone_stats(t.readings, rollup.last_aggregated(done), NOW)
+    out = rollup.catch_up_zone_stats(t.readings, rollup.last_aggregated(done, ["region_name", "macrozone_name"]), NOW)
     return stats_rounded(out)
 
 

@@ -1,7 +1,7 @@
 """File scans, idempotent appends, partition overwrites and versioned snapshots on Parquet."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from meterfold.functions import geo
@@ -60,20 +60,29 @@ def append_absent(batch: DataFrame, path: str, keys: list[str], time: str = "tim
     Only the days the batch spans are read for the comparison. A repeated batch adds
     nothing, so a replayed micro-batch is harmless.
     """
-    spark = batch.sparkSession
     batch = batch.withColumn("day", F.to_date(time))
-    span = batch.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
-    if span.lo is None:
+    stored = read_or_none(batch.sparkSession, path)
+    if stored is None:
+        _by_partition(first_per_key(batch, keys, arrival).select(*batch.columns), ["day"]).mode("append").parquet(path)
         return
-    stored = read_or_none(spark, path)
-    if stored is not None:
-        stored = stored.filter(F.col("day").between(F.lit(span.lo), F.lit(span.hi)))
-    absent_rows(batch, stored, keys, arrival).write.mode("append").partitionBy("day").parquet(path)
+    batch = batch.persist()
+    try:
+        span = batch.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
+        if span.lo is not None:
+            stored = stored.filter(F.col("day").between(F.lit(span.lo), F.lit(span.hi)))
+            _by_partition(absent_rows(batch, stored, keys, arrival), ["day"]).mode("append").parquet(path)
+    finally:
+        batch.unpersist()
+
+
+def _by_partition(df: DataFrame, partitions: list[str]) -> DataFrameWriter:
+    """Writer into partitions: rows gather by partition, small ones share a task, large ones are split."""
+    return df.hint("rebalance", *[F.col(c) for c in partitions]).write.partitionBy(*partitions)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Replace just the partitions that occur in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    _by_partition(df, partitions).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def save_analysis(result: DataFrame, path: str, params: dict | None = None, day: str = "day") -> None:

@@ -2,7 +2,6 @@ import math
 import random
 from collections import deque
 
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st

@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterfold import params
@@ -33,6 +33,18 @@ def near_point(macrozones: DataFrame, lat: float, lon: float, radius_m: float) -
     return out.filter(F.col("distance_m") <= radius_m)
 
 
+def _touches_sphere(cells: list[str], side: float) -> Column:
+    """Whether a cube can hold a point of the unit sphere; skips most of the 27 cubes around a place."""
+    nearest, farthest = F.lit(0.0), F.lit(0.0)
+    for c in cells:
+        lo = F.col(c) * side - 1
+        hi = lo + side
+        lo2, hi2 = lo * lo, hi * hi
+        nearest = nearest + F.when((lo <= 0) & (hi >= 0), 0.0).otherwise(F.least(lo2, hi2))
+        farthest = farthest + F.greatest(lo2, hi2)
+    return (nearest <= 1 + 1e-9) & (farthest >= 1 - 1e-9)
+
+
 def neighbours(places: DataFrame, radius_m: float, rows_per_block: int = _ROWS_PER_BLOCK) -> DataFrame:
     """Ordered pairs of differently named places whose centres are within the radius.
 
@@ -67,7 +79,7 @@ def neighbours(places: DataFrame, radius_m: float, rows_per_block: int = _ROWS_P
     probe = at
     for c in cells:
         probe = probe.withColumn("_d", F.explode(around)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
-    probe = probe.join(blocks, cells).select(
+    probe = probe.filter(_touches_sphere(cells, side)).join(blocks, cells).select(
         "region_name", "name", "lat", "lon", *cells,
         F.pmod("h", "blocks").cast("int").alias("p"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("b"),

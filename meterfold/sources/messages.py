@@ -27,7 +27,7 @@ def decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
 
     Missing strings become '' and missing numbers 0, unknown fields are ignored.
     """
-    # Malformed payloads null the whole struct in FAILFAST-free mode only via the corrupt column.
+    # a malformed payload shows only in the corrupt-record column
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     parsed = messages.select(
         F.from_json(F.col("value").cast("string"), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("m")

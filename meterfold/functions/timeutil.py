@@ -74,6 +74,13 @@ def year_before(day: Column) -> Column:
     return F.date_add(F.add_months(day, -12), F.when(leap, 1).otherwise(0))
 
 
+def day_one_year_before(day: dt.date) -> dt.date:
+    """The same for a driver-side parameter."""
+    if (day.month, day.day) == (2, 29):
+        return dt.date(day.year - 1, 3, 1)
+    return day.replace(year=day.year - 1)
+
+
 def year_after_candidates(day: Column) -> Column:
     """All days whose ``year_before`` is ``day``: one, or two when 1 March follows a leap day."""
     nxt = F.add_months(day, 12)

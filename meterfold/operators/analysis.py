@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterfold import params
@@ -13,6 +13,12 @@ from meterfold.operators import filters, latest, spatial
 KEYS = ["region_name", "macrozone_name", "type"]
 
 
+def compared_days(col: str, first: dt.date, last: dt.date) -> Column:
+    """The days ``[first, last]`` and the same days one year earlier, as ranges that reach the scan."""
+    lo, hi = timeutil.day_one_year_before(first), timeutil.day_one_year_before(last)
+    return filters.in_days(col, first, last) | filters.in_days(col, min(lo, hi), hi)
+
+
 def current_and_previous(macro_daily: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
     """Each day in ``[first, last]`` beside the same day one year earlier.
 
@@ -31,9 +37,8 @@ def current_and_previous(macro_daily: DataFrame, first: dt.date, last: dt.date)
             lambda d: F.struct(d.alias("target"), null.alias("cur"), avg.alias("prev")),
         ),
     )
-    earliest = dt.date(first.year - 1, first.month, 28 if (first.month, first.day) == (2, 29) else first.day)
     return (
-        macro_daily.filter(filters.in_days("day", earliest, last))
+        macro_daily.filter(compared_days("day", first, last))
         .select(*KEYS, F.explode(roles).alias("r"))
         .select(*KEYS, F.col("r.target").alias("day"), "r.cur", "r.prev")
         .filter(F.col("day").between(lo, hi))

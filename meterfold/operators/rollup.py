@@ -97,8 +97,17 @@ def region_range_stats(macrozones: DataFrame, start: dt.datetime, end: dt.dateti
     )
 
 
-def calendar_rollup(stats: DataFrame, unit: str, keys: list[str], time: str = "time") -> DataFrame:
-    """Day, week, month or year roll-up of stored statistics; the bucket column is named after the unit."""
+def calendar_rollup(
+    stats: DataFrame, unit: str, keys: list[str], time: str = "time", span: tuple[dt.date, dt.date] | None = None
+) -> DataFrame:
+    """Day, week, month or year roll-up of stored statistics; the bucket column is named after the unit.
+
+    ``span`` keeps the buckets of the days first..last; written as a range of ``time`` it
+    reaches the scan, which a filter on the bucket would not.
+    """
+    if span is not None:
+        lo, hi = (timeutil.bucket_bounds(dt.datetime(d.year, d.month, d.day), unit) for d in span)
+        stats = stats.filter(filters.in_range(time, lo[0], hi[1]))
     return (
         stats.groupBy(timeutil.bucket_start(F.col(time), unit).alias(unit), *keys)
         .agg(
@@ -115,12 +124,12 @@ MACROZONE_KEYS = ["region_name", "macrozone_name", "type"]
 REGION_KEYS = ["region_name", "type"]
 
 
-def macrozone_calendar(stats: DataFrame, unit: str) -> DataFrame:
-    return calendar_rollup(stats, unit, MACROZONE_KEYS)
+def macrozone_calendar(stats: DataFrame, unit: str, span: tuple[dt.date, dt.date] | None = None) -> DataFrame:
+    return calendar_rollup(stats, unit, MACROZONE_KEYS, span=span)
 
 
-def region_calendar(stats: DataFrame, unit: str) -> DataFrame:
-    return calendar_rollup(stats, unit, REGION_KEYS)
+def region_calendar(stats: DataFrame, unit: str, span: tuple[dt.date, dt.date] | None = None) -> DataFrame:
+    return calendar_rollup(stats, unit, REGION_KEYS, span=span)
 
 
 def coarser_calendar(rollup: DataFrame, unit_from: str, unit: str, keys: list[str]) -> DataFrame:

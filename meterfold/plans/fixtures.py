@@ -39,13 +39,30 @@ class Tables:
     def regions(self) -> DataFrame:
         return self.base("region").select(F.col("r_name").alias("name"))
 
+    @cached_property
+    def dimensions(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return (
+            self.base("supplier").withColumnRenamed("s_name", "macrozone_name"), self.base("nation"),
+            self.base("region").withColumnRenamed("r_name", "region_name"),
+        )
+
+    def _place(self, facts: DataFrame, key: str) -> DataFrame:
+        """Facts with macrozone and region. One dimension is joined after the other, so that
+        Spark judges each by its own size and never takes the facts for the smaller side."""
+        s, n, r = self.dimensions
+        return (
+            facts.join(s, F.col(key) == F.col("s_suppkey"))
+            .join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+        )
+
     @cached_property
     def placed(self) -> DataFrame:
         """Suppliers with their region."""
-        s, n, r = self.base("supplier"), self.base("nation"), self.base("region")
+        s, n, r = self.dimensions
         return (
-            s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-            .select("s_suppkey", F.col("r_name").alias("region_name"), F.col("s_name").alias("macrozone_name"), "s_acctbal")
+            s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("s_suppkey", "region_name", "macrozone_name", "s_acctbal")
         )
 
     @cached_property
@@ -81,7 +98,7 @@ class Tables:
         e = self.events.select("*", home)
         zone = F.concat(F.lit("zone-"), (F.col("user_id") % 3).cast("string"))
         return (
-            e.join(self.placed, F.col("home") == F.col("s_suppkey"))
+            self._place(e, "home")
             .select(
                 "region_name", "macrozone_name", zone.alias("zone_name"), F.col("user_id").cast("string").alias("sensor_id"),
                 F.col("ts").alias("time"), F.col("event_type").alias("type"), "value", "event_id", "k",
@@ -108,7 +125,7 @@ class Tables:
             F.min(price).alias("min_value"), F.max(price).alias("max_value"),
             F.sum(price).alias("avg_sum"), F.count(F.lit(1)).alias("avg_count"),
         )
-        return daily.join(self.placed, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        return self._place(daily, "l_suppkey").select(
             "time", "region_name", "macrozone_name", "type", "min_value", "max_value",
             (F.col("avg_sum") / F.col("avg_count")).alias("avg_value"), "avg_sum", "avg_count",
         )
@@ -193,8 +210,7 @@ class Tables:
         home = F.floor(F.col("user_id") / 15) * 10
         zone = F.concat(F.lit("zone-"), (F.col("user_id") % 3).cast("string"))
         return (
-            self.event_stream().withColumn("home", home)
-            .join(self.placed, F.col("home") == F.col("s_suppkey"))
+            self._place(self.event_stream().withColumn("home", home), "home")
             .select(
                 "region_name", "macrozone_name", zone.alias("zone_name"), F.col("user_id").cast("string").alias("sensor_id"),
                 F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("type"), "value", "event_id",

@@ -14,6 +14,7 @@ from meterfold.plans.q_basic import _SHOWN, rnd, sql_stats, stats_rounded, ts
 AFRICA, FIRST = "AFRICA", "Supplier#000000000"
 FIRST_DAY, LAST_DAY = dt.date(1996, 1, 2), dt.date(2001, 11, 4)
 TREND_DAY = dt.date(2000, 6, 30)
+TREND_SPAN = (dt.date(2000, 5, 2), TREND_DAY)
 LEAP_DAY = dt.date(2000, 2, 29)
 FAR = 50_000.0
 
@@ -141,13 +142,18 @@ query("e12", _J6 + f" WHERE m.region_name = '{AFRICA}' AND m.macrozone_name = '{
 )
 
 
-def macro_daily(t):
-    return rollup.macrozone_calendar(t.macro_stats, "day")
+def macro_daily(t, *span):
+    return rollup.macrozone_calendar(t.macro_stats, "day", span or None)
 
 
-def region_daily(t):
+def compared_daily(t, first, last=None):
+    """Daily rows of the days and of the same days one year earlier only."""
+    return rollup.macrozone_calendar(t.macro_stats.filter(analysis.compared_days("time", first, last or first)), "day")
+
+
+def region_daily(t, *span):
     """From the daily macrozone rows: the partials merge exactly."""
-    return rollup.coarser_calendar(macro_daily(t), "day", "day", rollup.REGION_KEYS)
+    return rollup.coarser_calendar(macro_daily(t, *span), "day", "day", rollup.REGION_KEYS)
 
 
 @query("j7", """SELECT day, region_name, macrozone_name, type, round(current, 6) AS current, round(previous, 6) AS previous FROM variation""")
@@ -160,7 +166,7 @@ _VARIATION = """SELECT day, region_name, macrozone_name, type, round(current, 6)
 
 
 def variation(t):
-    return analysis.yearly_variation(macro_daily(t), FIRST_DAY, LAST_DAY)
+    return analysis.yearly_variation(compared_daily(t, FIRST_DAY, LAST_DAY), FIRST_DAY, LAST_DAY)
 
 
 @query("w6", _VARIATION)
@@ -169,7 +175,7 @@ def w6(t):
 
 
 query("e8", _VARIATION + " WHERE day = TIMESTAMP '2000-02-29'")(
-    lambda t: at_day(rnd(endpoints.yearly_variation(macro_daily(t), LEAP_DAY), 6, "current", "previous", "delta_perc"))
+    lambda t: at_day(rnd(endpoints.yearly_variation(compared_daily(t, LEAP_DAY), LEAP_DAY), 6, "current", "previous", "delta_perc"))
 )
 
 
@@ -222,7 +228,7 @@ def w7(t):
 
 @query("e9", _W7.replace("SELECT v.region_name", "SELECT (SELECT string_agg(a.neighbour, ';' ORDER BY a.neighbour) FROM (" + _AROUND + ") a WHERE a.region_name = v.region_name AND a.macrozone_name = v.macrozone_name AND a.type = v.type AND a.day = v.day) AS neighbor_variation, v.region_name") + f" WHERE v.day = {ts(dt.datetime(2000, 6, 30))}")
 def e9(t):
-    out = endpoints.variation_against_neighbours(macro_daily(t), t.places, FAR, TREND_DAY)
+    out = endpoints.variation_against_neighbours(compared_daily(t, TREND_DAY), t.places, FAR, TREND_DAY)
     names = F.array_join(F.sort_array(F.transform("neighbor_variation", lambda v: v["neighbour"])), ";")
     return _anomaly_columns(out.withColumn("neighbor_variation", names))
 
@@ -461,12 +467,12 @@ def _trend_columns(df):
 
 @query("w5", _TREND.format(extra=""))
 def w5(t):
-    return _trend_columns(series.trend_similarity(macro_daily(t), region_daily(t), TREND_DAY))
+    return _trend_columns(series.trend_similarity(macro_daily(t, *TREND_SPAN), region_daily(t, *TREND_SPAN), TREND_DAY))
 
 
 @query("e10", _TREND.format(extra=", days AS macrozone_series, days AS region_series"))
 def e10(t):
-    out = endpoints.trend_similarity(macro_daily(t), region_daily(t), TREND_DAY)
+    out = endpoints.trend_similarity(macro_daily(t, *TREND_SPAN), region_daily(t, *TREND_SPAN), TREND_DAY)
     lengths = {c: F.size(c).cast("long") for c in ("macrozone_series", "region_series")}
     return _trend_columns(out.withColumns(lengths))
 

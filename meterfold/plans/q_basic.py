@@ -328,9 +328,8 @@ def t5(t):
                        "macro_daily", "total_sum", "total_count",
                        "WHERE day BETWEEN TIMESTAMP '2000-05-02' AND TIMESTAMP '2000-06-30'"))
 def t6(t):
-    daily = rollup.macrozone_calendar(t.macro_stats, "day")
-    span = daily.filter(filters.in_days("day", dt.date(2000, 5, 2), dt.date(2000, 6, 30)))
-    return stats_rounded(span.drop("region_name")).orderBy("macrozone_name", "type", "day")
+    daily = rollup.macrozone_calendar(t.macro_stats, "day", (dt.date(2000, 5, 2), dt.date(2000, 6, 30)))
+    return stats_rounded(daily.drop("region_name")).orderBy("macrozone_name", "type", "day")
 
 
 # ---- W9, A16, A22 and point searches -------------------------------------------

@@ -11,7 +11,7 @@ from meterfold.operators import analysis, devices, latest, outbox, rollup, sets
 from meterfold.plans import jobs
 from meterfold.plans.fixtures import NOW, SPLIT, Tables
 from meterfold.plans.oracle import query
-from meterfold.plans.q_analytics import macro_daily, macro_q, ntz, region_q
+from meterfold.plans.q_analytics import compared_daily, macro_q, ntz, region_q
 from meterfold.plans.q_basic import rnd, sql_stats, stats_rounded, wkt
 from meterfold.session import scratch_path
 from meterfold.sources import messages, tables
@@ -193,7 +193,8 @@ def k7(t):
   WHERE day BETWEEN TIMESTAMP '2000-05-02' AND TIMESTAMP '2000-06-30'""")
 def k8(t):
     path = fresh(t, "k8")
-    rows = analysis.yearly_variation(macro_daily(t), DAYS[0].date(), DAYS[-1].date())
+    span = DAYS[0].date(), DAYS[-1].date()
+    rows = analysis.yearly_variation(compared_daily(t, *span), *span)
     tables.save_analysis(rows, path)
     out = t.spark.read.parquet(path).withColumn("day", F.col("day").cast("timestamp_ntz"))
     return rnd(out, 6, "current", "previous", "delta_perc")
@@ -238,7 +239,8 @@ def e15(t):
     path, days = fresh(t, "e15"), [d.date() for d in DAYS[:30]]
 
     def compute(missing):
-        rows = analysis.yearly_variation(macro_daily(t), min(missing), max(missing))
+        span = min(missing), max(missing)
+        rows = analysis.yearly_variation(compared_daily(t, *span), *span)
         return rows.filter(F.col("day").isin(missing))
 
     jobs.read_through(t.spark, path, days[5:15], {"radius": 50_000}, compute)

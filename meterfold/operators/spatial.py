@@ -51,9 +51,9 @@ def neighbours(places: DataFrame, radius_m: float, rows_per_block: int = _ROWS_P
     ``places`` has region_name, name, lat, lon. Positions become points on the unit
     sphere and are put into cubes as wide as the chord of the radius, so partners lie in
     the same or a touching cube: one equi-join with an exact test, for every radius and
-    without special cases at the poles or the date line. A crowded cube is cut into
-    blocks on both sides, so no join key holds more than about ``rows_per_block`` rows
-    of a side.
+    without special cases at the poles or the date line. Where a cube holds more than
+    ``rows_per_block`` places, all cubes are cut into blocks of that size on both sides, so
+    no join key holds more than about that many rows of a side.
     """
     if radius_m < 0:
         raise ValueError("radius must not be negative")
@@ -67,26 +67,26 @@ def neighbours(places: DataFrame, radius_m: float, rows_per_block: int = _ROWS_P
         F.xxhash64("region_name", "name").alias("h"),
     )
     cells = ["cx", "cy", "cz"]
-    blocks = at.groupBy(*cells).agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("blocks"))
-
-    build = at.join(blocks, cells).select(
-        F.col("region_name").alias("neighbour_region"), F.col("name").alias("neighbour"),
-        F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *cells,
-        F.pmod("h", "blocks").alias("b"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"),
-    )
+    build = at.withColumnsRenamed({"region_name": "neighbour_region", "name": "neighbour", "lat": "lat2", "lon": "lon2"})
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     probe = at
     for c in cells:
         probe = probe.withColumn("_d", F.explode(around)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
-    probe = probe.filter(_touches_sphere(cells, side)).join(blocks, cells).select(
-        "region_name", "name", "lat", "lon", *cells,
-        F.pmod("h", "blocks").cast("int").alias("p"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("b"),
-    )
+    probe = probe.filter(_touches_sphere(cells, side))
+
+    counts = at.groupBy(*cells).count()
+    on = list(cells)
+    if (counts.agg(F.max("count")).first()[0] or 0) > rows_per_block:
+        blocks = counts.select(*cells, F.ceil(F.col("count") / rows_per_block).alias("blocks"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        mine = F.pmod("h", "blocks")
+        build = build.join(blocks, cells).withColumn("b", mine).withColumn("p", every).drop("blocks")
+        probe = probe.join(blocks, cells).withColumn("p", mine).withColumn("b", every).drop("blocks")
+        on += ["p", "b"]
+    probe, build = probe.drop("h"), build.drop("h")
     d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) * 1000
     return (
-        probe.join(build, [*cells, "p", "b"])
+        probe.join(build, on)
         .filter(F.col("name") != F.col("neighbour"))
         .withColumn("distance_m", d)
         .filter(F.col("distance_m") <= radius_m)

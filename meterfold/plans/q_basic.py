@@ -337,7 +337,7 @@ def t6(t):
 @query("w9", """SELECT region_name, macrozone_name, type, time, row_number() OVER
   (PARTITION BY region_name, macrozone_name, type ORDER BY time DESC) AS rank FROM macro_stats QUALIFY rank <= 50""")
 def w9(t):
-    return latest.ranked(t.macro_stats, analysis.KEYS, 50).select(*analysis.KEYS, "time", "rank")
+    return latest.ranked(t.macro_stats, analysis.KEYS, 50).select(*analysis.KEYS, "time", F.col("rank").cast("long").alias("rank"))
 
 
 @query("a16", sql_stats("region_name, macrozone_name, type, time", "macro_stats", tail="""QUALIFY row_number() OVER

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterfold.llm import language_id, packing, secret_scan, token_counts
+from meterfold.llm import language_id, line_dedup, packing, secret_scan, token_counts, url_filter
 from meterfold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+@query("op2_url_filter")
+def op2(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op4_line_dedup", line_dedup.SQL)
+def op4(spark, sf_dir):
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 @query("op5_packing")
 def op5(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))

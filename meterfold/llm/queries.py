@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterfold.llm import embedding_dedup, language_id, line_dedup, packing, secret_scan, token_counts, url_filter
+from meterfold.llm import decontamination, embedding_dedup, language_id, line_dedup, packing, secret_scan, token_counts, url_filter
 from meterfold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op5(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query("op6_decontamination")
+def op6(spark, sf_dir):
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row_hash").distinct()
+
+
 @query("op7_embedding_dedup")
 def op7(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -14,8 +14,8 @@ larger) must reach ``similarity``. At a similarity of 0.8 two fingerprints are 1
 average and beyond the default radius of 19 in about one case of a thousand.
 
 Equal windows are one class, compared once, however many documents hold them. The items'
-shingles are broadcast only if there are at most ``broadcast_rows`` of them; else hits come from
-a shuffled join, and the windows' shingles from a second one. DataFrame functions only.
+shingles are looked up inside each row if there are at most ``inline`` of them; beyond that,
+hits come from a shuffled join, and the windows' shingles from a second one. DataFrame functions only.
 
 Null and empty texts, and items without a word, match nothing. Repeated rows are reported once;
 further columns are not read.
@@ -38,9 +38,9 @@ def words_of(text):
 
 def shingles_of(words, n: int):
     """Hashes of all runs of ``n`` words, in order."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    starts = F.sequence(F.lit(0), F.size(words) - n)
+    runs = F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def simhash(shingles):
@@ -83,34 +83,62 @@ def items_of(benchmark: DataFrame, words: int) -> DataFrame:
     return rows.select("item_id", F.size("_w").alias("_words"), n.alias("_n"), by_length.alias("_item"))
 
 
-def windows(docs: DataFrame, items: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
+def bit_table(rows: DataFrame, hash_col):
+    """A test that all hashes of ``rows`` pass, and of the others about one in some thousand.
+
+    Two bits for each hash in a table of 64 bits a hash, as words of an array literal; the
+    caller bounds the number of rows.
+    """
+    bits = max(1 << 16, 1 << (64 * max(1, rows.count()) - 1).bit_length())
+    mask = F.lit(bits - 1).cast("long")
+
+    def places(h):
+        return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 25).bitwiseAND(mask)]
+
+    each = rows.select(F.explode(F.array(*places(hash_col))).alias("_bit"))
+    filled = each.groupBy((F.col("_bit") / 64).cast("long").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits")).collect()
+    words = ["0"] * (bits // 64)
+    for r in filled:
+        words[r["_word"]] = str(r["_bits"])
+    table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+
+    def passes(h):
+        first, second = ((F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1) for p in places(h))
+        return first & second
+
+    return passes
+
+
+def windows(docs: DataFrame, items: DataFrame, n: int, inline: int) -> DataFrame:
     """doc_id, row_hash, first word, number of words and shingles of the windows that items of shingle length n suggest."""
     places = items.filter(F.col("_n") == n).select("_words", F.posexplode("_item").alias("_offset", "_h")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), words_of(F.col("text")).alias("_w"))
     rows = rows.select("doc_id", "row_hash", shingles_of(F.col("_w"), n).alias("_all"))
-    start = F.greatest(F.col("_pos") - F.col("_offset"), F.lit(0))
-    few = places.count() <= broadcast_rows
-    kept = ["doc_id", "row_hash", "_all"] if few else ["doc_id", "row_hash"]
-    found = rows.select(*kept, F.posexplode("_all").alias("_pos", "_h")).join(places.hint("broadcast") if few else places, "_h")
-    if few:
-        cut = F.slice("_all", start + 1, F.col("_words") - n + 1)
-        found = found.select("doc_id", "row_hash", start.alias("first_word"), "_words", cut.alias("_window"))
+    start = F.greatest(F.col("_pos") - F.col("_offset"), F.lit(0)).alias("first_word")
+    cut = F.slice("_all", F.col("first_word") + 1, F.col("_words") - n + 1).alias("_window")
+    if places.count() <= inline:
+        known = bit_table(places, F.col("_h"))
+        hits = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: known(F.get("_all", i)))
+        at = rows.filter(F.size("_all") > 0).withColumn("_hits", hits).filter(F.size("_hits") > 0)
+        found = at.select("doc_id", "row_hash", "_all", F.explode("_hits").alias("_pos")).withColumn("_h", F.get("_all", F.col("_pos")))
+        found = found.join(places, "_h").select("doc_id", "row_hash", start, "_words", "_all")
         # Every shingle of a passage puts its item at the same place.
-        return found.distinct()
-    found = found.select("doc_id", "row_hash", start.alias("first_word"), "_words").distinct()
-    again = rows.join(found.withColumnsRenamed({"doc_id": "_d", "row_hash": "_r"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_hash") == F.col("_r")))
-    return again.select("doc_id", "row_hash", "first_word", "_words", F.slice("_all", F.col("first_word") + 1, F.col("_words") - n + 1).alias("_window")).distinct()
+        return found.select("doc_id", "row_hash", "first_word", "_words", cut).distinct()
+    found = rows.select("doc_id", "row_hash", F.posexplode("_all").alias("_pos", "_h")).join(places, "_h")
+    found = found.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r"), start, "_words").distinct()
+    again = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_hash") == F.col("_r")))
+    return again.select("doc_id", "row_hash", "first_word", "_words", cut).distinct()
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 19, broadcast_rows: int = 1_000_000,
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 19, inline: int = 200_000,
 ) -> DataFrame:
     """doc_id, row_hash (of the text), item_id and the best window: similarity, first_word, n_words."""
     items = stored(items_of(benchmark, words).withColumn("_fp", simhash(F.col("_item"))), "items")
     lengths = sorted(r[0] for r in items.select("_n").distinct().collect())  # at most ``words`` values
-    found = [windows(docs, items, n, broadcast_rows).withColumn("_n", F.lit(n)) for n in lengths]
+    found = [windows(docs, items, n, inline).withColumn("_n", F.lit(n)) for n in lengths]
     if not found:
-        found = [windows(docs, items, words, broadcast_rows).withColumn("_n", F.lit(words))]
+        found = [windows(docs, items, words, inline).withColumn("_n", F.lit(words))]
     content = ["_c1", "_c2"]
     every = stored(reduce(DataFrame.unionByName, found).withColumns({"_c1": F.xxhash64("_n", "_window"), "_c2": F.xxhash64(F.lit(9), "_window")}), "windows")
     classes = every.groupBy(*content).agg(F.first("_window").alias("_window"), F.first("_n").alias("_n"))

@@ -118,13 +118,13 @@ def windows(docs: DataFrame, items: DataFrame, n: int, inline: int) -> DataFrame
     cut = F.slice("_all", F.col("first_word") + 1, F.col("_words") - n + 1).alias("_window")
     if places.count() <= inline:
         known = bit_table(places, F.col("_h"))
-        hits = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: known(F.get("_all", i)))
-        at = rows.filter(F.size("_all") > 0).withColumn("_hits", hits).filter(F.size("_hits") > 0)
-        found = at.select("doc_id", "row_hash", "_all", F.explode("_hits").alias("_pos")).withColumn("_h", F.get("_all", F.col("_pos")))
-        found = found.join(places, "_h").select("doc_id", "row_hash", start, "_words", "_all")
+        hits = F.filter(F.sequence(F.lit(0), F.size("_all")), lambda i: known(F.get("_all", i)))
+        # Outer, and filtered afterwards: a filter on the arrays would be moved into them and work them out anew for each element.
+        found = rows.withColumn("_hits", hits).select("doc_id", "row_hash", "_all", F.explode_outer("_hits").alias("_pos"))
+        found = found.filter(F.col("_pos").isNotNull()).withColumn("_h", F.get("_all", F.col("_pos"))).join(places, "_h").select("doc_id", "row_hash", start, "_words", "_all")
         # Every shingle of a passage puts its item at the same place.
         return found.select("doc_id", "row_hash", "first_word", "_words", cut).distinct()
-    found = rows.select("doc_id", "row_hash", F.posexplode("_all").alias("_pos", "_h")).join(places, "_h")
+    found = rows.select("doc_id", "row_hash", F.posexplode_outer("_all").alias("_pos", "_h")).join(places, "_h")
     found = found.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r"), start, "_words").distinct()
     again = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_hash") == F.col("_r")))
     return again.select("doc_id", "row_hash", "first_word", "_words", cut).distinct()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterfold.llm import decontamination, embedding_dedup, language_id, line_dedup, packing, secret_scan, token_counts, url_filter
+from meterfold.llm import decontamination, embedding_dedup, jaccard_join, language_id, line_dedup, packing, secret_scan, token_counts, url_filter
 from meterfold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op2(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+@query("op3_jaccard_join")
+def op3(spark, sf_dir):
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 @query("op4_line_dedup", line_dedup.SQL)
 def op4(spark, sf_dir):
     return line_dedup.summary(table(spark, sf_dir, "documents"))

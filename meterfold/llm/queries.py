@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterfold.llm import decontamination, embedding_dedup, jaccard_join, language_id, line_dedup, packing, secret_scan, token_counts, url_filter
+from meterfold.llm import decontamination, embedding_dedup, jaccard_join, language_id, line_dedup, lm_score, packing, secret_scan, token_counts, url_filter
 from meterfold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+@query("op1_lm_score")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("learn", remainder("doc_id", 5) != 1)
+    scored = lm_score.score(docs)
+    return scored.withColumn("held_out", ~F.col("learn")).drop("learn")
+
+
 @query("op2_url_filter")
 def op2(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))

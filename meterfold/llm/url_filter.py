@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterfold.llm.common import lower_ascii
+from meterfold.llm.common import lower_ascii, stored
 
 # The rules of the query, (verdict, host, path).
 RULES = [
@@ -71,11 +71,11 @@ def shape(depth: int):
 def templates(labelled: DataFrame, depth: int, most_children: int, z: float, smoothing: float, reject: float) -> DataFrame:
     """For each host and path shape (_s1.._s<depth>): its template, counts, purity and whether it is rejected."""
     shapes = [f"_s{k}" for k in range(1, depth + 1)]
-    nodes = labelled.groupBy("host", *shapes).agg(
+    nodes = stored(labelled.groupBy("host", *shapes).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count("_label").alias("_labelled"),
         F.coalesce(F.sum("_label"), F.lit(0)).alias("_blocked"),
-    )
+    ), "nodes")
     totals = [F.sum(c).alias(c) for c in ("_n", "_labelled", "_blocked")]
     above = ["host"]
     for k in range(1, depth + 1):
@@ -92,7 +92,7 @@ def templates(labelled: DataFrame, depth: int, most_children: int, z: float, smo
         gap = F.abs(F.col("_blocked") / F.col("_labelled") - (F.col("_pb") - F.col("_blocked")) / rest)
         similar = (F.col("_labelled") > 0) & F.when(rest > 0, gap <= F.lit(z) * error).otherwise(F.lit(False))
         seen = seen.select(*above, child, F.when(variable, "*").when(F.coalesce(similar, F.lit(False)), "~").otherwise(F.col(child)).alias(named))
-        nodes = nodes.join(seen, [*above, child])
+        nodes = stored(nodes.join(seen, [*above, child]), "nodes")  # a level's plan would hold those above it several times
         above = [*above, named]
     whole = nodes.groupBy(*above).agg(F.sum("_labelled").alias("_tl"), F.sum("_blocked").alias("_tb"))
     purity = (F.col("_tb") + smoothing / 2) / (F.col("_tl") + smoothing)

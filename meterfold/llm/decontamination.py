@@ -162,6 +162,5 @@ def leaks(
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a benchmark passage."""
     bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r")).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    joined = keyed.join(bad, keyed["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left_anti")
-    return joined.select(*docs.columns)
+    given = docs.select(F.struct(*docs.columns).alias("given"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    return given.join(bad, F.col("id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_r")), "left_anti").select("given.*")

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterfold.llm.common import byte_slices, small_batches
 
@@ -174,8 +175,11 @@ class Scorer:
         return present @ self.weights / size, lettered
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1) of every row; the text alone is read."""
+def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1) of every row; the text alone is read.
+
+    With ``keep``, the columns of ``docs`` go along as the struct ``given`` instead of doc_id.
+    """
     small_batches(docs.sparkSession)
     key = hash((tuple(model.languages), model.grams.tobytes(), model.weights.tobytes()))
 
@@ -201,6 +205,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     which = margin.argmax(1)
                     langs = [model.languages[w] if ok else UNKNOWN for w, ok in zip(which, lettered)]
                     best = np.where(lettered, odds[np.arange(n), which], 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), pa.array(langs), pa.array(best.astype(np.float64))], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("given").slice(row, n), pa.array(langs), pa.array(best.astype(np.float64))], names=["given", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+    given = F.struct(*docs.columns) if keep else F.struct(F.col("doc_id").cast("long"))
+    read = docs.select(given.alias("given"), "text")
+    schema = T.StructType([read.schema["given"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    scored = read.mapInArrow(score, schema)
+    return scored if keep else scored.select("given.doc_id", "lang_pred", "score")

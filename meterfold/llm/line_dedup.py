@@ -68,28 +68,30 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, blocks
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the text that is left, and n_lines and n_dropped as ``_n_lines``, ``_n_dropped``."""
-    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row"), F.col("dropped").alias("_dropped"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(marks, keyed["doc_id"].cast("long").eqNullSafe(marks["_doc"]) & (F.col("_key") == F.col("_row")), "left")
-    split = lines(F.col("text"))
-    words = F.col("_dropped")
-    kept = F.filter(split, lambda s, i: F.getbit(F.coalesce(F.get(words, F.shiftright(i, 6)), F.lit(0).cast("long")), i % 64) == 0)
+    """``given`` (all columns of ``docs``), ``left`` (the text that is left), n_lines and n_dropped."""
+    given = docs.select(F.struct(*docs.columns).alias("given"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row"), F.col("dropped").alias("words"))
+    joined = given.join(marks, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_row")), "left")
+    text, words, none = F.col("given.text"), F.col("words"), F.lit(0).cast("long")
+    kept = F.filter(lines(text), lambda s, i: F.getbit(F.coalesce(F.get(words, F.shiftright(i, 6)), none), i % 64) == 0)
     return joined.select(
-        *(docs[c] for c in docs.columns if c != "text"),
-        F.when(words.isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(split).cast("long").alias("_n_lines"),
-        F.coalesce(F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w)), F.lit(0).cast("long")).alias("_n_dropped"),
-    ).select(*docs.columns, "_n_lines", "_n_dropped")
+        "given",
+        F.when(words.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("left"),
+        F.size(lines(text)).cast("long").alias("n_lines"),
+        F.coalesce(F.aggregate(words, none, lambda a, w: a + F.bit_count(w)), none).alias("n_dropped"),
+    )
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    return apply_bitmaps(docs, keep_bitmaps(docs, **options))
+    """The documents with the text that is left; other columns are kept."""
+    left = apply_bitmaps(docs, keep_bitmaps(docs, **options))
+    return left.select(*((F.col("left") if c == "text" else F.col(f"given.`{c}`")).alias(c) for c in docs.columns))
 
 
 def summary(docs: DataFrame, **options) -> DataFrame:
-    left = dedup(docs.select(F.col("doc_id").cast("long"), "text"), **options)
-    return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_dropped and the SHA-256 of the text that is left."""
+    left = apply_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, **options))
+    return left.select(F.col("given.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2("left", 256).alias("kept_sha256"))
 
 
 SQL = """

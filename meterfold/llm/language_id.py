@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
                     best = np.where(lettered, odds[np.arange(n), which], 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column("given").slice(row, n), pa.array(langs), pa.array(best.astype(np.float64))], names=["given", "lang_pred", "score"])
 
-    given = F.struct(*docs.columns) if keep else F.struct(F.col("doc_id").cast("long"))
+    given = F.struct(*docs.columns) if keep else F.struct(F.col("doc_id").cast("long").alias("doc_id"))
     read = docs.select(given.alias("given"), "text")
     schema = T.StructType([read.schema["given"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     scored = read.mapInArrow(score, schema)

@@ -7,12 +7,14 @@ Exact, by a token-group matrix over groups of similar documents:
    to nothing. One half of the token universe is enough for that test. Tokens travel packed by
    ranges, and only counts come back.
 2. The classes that are left are grouped: documents with a common min-hash sketch are compared
-   with the sketch's smallest document, and links make groups.
-3. The matrix holds the token union of every group, in parts of at most about ``part`` members.
-   A document asks only if enough of its tokens stand in other groups. It is sent to the parts
-   that hold one of its rarest tokens (as many as must contain a common one), where its overlap
-   with the part's union bounds the similarity; the part is opened, and its members compared,
-   only if the bound reaches the threshold.
+   with the sketch's smallest document, and links make groups. Those of which enough tokens
+   stand in other groups are compared once more, by single min-hashes.
+3. The matrix holds the token union of every group, in parts of at most about ``part`` members
+   of about one size. A document asks only if enough of its tokens stand in other groups. It is
+   sent to the parts of a possible size in which one of its rarest tokens is among a member's
+   rarest: as many as must contain a common one, given both sizes, groups being counted. There its overlap with
+   the part's union bounds the similarity; the part is opened, and its members compared, only if
+   the bound reaches the threshold.
 
 A group of near copies is linked through its smallest members and never compared all with all.
 Components are those of the links found, which connect exactly what all links would.
@@ -34,8 +36,10 @@ from meterfold.llm.common import byte_slices, mix, numbers, shingle_sets, small_
 from meterfold.llm.components import components
 
 SKETCHES, MINIMA = 4, 3
+SINGLES = 8
 CHUNK_TOKENS = 1_000_000
 _SEEDS = numbers(SKETCHES * MINIMA, 31)
+_SINGLE_SEEDS = numbers(SINGLES, 37)
 SET = "doc_id long, n long, d1 long, d2 long"
 
 
@@ -61,6 +65,10 @@ def sketches(tokens: np.ndarray) -> list[int]:
     return [hash(tuple(lows[k : k + MINIMA])) for k in range(0, len(lows), MINIMA)]
 
 
+def minima(tokens: np.ndarray) -> list[int]:
+    return [int(mix(tokens ^ s).min().view(np.int64)) for s in _SINGLE_SEEDS]
+
+
 def sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
@@ -229,25 +237,53 @@ def sketch_links(sets: DataFrame, percent: int) -> DataFrame:
     return verified(mine.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b"), percent)
 
 
+def minhash_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of documents with the smallest documents of their min-hashes, where those are in other groups."""
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [minima(np.frombuffer(b.as_py(), np.uint64)) for b in batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("owner"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "owner", "lows"])
+
+    rows = sets.select("doc_id", "owner", "tokens").mapInArrow(low, "doc_id long, owner long, lows array<long>").select("doc_id", "owner", F.posexplode("lows").alias("k", "s"))
+    lowest = rows.groupBy("k", "s").agg(F.min(F.struct("doc_id", "owner")).alias("_p")).select("k", "s", F.col("_p.doc_id").alias("b"), F.col("_p.owner").alias("_other"))
+    pairs = rows.join(lowest, ["k", "s"]).filter("owner <> _other").select(F.col("doc_id").alias("a"), "b").distinct()
+    mine = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
+    return verified(mine.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b"), percent)
+
+
 def matrix_links(sets: DataFrame, percent: int, part: int) -> DataFrame:
     """Links between groups: sets (doc_id, n, tokens, owner: the group) that may have one."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, owner, piece, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "owner", "part", "tokens"))):
+            for doc, owner, size, piece, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "owner", "size", "part", "tokens"))):
                 t = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t)] + [pa.array(np.full(len(t), v)) for v in (doc, owner, piece, len(t))], names=["token", "doc_id", "owner", "part", "n"])
-
-    # A group's parts: one for every ``part`` of its members.
-    many = sets.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / part).alias("_parts"))
-    parted = stored(sets.join(many, "owner").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("long")).select("doc_id", "n", "owner", "part", "tokens"), "parts")
-    cells = parted.mapInArrow(spread, "token long, doc_id long, owner long, part long, n long")
-    matrix = cells.select("token", "owner", "part").distinct()
-    spreads = matrix.select("token", "owner").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("_groups"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t)] + [pa.array(np.full(len(t), v)) for v in (doc, owner, size, piece, len(t))], names=["token", "doc_id", "owner", "size", "part", "n"]
+                )
+
+    # Two similar sets are of one size class or of neighbouring ones.
+    sized = sets.withColumn("size", F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + F.lit(1e-9)).cast("long"))
+    many = sized.groupBy("owner", "size").agg(F.ceil(F.count(F.lit(1)) / part).alias("_parts"))
+    piece = F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("long").alias("part")
+    parted = stored(sized.join(many, ["owner", "size"]).select("doc_id", "n", "owner", "size", piece, "tokens"), "parts")
+    cells = parted.mapInArrow(spread, "token long, doc_id long, owner long, size long, part long, n long")
+    spreads = cells.select("token", "owner").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("_groups"))
     ranked = cells.join(spreads, "token").withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("_groups", "token")))
-    rare = ranked.filter((F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("_groups") > 1))
-    asked = rare.select("token", "doc_id", F.col("owner").alias("_own")).join(matrix, "token").filter("owner <> _own").select("doc_id", "owner", "part").distinct()
-    asking = asked.join(parted.select("doc_id", F.col("tokens")), "doc_id")
+    # If a token is the first common one of two sets, both have no more common tokens than come from it on.
+    # That is enough for a partner of at most ``reach`` tokens.
+    left = F.col("n") - F.col("_rank") + 1
+    reach = F.floor(((100 + percent) * left - percent * F.col("n")) / percent)
+    rare = ranked.withColumn("reach", reach).filter((F.col("reach") * 100 >= F.col("n") * percent) & (F.col("_groups") > 1))
+    rare = stored(rare.select("token", "doc_id", "n", "owner", "size", "part", "reach"), "rare")
+    keys = ["owner", "size", "part"]
+    matrix = rare.groupBy(F.col("token").alias("_token"), *keys).agg(F.max("reach").alias("_reach"), F.min("n").alias("_least"))
+    # Of two groups the one of the larger number asks.
+    asking = rare.select("token", "doc_id", "n", "reach", F.col("owner").alias("_own"), F.col("size").alias("_size"))
+    possible = (F.col("owner") < F.col("_own")) & (F.abs(F.col("size") - F.col("_size")) <= 1) & (F.col("n") <= F.col("_reach")) & (F.col("_least") <= F.col("reach"))
+    asked = asking.join(matrix, (F.col("token") == F.col("_token")) & possible).select("doc_id", *keys).distinct()
+    queries = asked.join(parted.select("doc_id", F.col("tokens").alias("_raw")), "doc_id").select(F.col("doc_id").alias("query"), F.col("_raw").alias("asking"), *(F.col(k).alias(f"in_{k}") for k in keys))
 
     def open_part(members: pa.Table, queries: pa.Table) -> pa.Table:
         links = []
@@ -255,7 +291,7 @@ def matrix_links(sets: DataFrame, percent: int, part: int) -> DataFrame:
             own = [np.frombuffer(b, np.uint64) for b in members.column("tokens").to_pylist()]
             ids = members.column("doc_id").to_pylist()
             union = np.unique(np.concatenate(own))
-            for q, raw in zip(queries.column("doc_id").to_pylist(), queries.column("tokens").to_pylist()):
+            for q, raw in zip(queries.column("query").to_pylist(), queries.column("asking").to_pylist()):
                 t = np.frombuffer(raw, np.uint64)
                 if len(np.intersect1d(t, union, assume_unique=True)) >= least_common(len(t), percent):
                     hit = next((k for k, o in enumerate(own) if similar(t, o, percent)), None)
@@ -263,8 +299,20 @@ def matrix_links(sets: DataFrame, percent: int, part: int) -> DataFrame:
                         links.append((q, ids[hit]))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    keys = ["owner", "part"]
-    return parted.select("doc_id", "tokens", *keys).groupBy(*keys).cogroup(asking.select("doc_id", "tokens", *keys).groupBy(*keys)).applyInArrow(open_part, "a long, b long")
+    return parted.select("doc_id", "tokens", *keys).groupBy(*keys).cogroup(queries.groupBy(*(f"in_{k}" for k in keys))).applyInArrow(open_part, "a long, b long")
+
+
+def grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Sets with their group as ``owner``: the smallest document of the component."""
+    roots = components(links).withColumnRenamed("node", "doc_id")
+    rows = sets.select("doc_id", "n", "d1", "d2", "tokens").join(roots, "doc_id", "left")
+    return stored(rows.withColumn("owner", F.coalesce("root", "doc_id")).drop("root"), "grouped")
+
+
+def asking_others(groups: DataFrame, percent: int, ranges: int) -> DataFrame:
+    """The sets of which enough tokens stand in other groups."""
+    may = tested(dealt_sets(groups, ranges), percent).filter("open").select("doc_id")
+    return stored(groups.join(may, "doc_id", "left_semi"), "asking")
 
 
 def classes(docs: DataFrame, percent: int = 80, words: int = 5, part: int = 64) -> DataFrame:
@@ -277,11 +325,10 @@ def classes(docs: DataFrame, percent: int = 80, words: int = 5, part: int = 64)
     reps = every.filter("open").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     sets = stored(tokens_of(known, reps, words), "tokens")
     links = stored(sketch_links(sets, percent), "links")
-    roots = components(links)
-    grouped = sets.select("doc_id", "n", "d1", "d2", "tokens").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    grouped = stored(grouped.withColumn("owner", F.coalesce("root", "doc_id")).drop("root"), "grouped")
-    may = tested(dealt_sets(grouped, ranges), percent).filter("open").select("doc_id")
-    more = matrix_links(grouped.join(may, "doc_id", "left_semi").select("doc_id", "n", "tokens", "owner"), percent, part)
+    some = asking_others(grouped(sets, links), percent, ranges)
+    links = stored(links.unionByName(minhash_links(some, percent)), "links")
+    fewer = asking_others(grouped(some, links), percent, ranges)
+    more = matrix_links(fewer, percent, part)
     linked = components(links.unionByName(more))
     named = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("_root"))
     # Classes that may link with nothing are components of their own copies.

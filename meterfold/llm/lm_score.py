@@ -44,6 +44,25 @@ PACKED = "range long, chunk long, keys binary, counts binary, kinds binary"
 ANSWER = "chunk long, kind int, range long, counts binary, total long, distinct long, by_class array<long>"
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, compressed: high bytes are mostly alike."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
+
+
+def rising(keys: np.ndarray) -> bytes:
+    """Keys in rising order, as differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def from_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """Chunks of texts as numbers of the chunk's own vocabulary (hashes in rising order)."""
 
@@ -55,10 +74,10 @@ def encode(docs: DataFrame) -> DataFrame:
             vocabulary, ids = np.unique(words, return_inverse=True)
             sizes = np.fromiter((len(w) for _, _, w in rows), np.int64, len(rows))
             learn = np.fromiter((bool(x) for _, x, _ in rows), bool, len(rows))
-            packed = zlib.compress(ids.astype(np.uint32).tobytes(), 1)
+            packed = planes(ids.astype(np.uint32))
             return pa.RecordBatch.from_arrays(
                 [pa.array([chunk]), pa.array([[d for d, _, _ in rows]], pa.list_(pa.int64()))]
-                + [pa.array([x], pa.binary()) for x in (learn.tobytes(), sizes.tobytes(), packed, vocabulary.tobytes())],
+                + [pa.array([x], pa.binary()) for x in (learn.tobytes(), sizes.tobytes(), packed, rising(vocabulary))],
                 names=[x.split()[0] for x in ENCODED.split(", ")],
             )
 
@@ -83,8 +102,8 @@ class Texts:
 
     def __init__(self, row: dict):
         self.chunk, self.doc_ids = row["chunk"], row["doc_ids"]
-        self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        self.ids = np.frombuffer(zlib.decompress(row["words"]), np.uint32).astype(np.int64)
+        self.vocabulary = from_rising(row["vocabulary"])
+        self.ids = from_planes(row["words"], np.uint32).astype(np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.learn = np.frombuffer(row["learn"], bool)
         self.learned = np.repeat(self.learn, self.sizes)
@@ -110,7 +129,7 @@ def by_range(chunk: int, keys: np.ndarray, counts: np.ndarray, kinds: np.ndarray
     cuts = np.searchsorted(at, np.arange(ranges + 1))
     for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if b > a:
-            parts = [keys[a:b].tobytes(), zlib.compress(counts[a:b].astype(np.uint32).tobytes(), 1), zlib.compress(kinds[a:b].astype(np.uint8).tobytes(), 1)]
+            parts = [rising(keys[a:b]), zlib.compress(counts[a:b].astype(np.uint32).tobytes(), 1), zlib.compress(kinds[a:b].astype(np.uint8).tobytes(), 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([chunk])] + [pa.array([x], pa.binary()) for x in parts], names=[x.split()[0] for x in PACKED.split(", ")])
 
 
@@ -122,7 +141,7 @@ def totals(kind: int):
     """Adds up a range over all chunks; returns each chunk's keys' totals, and sums over the range with the first."""
 
     def add(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()]
+        keys = [from_rising(b) for b in table.column("keys").to_pylist()]
         counts = np.concatenate([np.frombuffer(zlib.decompress(b), np.uint32) for b in table.column("counts").to_pylist()])
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(which, counts, len(distinct)).astype(np.int64)

@@ -55,14 +55,16 @@ def yearly_variation(macro_daily: DataFrame, first: dt.date, last: dt.date | Non
 
 
 def neighbour_variations(variations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each macrozone's neighbours with their variation of every type and day, one row each."""
+    """For each own variation the neighbours' of the same type and day, one row each.
+
+    Own rows are sent to the neighbours first, so the large join has the fine key.
+    """
     theirs = variations.withColumnsRenamed(
         {"region_name": "neighbour_region", "macrozone_name": "neighbour"}
     )
-    return (
-        pairs.withColumnRenamed("name", "macrozone_name").drop("distance_m")
-        .join(theirs, ["neighbour_region", "neighbour"])
-    )
+    near = pairs.withColumnRenamed("name", "macrozone_name").drop("distance_m")
+    own = variations.select(*KEYS, "day").join(near, ["region_name", "macrozone_name"])
+    return own.join(theirs, ["neighbour_region", "neighbour", "type", "day"])
 
 
 _VALUES = ["current", "previous", "delta_perc"]

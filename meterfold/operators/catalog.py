@@ -1,13 +1,10 @@
 """Location and device catalogue: lists with child counts, nested details."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterfold.functions import geo
 
-PAGE = 10_000
-
-
 def with_child_count(parents: DataFrame, children: DataFrame, parent_keys: list[str], child_keys: list[str], name: str) -> DataFrame:
     """Parents with the number of their children, 0 included; children are counted before the join."""
     counts = children.groupBy(*[F.col(c).alias(p) for p, c in zip(parent_keys, child_keys)]).agg(F.count(F.lit(1)).alias(name))
@@ -31,42 +28,32 @@ def zone_list(zones: DataFrame) -> DataFrame:
     return zones.select("region_name", "macrozone_name", "name", "creation_time")
 
 
-def nest(parents: DataFrame, keys: list[str], children: dict[str, tuple[DataFrame, list[str]]], page: int = PAGE) -> DataFrame:
+def nest(parents: DataFrame, keys: list[str], children: dict[str, tuple[DataFrame, list[str]]], pages: int = 1) -> DataFrame:
     """Parents with one sorted array column per child frame.
 
-    ``children`` maps the array's name to (frame with the key columns, element columns).
-    A parent with more than ``page`` children of a kind gives several rows, numbered by
-    the column ``page``, so no array grows with the data; ``<name>_count`` always holds
-    the total. Children are spread over the pages by hash. All kinds are gathered in one
-    aggregation instead of one join each.
+    ``children`` maps the array's name to (frame with the key columns, element columns). Every
+    parent gives ``pages`` rows, numbered by the column ``page``, however many children it has;
+    children are spread over the pages by hash, and ``<name>_count`` always holds the total. A
+    caller whose parents have very many children asks for more pages, so that no array is too
+    long. All kinds are gathered in one aggregation, in which each child is read once.
     """
     kinds = list(children)
-    gathered, totals = None, None
+    gathered = None
     for kind, (frame, cols) in children.items():
         item = F.struct(*cols)
-        size = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_kind", F.lit(kind))
-        totals = size if totals is None else totals.unionByName(size)
-        rows = frame.select(*keys, F.xxhash64(*cols).alias("_h"), *[
+        rows = frame.select(*keys, F.pmod(F.xxhash64(*cols), F.lit(pages)).cast("long").alias("page"), *[
             (item if k == kind else F.lit(None)).alias(k) for k in kinds
-        ]).withColumn("_kind", F.lit(kind))
+        ])
         gathered = rows if gathered is None else gathered.unionByName(rows, allowMissingColumns=True)
-    totals = totals.groupBy(*keys).agg(*[
-        F.coalesce(F.max(F.when(F.col("_kind") == k, F.col("_n"))), F.lit(0)).alias(f"{k}_count") for k in kinds
-    ])
-    most = F.greatest(*[F.col(f"{k}_count") for k in kinds]) if len(kinds) > 1 else F.col(f"{kinds[0]}_count")
-    pages = totals.withColumn("_pages", F.ceil(most / page))
-    arrays = (
-        gathered.join(pages.select(*keys, "_pages"), keys)
-        .groupBy(*keys, F.pmod("_h", "_pages").alias("page"))
-        .agg(*[F.sort_array(F.collect_list(k)).alias(k) for k in kinds])
-    )
-    empty = {k: F.array().cast(arrays.schema[k].dataType) for k in kinds}
-    out = parents.join(totals, keys, "left").join(arrays, keys, "left")
-    return out.select(
-        *parents.columns, F.coalesce("page", F.lit(0)).alias("page"),
-        *[F.coalesce(F.col(f"{k}_count"), F.lit(0)).alias(f"{k}_count") for k in kinds],
-        *[F.coalesce(F.col(k), empty[k]).alias(k) for k in kinds],
-    )
+    arrays = gathered.groupBy(*keys, "page").agg(*[F.sort_array(F.collect_list(k)).alias(k) for k in kinds])
+    every = parents.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pages - 1).cast("long"))))
+    out = every.join(arrays, [*keys, "page"], "left")
+    for k in kinds:
+        out = out.withColumn(k, F.coalesce(F.col(k), F.array().cast(arrays.schema[k].dataType)))
+        size = F.size(k).cast("long")
+        total = size if pages == 1 else F.sum(size).over(Window.partitionBy(*keys))
+        out = out.withColumn(f"{k}_count", total)
+    return out.select(*parents.columns, "page", *[f"{k}_count" for k in kinds], *kinds)
 
 
 def region_detail(regions: DataFrame, macrozones: DataFrame, region_hubs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterfold import params
+from meterfold import params, schemas
 
 
 def last_seen(readings: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
@@ -67,22 +67,22 @@ def upsert(devices: DataFrame, messages: DataFrame, keys: list[str], attributes:
     )
 
 
-def first_registrations(messages: DataFrame, known: DataFrame, key: str = "sensor_id", time: str = "time") -> DataFrame:
-    """The earliest message of every sensor that is not known yet. ``known`` has the key column."""
-    rest = [c for c in messages.columns if c != key]
-    first = messages.groupBy(key).agg(
+def first_registrations(messages: DataFrame, known: DataFrame, keys: list[str] = schemas.SENSOR, time: str = "time") -> DataFrame:
+    """The earliest message of every sensor that is not known yet. ``known`` has the key columns."""
+    rest = [c for c in messages.columns if c not in keys]
+    first = messages.groupBy(*keys).agg(
         F.min_by(F.struct(*rest), F.struct(time, *[c for c in rest if c != time])).alias("_m")
     )
-    return first.join(known.select(key), key, "left_anti").select(key, "_m.*")
+    return first.join(known.select(*keys), keys, "left_anti").select(*keys, "_m.*")
 
 
 def health(
     known: DataFrame, seen: DataFrame, now: dt.datetime, unhealthy_after: int = params.UNHEALTHY_AFTER,
-    deregister_after: int = params.DEREGISTER_AFTER, key: str = "sensor_id",
+    deregister_after: int = params.DEREGISTER_AFTER, keys: list[str] = schemas.SENSOR,
 ) -> DataFrame:
     """healthy, unhealthy or removed for every known sensor; one never seen is removed.
 
-    ``seen`` has the key and last_seen.
+    ``seen`` has the keys and last_seen.
     """
     at = F.lit(now).cast("timestamp_ntz")
     age = lambda s: at - F.expr(f"INTERVAL {int(s)} SECONDS")
@@ -92,4 +92,4 @@ def health(
         .when(last < age(unhealthy_after), "unhealthy")
         .otherwise("healthy")
     )
-    return known.select(key).join(seen.select(key, "last_seen"), key, "left").withColumn("status", status)
+    return known.select(*keys).join(seen.select(*keys, "last_seen"), keys, "left").withColumn("status", status)

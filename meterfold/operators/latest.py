@@ -32,15 +32,16 @@ def latest_row(df: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
 
 
 def ranked(
-    df: DataFrame, keys: list[str], limit: int = params.ROW_LIMIT, ties: tuple[str, ...] = (), time: str = "time"
+    df: DataFrame, keys: list[str], limit: int | None = params.ROW_LIMIT, ties: tuple[str, ...] = (), time: str = "time"
 ) -> DataFrame:
-    """Recency rank per key, 1 = newest, of the newest ``limit`` rows.
+    """Recency rank per key, 1 = newest, of the newest ``limit`` rows (None: of all).
 
     The rank filter is also applied before the shuffle, so a hot key sends at most
     ``limit`` rows per task.
     """
     w = Window.partitionBy(*keys).orderBy(F.col(time).desc(), *ties)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= _check(limit))
+    out = df.withColumn("rank", F.row_number().over(w))
+    return out if limit is None else out.filter(F.col("rank") <= _check(limit))
 
 
 def oldest_pending(outbox: DataFrame, limit: int = params.OUTBOX_PAGE, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -17,12 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterfold import params
+from meterfold import params, schemas
 from meterfold.session import checkpointed
 
-# Above this many rows of one sensor its history is split over several tasks.
-HOT_ROWS = 20_000_000
-
 
 def judge(values, kept: deque, size: int, min_samples: int, factor: float) -> np.ndarray:
     """Acceptance flags of consecutive readings of one sensor; ``kept`` is updated.
@@ -83,7 +80,7 @@ def _walk(entries: dict, rule: tuple):
         for pdf in batches:
             if not len(pdf):
                 continue
-            keys, values = pdf["sensor_id"].to_numpy(), pdf["value"].tolist()
+            keys, values = pdf["_sensor"].to_numpy(), pdf["value"].tolist()
             flags = np.empty(len(pdf), dtype=bool)
             for a, b in _runs(keys):
                 if keys[a] != current:
@@ -91,7 +88,7 @@ def _walk(entries: dict, rule: tuple):
                         kept = deque()
                     current, first = keys[a], False
                 flags[a:b] = judge(values[a:b], kept, *rule)
-            yield pdf.assign(accepted=flags)
+            yield pdf.drop(columns="_sensor").assign(accepted=flags)
 
     return run
 
@@ -109,7 +106,7 @@ def _boundary(entries: dict, only: set | None, rule: tuple):
         for pdf in batches:
             if not len(pdf):
                 continue
-            keys, values = pdf["sensor_id"].to_numpy(), pdf["value"].tolist()
+            keys, values = pdf["_sensor"].to_numpy(), pdf["value"].tolist()
             for a, b in _runs(keys):
                 if keys[a] != current:
                     if current is not None:
@@ -161,27 +158,27 @@ def _entry_histories(parts: DataFrame, rule: tuple) -> dict:
 def flag_outliers(
     readings: DataFrame, size: int = params.HISTORY_SIZE, min_samples: int = params.MIN_SAMPLES,
     factor: float = params.SIGMA_FACTOR, order: tuple[str, ...] = ("time", "value"),
-    hot_rows: int = HOT_ROWS, partitions: int | None = None,
+    keys: list[str] = schemas.SENSOR, partitions: int | None = None, split: bool = True,
 ) -> DataFrame:
-    """Readings with a column ``accepted``; the history is keyed by sensor_id only.
-
-    While no sensor has more than ``hot_rows`` rows, sensors are hashed to tasks: one
-    shuffle. Otherwise rows are range-partitioned by (sensor, order), which spreads a
-    hot sensor over many tasks, and the histories are handed over the partition borders
-    exactly (see ``_entry_histories``). Either way rows stream through a task in Arrow
-    batches; no sensor is held in memory.
+    """Readings with a column ``accepted``; a sensor is known by ``keys``, its place included.
+
+    Rows are range-partitioned by (sensor, order), which spreads a sensor with many rows over
+    many tasks, and the histories are handed over the partition borders exactly (see
+    ``_entry_histories``). With ``split=False`` a sensor stays in one task, which saves the
+    checkpoint where the caller knows that no sensor is large. Either way rows stream through a
+    task in Arrow batches; no sensor is held in memory. ``partitions`` is left to Spark if not
+    given. Rows with a null value are no readings and are left out.
     """
-    spark = readings.sparkSession
     rule = (size, min_samples, factor)
-    readings = readings.filter(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
-    out = T.StructType([*readings.schema.fields, T.StructField("accepted", T.BooleanType())])
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    largest = readings.groupBy("sensor_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_rows:
-        rows = readings.repartition(n, "sensor_id").sortWithinPartitions("sensor_id", *order)
-        return rows.mapInPandas(_walk({}, rule), out)
-    parts = checkpointed(readings.repartitionByRange(n, "sensor_id", *order).sortWithinPartitions("sensor_id", *order))
-    return parts.mapInPandas(_walk(_entry_histories(parts, rule), rule), out)
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    rows = readings.filter(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
+    rows = rows.withColumn("_sensor", F.concat_ws("\x1f", *parts))
+    out = T.StructType([*rows.drop("_sensor").schema.fields, T.StructField("accepted", T.BooleanType())])
+    number = [partitions] if partitions else []
+    if not split:
+        return rows.repartition(*number, "_sensor").sortWithinPartitions("_sensor", *order).mapInPandas(_walk({}, rule), out)
+    dealt = checkpointed(rows.repartitionByRange(*number, "_sensor", *order).sortWithinPartitions("_sensor", *order))
+    return dealt.mapInPandas(_walk(_entry_histories(dealt, rule), rule), out)
 
 
 def accepted(readings: DataFrame, **rule) -> DataFrame:

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterfold import params
+from meterfold import params, schemas
 from meterfold.functions import timeutil
 from meterfold.functions.scalars import ratio_or_null, ratio_or_zero
 from meterfold.operators import filters
@@ -48,16 +48,18 @@ def _stamped(df: DataFrame, edge: str, keys: list[str], measures: list[str]) ->
 
 
 def sensor_means(readings: DataFrame, seconds: int = params.MINUTE) -> DataFrame:
-    """Mean per sensor and interval, stamped with its start; place and type of the newest reading."""
-    place = F.struct("type", "zone_name", "macrozone_name", "region_name")
-    order = F.struct("time", "type", "zone_name", "macrozone_name")
-    out = readings.groupBy(_window(seconds), "sensor_id").agg(
-        F.avg("value").cast("double").alias("value"), F.max_by(place, order).alias("p")
+    """Mean per sensor and interval, stamped with its start, with the type of the newest reading.
+
+    Rows are added up by type in a hash aggregation first; only the few types of a sensor's
+    interval are compared by time.
+    """
+    typed = readings.groupBy(_window(seconds), *schemas.SENSOR, "type").agg(
+        F.sum(F.col("value").cast("double")).alias("_sum"), F.count("value").alias("_n"), F.max("time").alias("_at")
     )
-    return out.select(
-        F.col("window.start").alias("time"), "p.region_name", "p.macrozone_name", "p.zone_name", "sensor_id",
-        "p.type", "value",
+    out = typed.groupBy("window", *schemas.SENSOR).agg(
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("value"), F.max_by("type", F.struct("_at", "type")).alias("type")
     )
+    return out.select(F.col("window.start").alias("time"), *schemas.SENSOR, "type", "value")
 
 
 def zone_stats(readings: DataFrame, seconds: int = params.ZONE_INTERVAL) -> DataFrame:
@@ -187,8 +189,10 @@ def catch_up_zone_stats(
     end = timeutil.truncate_instant(now - dt.timedelta(seconds=delay), seconds)
     first = timeutil.truncate_instant(now - dt.timedelta(seconds=look_back + delay + seconds), seconds)
     start = F.coalesce(F.col("last_time"), F.lit(first).cast("timestamp_ntz"))
+    # The earliest resume point, one row, bounds the scan from below; the join keeps the exact test.
+    earliest = last.agg(F.min(start)).first()[0] or first
     due = (
-        readings.filter(F.col("time") < F.lit(end).cast("timestamp_ntz"))
+        readings.filter(filters.in_range("time", earliest, end))
         .join(last, [c for c in last.columns if c != "last_time"], "left")
         .filter(F.col("time") >= start)
         .drop("last_time")

@@ -4,6 +4,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from meterfold import schemas
+
 
 def unique_union(*frames: DataFrame) -> DataFrame:
     """Distinct rows of any number of frames; duplicates collapse before the shuffle."""
@@ -12,9 +14,7 @@ def unique_union(*frames: DataFrame) -> DataFrame:
 
 def known_sensors(registered: DataFrame, readings: DataFrame) -> DataFrame:
     """Registered sensors and those that have readings."""
-    return unique_union(
-        registered.selectExpr("id AS sensor_id"), readings.select("sensor_id")
-    )
+    return unique_union(registered.withColumnRenamed("id", "sensor_id").select(*schemas.SENSOR), readings.select(*schemas.SENSOR))
 
 
 def with_neighbours(requested: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -51,9 +51,9 @@ def neighbours(places: DataFrame, radius_m: float, rows_per_block: int = _ROWS_P
     ``places`` has region_name, name, lat, lon. Positions become points on the unit
     sphere and are put into cubes as wide as the chord of the radius, so partners lie in
     the same or a touching cube: one equi-join with an exact test, for every radius and
-    without special cases at the poles or the date line. Where a cube holds more than
-    ``rows_per_block`` places, all cubes are cut into blocks of that size on both sides, so
-    no join key holds more than about that many rows of a side.
+    without special cases at the poles or the date line. Cubes are cut into blocks of about
+    ``rows_per_block`` places on both sides, so no join key holds more than about that many
+    rows of a side.
     """
     if radius_m < 0:
         raise ValueError("radius must not be negative")
@@ -75,14 +75,12 @@ def neighbours(places: DataFrame, radius_m: float, rows_per_block: int = _ROWS_P
     probe = probe.filter(_touches_sphere(cells, side))
 
     counts = at.groupBy(*cells).count()
-    on = list(cells)
-    if (counts.agg(F.max("count")).first()[0] or 0) > rows_per_block:
-        blocks = counts.select(*cells, F.ceil(F.col("count") / rows_per_block).alias("blocks"))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        mine = F.pmod("h", "blocks")
-        build = build.join(blocks, cells).withColumn("b", mine).withColumn("p", every).drop("blocks")
-        probe = probe.join(blocks, cells).withColumn("p", mine).withColumn("b", every).drop("blocks")
-        on += ["p", "b"]
+    blocks = counts.select(*cells, F.ceil(F.col("count") / rows_per_block).alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    mine = F.pmod("h", "blocks")
+    build = build.join(blocks, cells).withColumn("b", mine).withColumn("p", every).drop("blocks")
+    probe = probe.join(blocks, cells).withColumn("p", mine).withColumn("b", every).drop("blocks")
+    on = [*cells, "p", "b"]
     probe, build = probe.drop("h"), build.drop("h")
     d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) * 1000
     return (

@@ -100,7 +100,7 @@ class Tables:
         return (
             self._place(e, "home")
             .select(
-                "region_name", "macrozone_name", zone.alias("zone_name"), F.col("user_id").cast("string").alias("sensor_id"),
+                "region_name", "macrozone_name", zone.alias("zone_name"), (F.col("user_id") % 5).cast("string").alias("sensor_id"),
                 F.col("ts").alias("time"), F.col("event_type").alias("type"), "value", "event_id", "k",
             )
         )
@@ -212,7 +212,7 @@ class Tables:
         return (
             self._place(self.event_stream().withColumn("home", home), "home")
             .select(
-                "region_name", "macrozone_name", zone.alias("zone_name"), F.col("user_id").cast("string").alias("sensor_id"),
+                "region_name", "macrozone_name", zone.alias("zone_name"), (F.col("user_id") % 5).cast("string").alias("sensor_id"),
                 F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("type"), "value", "event_id",
             )
         )

@@ -53,13 +53,20 @@ def refresh_missing(stats: DataFrame, path: str, unit: str, keys: list[str], ins
 
 
 def scheduled_refresh(stats: DataFrame, path: str, unit: str, keys: list[str], now: dt.datetime, back: int = 2) -> DataFrame:
-    """Recompute the bucket of ``now`` and the ``back`` ones before it."""
+    """Recompute the bucket of ``now`` and the ``back`` ones before it; those without rows go."""
     start, end = timeutil.bucket_bounds(now, unit)
     for _ in range(back):
         start = timeutil.bucket_bounds(start - dt.timedelta(seconds=1), unit)[0]
-    fresh = rollup.calendar_rollup(stats.filter(filters.in_range("time", start, end)), unit, keys)
-    tables.overwrite_partitions(_stored(fresh, unit), path, ["bucket"])
-    return stats.sparkSession.read.parquet(path)
+    fresh = _stored(rollup.calendar_rollup(stats.filter(filters.in_range("time", start, end)), unit, keys), unit)
+    tables.overwrite_partitions(fresh, path, ["bucket"])
+    # A bucket that came out empty must not go on being served; at most ``back`` + 1 of them.
+    spark = stats.sparkSession
+    filled = {r.bucket for r in fresh.select("bucket").distinct().collect()}
+    while start < end:
+        if start.date() not in filled:
+            tables.drop_partition(spark, path, bucket=start.date())
+        start = timeutil.bucket_bounds(start, unit)[1]
+    return spark.read.parquet(path)
 
 
 def read_through(

@@ -20,7 +20,7 @@ FROM placed CROSS JOIN (VALUES ('0'), ('1'), ('2')) z(k) WHERE s_acctbal >= 0"""
     "ev": "SELECT *, cast(json_extract_string(props, '$.k') AS integer) AS k FROM events",
     "located": """
 SELECT p.region_name, p.macrozone_name, 'zone-' || cast(e.user_id % 3 AS varchar) AS zone_name,
-       cast(e.user_id AS varchar) AS sensor_id, e.ts AS time, e.event_type AS type, e.value, e.event_id, e.k
+       cast(e.user_id % 5 AS varchar) AS sensor_id, e.ts AS time, e.event_type AS type, e.value, e.event_id, e.k
 FROM ev e JOIN placed p ON p.s_suppkey = (e.user_id // 15) * 10""",
     "readings": "SELECT * EXCLUDE (k) FROM located",
     "outbox": "SELECT * EXCLUDE (k), CASE WHEN k < 25 THEN 'pending' ELSE 'sent' END AS status FROM located",

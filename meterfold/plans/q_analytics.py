@@ -190,7 +190,8 @@ def j11(t):
 
 _AROUND = """SELECT p.region_name, p.name AS macrozone_name, p.neighbour_region, p.neighbour, v.type, v.day,
   v.current, v.previous, v.delta_perc
-FROM pairs p JOIN variation v ON v.region_name = p.neighbour_region AND v.macrozone_name = p.neighbour"""
+FROM variation o JOIN pairs p ON p.region_name = o.region_name AND p.name = o.macrozone_name
+JOIN variation v ON v.region_name = p.neighbour_region AND v.macrozone_name = p.neighbour AND v.type = o.type AND v.day = o.day"""
 
 
 def neighbours_of(t):
@@ -235,22 +236,22 @@ def e9(t):
 
 @query("j13", """SELECT s.id, s.region_name, s.macrozone_name, s.zone_name, s.registration_time,
   greatest(s.last_seen, m.seen) AS last_seen
-FROM sensors s LEFT JOIN (SELECT sensor_id, macrozone_name, zone_name, max(time) AS seen FROM readings GROUP BY ALL) m
-  ON m.sensor_id = s.id AND m.macrozone_name = s.macrozone_name AND m.zone_name = s.zone_name""")
+FROM sensors s LEFT JOIN (SELECT sensor_id, region_name, macrozone_name, zone_name, max(time) AS seen FROM readings GROUP BY ALL) m
+  ON m.sensor_id = s.id AND m.region_name = s.region_name AND m.macrozone_name = s.macrozone_name AND m.zone_name = s.zone_name""")
 def j13(t):
-    seen = t.readings.select(F.col("sensor_id").alias("id"), "macrozone_name", "zone_name", "time")
+    seen = t.readings.select(F.col("sensor_id").alias("id"), "region_name", "macrozone_name", "zone_name", "time")
     return devices.advance_last_seen(t.sensors, seen, schemas.SENSOR_KEY)
 
 
-@query("j14", """SELECT c.sensor_id AS id, c.macrozone_name, c.zone_name,
+@query("j14", """SELECT c.sensor_id AS id, c.region_name, c.macrozone_name, c.zone_name,
   coalesce(any_value(d.type), arg_min(c.sensor_type, (c.time, c.sensor_type, c.sensor_reference))) AS type,
   coalesce(any_value(d.reference), arg_min(c.sensor_reference, (c.time, c.sensor_type, c.sensor_reference))) AS reference,
   coalesce(any_value(d.registration_time), min(c.time)) AS registration_time, max(c.time) AS last_seen
-FROM configs c LEFT JOIN device_sensors d ON d.id = c.sensor_id AND d.macrozone_name = c.macrozone_name AND d.zone_name = c.zone_name
-WHERE c.msg_type = 'new_sensor' GROUP BY c.sensor_id, c.macrozone_name, c.zone_name""")
+FROM configs c LEFT JOIN device_sensors d ON d.id = c.sensor_id AND d.region_name = c.region_name AND d.macrozone_name = c.macrozone_name AND d.zone_name = c.zone_name
+WHERE c.msg_type = 'new_sensor' GROUP BY c.sensor_id, c.region_name, c.macrozone_name, c.zone_name""")
 def j14(t):
     batch = t.configs.filter((F.col("msg_type") == "new_sensor") & (F.col("time") >= ntz(SPLIT))).select(
-        F.col("sensor_id").alias("id"), "macrozone_name", "zone_name", F.col("sensor_type").alias("type"),
+        F.col("sensor_id").alias("id"), "region_name", "macrozone_name", "zone_name", F.col("sensor_type").alias("type"),
         F.col("sensor_reference").alias("reference"), "time",
     )
     return devices.upsert(t.device_sensors, batch, schemas.SENSOR_KEY, ["type", "reference"])
@@ -262,18 +263,18 @@ def j15(t):
     return outbox.mark_sent(t.outbox, published, schemas.READING_KEY)
 
 
-@query("j16", """SELECT * FROM configs WHERE msg_type = 'new_sensor' AND sensor_id NOT IN (SELECT id FROM sensors)
-  QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY time, service) = 1""")
+@query("j16", """SELECT * FROM configs WHERE msg_type = 'new_sensor' AND (region_name, macrozone_name, zone_name, sensor_id) NOT IN (SELECT (region_name, macrozone_name, zone_name, id) FROM sensors)
+  QUALIFY row_number() OVER (PARTITION BY region_name, macrozone_name, zone_name, sensor_id ORDER BY time, service) = 1""")
 def j16(t):
     rows = t.configs.filter("msg_type = 'new_sensor'")
-    return devices.first_registrations(rows, t.sensors.selectExpr("id AS sensor_id"))
+    return devices.first_registrations(rows, t.sensors.withColumnRenamed("id", "sensor_id"))
 
 
 # ---- A: aggregates -------------------------------------------------------------
 
-@query("a1", """SELECT date_trunc('minute', time) AS time, sensor_id, arg_max(region_name, time) AS region_name,
-  arg_max(macrozone_name, time) AS macrozone_name, arg_max(zone_name, time) AS zone_name, arg_max(type, time) AS type,
-  round(avg(value), 6) AS value FROM readings GROUP BY date_trunc('minute', time), sensor_id""")
+@query("a1", """SELECT date_trunc('minute', time) AS time, region_name, macrozone_name, zone_name, sensor_id,
+  arg_max(type, (time, type)) AS type, round(avg(value), 6) AS value
+FROM readings GROUP BY date_trunc('minute', time), region_name, macrozone_name, zone_name, sensor_id""")
 def a1(t):
     return rnd(rollup.sensor_means(t.readings), 6, "value")
 
@@ -309,40 +310,40 @@ def a5(t):
     return stats_rounded(rollup.region_range_stats(t.macro_stats, dt.datetime(2000, 1, 1), dt.datetime(2001, 1, 1)))
 
 
-def _calendar_sql(unit: str, keys: str) -> str:
+def _calendar_sql(unit: str, keys: str, view: str) -> str:
     return f"""SELECT cast(date_trunc('{unit}', time) AS timestamp) AS {unit}, {keys}, min(min_value) AS min_value,
   max(max_value) AS max_value, round(cast(sum(cast(avg_sum AS decimal(18,2))) AS double) / sum(avg_count), 6) AS avg_value,
   round(cast(sum(cast(avg_sum AS decimal(18,2))) AS double), 2) AS total_sum, cast(sum(avg_count) AS bigint) AS total_count
-FROM macro_stats GROUP BY cast(date_trunc('{unit}', time) AS timestamp), {keys}"""
+FROM {view} GROUP BY cast(date_trunc('{unit}', time) AS timestamp), {keys}"""
 
 
 def _calendar_queries():
     for i, unit in enumerate(("day", "week", "month", "year")):
-        query(f"a{6 + i}", _calendar_sql(unit, "region_name, macrozone_name, type"))(
+        query(f"a{6 + i}", _calendar_sql(unit, "region_name, macrozone_name, type", "macro_stats"))(
             lambda t, u=unit: stats_rounded(rollup.macrozone_calendar(t.macro_stats, u))
         )
-        query(f"a{10 + i}", _calendar_sql(unit, "region_name, type"))(
-            lambda t, u=unit: stats_rounded(rollup.region_calendar(t.macro_stats, u))
+        query(f"a{10 + i}", _calendar_sql(unit, "region_name, type", "region_q"))(
+            lambda t, u=unit: stats_rounded(rollup.region_calendar(region_q(t), u))
         )
 
 
 _calendar_queries()
 
 
-@query("a19", "SELECT sensor_id, macrozone_name, zone_name, max(time) AS last_seen FROM readings GROUP BY ALL")
+@query("a19", "SELECT region_name, macrozone_name, zone_name, sensor_id, max(time) AS last_seen FROM readings GROUP BY ALL")
 def a19(t):
-    return devices.last_seen(t.readings, ["sensor_id", "macrozone_name", "zone_name"])
+    return devices.last_seen(t.readings, schemas.SENSOR)
 
 
-@query("a20", "SELECT hub_id, macrozone_name, zone_name, min(time) AS registration_time, max(time) AS last_seen FROM configs GROUP BY ALL")
+@query("a20", "SELECT hub_id, region_name, macrozone_name, zone_name, min(time) AS registration_time, max(time) AS last_seen FROM configs GROUP BY ALL")
 def a20(t):
-    return devices.first_and_last(t.configs, ["hub_id", "macrozone_name", "zone_name"])
+    return devices.first_and_last(t.configs, ["hub_id", "region_name", "macrozone_name", "zone_name"])
 
 
 @query("a21", """SELECT cast(h.hour AS integer) AS hour, round(coalesce(avg(value), 0), 6) AS mean, round(coalesce(stddev_pop(value), 0), 6) AS std
-  FROM range(24) h(hour) LEFT JOIN events e ON hour(e.ts) = h.hour AND e.event_type = 'signup' GROUP BY h.hour""")
+  FROM range(24) h(hour) LEFT JOIN events e ON hour(e.ts) = h.hour GROUP BY h.hour""")
 def a21(t):
-    return rnd(quality.hourly_profile(t.readings.filter("type = 'signup'")), 6, "mean", "std")
+    return rnd(quality.hourly_profile(t.readings), 6, "mean", "std")
 
 
 SPAN = 30 * 24 * 3600
@@ -353,10 +354,10 @@ _RATES = ("missing_rate", "missing_rate_adj")
   round(greatest((expected - received) / expected * 100, 0), 6) AS missing_rate,
   round(greatest((expected_adj - received) / expected_adj * 100, 0), 6) AS missing_rate_adj
 FROM (SELECT *, cast(round(expected * 0.85e0) AS bigint) AS expected_adj FROM
-  (SELECT count(DISTINCT (macrozone_name, zone_name, sensor_id)) AS unique_sensors, count(*) AS received,
-          count(DISTINCT (macrozone_name, zone_name, sensor_id)) * 60 AS expected FROM received))""")
+  (SELECT count(DISTINCT (region_name, macrozone_name, zone_name, sensor_id)) AS unique_sensors, count(*) AS received,
+          count(DISTINCT (region_name, macrozone_name, zone_name, sensor_id)) * 60 AS expected FROM received))""")
 def a24(t):
-    out = quality.delivery_quality(t.received, ["macrozone_name", "zone_name", "sensor_id"], SPAN, 12 * 3600)
+    out = quality.delivery_quality(t.received, schemas.SENSOR, SPAN, 12 * 3600)
     return rnd(out, 6, *_RATES)
 
 
@@ -372,12 +373,12 @@ def a25(t):
     return rnd(out, 6, *_RATES, "outlier_error")
 
 
-@query("a26", f"""SELECT count(*) AS received, count(DISTINCT (macrozone_name, zone_name, sensor_id)) AS unique_sensors,
+@query("a26", f"""SELECT count(*) AS received, count(DISTINCT (region_name, macrozone_name, zone_name, sensor_id)) AS unique_sensors,
   round(count(*) / {SPAN / 60}, 6) AS msg_per_min, round(count(*) / {SPAN}, 6) AS msg_per_sec, count(k) AS lat_count,
   round(avg(k), 6) AS lat_avg_s, max(k) AS lat_max_s FROM received""")
 def a26(t):
     # processing time = event time + k seconds
-    out = quality.throughput(t.received, F.col("k"), SPAN / 60, ["macrozone_name", "zone_name", "sensor_id"])
+    out = quality.throughput(t.received, F.col("k"), SPAN / 60, schemas.SENSOR)
     return rnd(out, 6, "msg_per_min", "msg_per_sec", "lat_avg_s")
 
 
@@ -478,12 +479,13 @@ def e10(t):
 
 
 def _filter_sql(size: int) -> str:
-    return f"""RECURSIVE o AS (SELECT sensor_id, event_id, value, row_number() OVER (PARTITION BY sensor_id ORDER BY time, value) AS rn FROM readings),
-f AS (SELECT sensor_id, event_id, rn, [value] AS h, true AS accepted FROM o WHERE rn = 1
+    return f"""RECURSIVE o AS (SELECT concat_ws('/', region_name, macrozone_name, zone_name, sensor_id) AS sensor, sensor_id, event_id, value,
+  row_number() OVER (PARTITION BY region_name, macrozone_name, zone_name, sensor_id ORDER BY time, value) AS rn FROM readings),
+f AS (SELECT sensor, sensor_id, event_id, rn, [value] AS h, true AS accepted FROM o WHERE rn = 1
   UNION ALL
-  SELECT sensor_id, event_id, rn, CASE WHEN ok THEN list_append(h, value)[-{size}:] ELSE h END, ok
+  SELECT sensor, sensor_id, event_id, rn, CASE WHEN ok THEN list_append(h, value)[-{size}:] ELSE h END, ok
   FROM (SELECT o.*, f.h, len(f.h) < 5 OR abs(o.value - list_avg(f.h)) <= 3 * list_stddev_pop(f.h) AS ok
-        FROM f JOIN o ON o.sensor_id = f.sensor_id AND o.rn = f.rn + 1))
+        FROM f JOIN o ON o.sensor = f.sensor AND o.rn = f.rn + 1))
 SELECT event_id, sensor_id, accepted FROM f"""
 
 
@@ -494,13 +496,13 @@ def w8(t):
 
 @query("w8_default", _filter_sql(params.HISTORY_SIZE))
 def w8_default(t):
-    return outlier.flag_outliers(t.readings).select("event_id", "sensor_id", "accepted")
+    return outlier.flag_outliers(t.readings, split=False).select("event_id", "sensor_id", "accepted")
 
 
 @query("w8_split", _filter_sql(20))
 def w8_split(t):
-    """The same with every sensor treated as hot: histories cross partition borders."""
-    return outlier.flag_outliers(t.readings, size=20, hot_rows=0).select("event_id", "sensor_id", "accepted")
+    """The same over more partitions than there are tasks: histories cross many borders."""
+    return outlier.flag_outliers(t.readings, size=20, partitions=23).select("event_id", "sensor_id", "accepted")
 
 
 # ---- endpoints over statistics -------------------------------------------------
@@ -511,8 +513,8 @@ query("e3", f"SELECT {_SHOWN} FROM region_q WHERE region_name = 'AFRICA' ORDER B
 query("e6", f"SELECT macrozone_name, {_SHOWN} FROM macro_stats WHERE region_name = '{AFRICA}' AND macrozone_name = '{FIRST}' ORDER BY time DESC, type LIMIT 50")(
     lambda t: rnd(endpoints.macrozone_statistics(t.macro_stats, AFRICA, FIRST), 6, "avg_value")
 )
-query("e13", f"SELECT macrozone_name, zone_name, {_SHOWN} FROM zone_q WHERE region_name = '{AFRICA}' AND macrozone_name = '{FIRST}' AND zone_name = 'zone-1' ORDER BY time DESC, type LIMIT 3")(
-    lambda t: rnd(endpoints.zone_statistics(rollup.zone_stats(t.readings), AFRICA, FIRST, "zone-1", 3), 6, "avg_value")
+query("e13", f"SELECT macrozone_name, zone_name, {_SHOWN} FROM zone_q WHERE region_name = '{AFRICA}' AND macrozone_name = '{FIRST}' AND zone_name = 'zone-1' ORDER BY time DESC, type LIMIT 50")(
+    lambda t: rnd(endpoints.zone_statistics(rollup.zone_stats(t.readings), AFRICA, FIRST, "zone-1"), 6, "avg_value")
 )
 query("e14", f"""SELECT time, macrozone_name, zone_name, sensor_id, type, value FROM readings WHERE region_name = '{AFRICA}'
   AND macrozone_name = '{FIRST}' AND zone_name = 'zone-1' AND sensor_id = '1' ORDER BY time DESC, type LIMIT 50""")(

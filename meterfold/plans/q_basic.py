@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from meterfold import schemas
 from meterfold.functions import geo, scalars, timeutil
 from meterfold.operators import analysis, catalog, filters, latest, rollup, sets, spatial
 from meterfold.plans import endpoints
@@ -125,9 +126,10 @@ def u1(t):
     )
 
 
-@query("u2", f"SELECT id AS sensor_id FROM sensors UNION SELECT sensor_id FROM readings WHERE time >= {ts(PERIOD[1])}")
+@query("u2", """SELECT region_name, macrozone_name, zone_name, id AS sensor_id FROM sensors
+  UNION SELECT region_name, macrozone_name, zone_name, sensor_id FROM readings""")
 def u2(t):
-    return sets.known_sensors(t.sensors, t.readings.filter(F.col("time") >= F.lit(PERIOD[1]).cast("timestamp_ntz")))
+    return sets.known_sensors(t.sensors, t.readings)
 
 
 @query("u3", """SELECT region_name, name FROM macrozones WHERE type = 'indoor'
@@ -293,9 +295,9 @@ def per_key_sql(keys: str, cols: str, view: str, n: int, ties: str) -> str:
     )
 
 
-@query("t1", per_key_sql("sensor_id", "*", "readings", 50, "type"))
+@query("t1", per_key_sql("region_name, macrozone_name, zone_name, sensor_id", "*", "readings", 50, "type"))
 def t1(t):
-    return latest.latest_per_key(t.readings, ["sensor_id"], 50, ("type",))
+    return latest.latest_per_key(t.readings, schemas.SENSOR, 50, ("type",))
 
 
 _SHOWN = "time, type, min_value, max_value, round(avg_value, 6) AS avg_value"
@@ -319,25 +321,24 @@ def t4(t):
     return rnd(latest.latest(regions, 50, ("region_name", "type")).select("region_name", *endpoints._STATS), 6, "avg_value")
 
 
-@query("t5", "SELECT * FROM outbox WHERE status = 'pending' ORDER BY time, sensor_id, type LIMIT 50")
+@query("t5", "SELECT * FROM outbox WHERE status = 'pending' ORDER BY time, event_id LIMIT 50")
 def t5(t):
-    return latest.oldest_pending(t.outbox, 50, ("sensor_id", "type"))
+    return latest.oldest_pending(t.outbox, 50, ("event_id",))
 
 
 @query("t6", sql_stats("macrozone_name, type, day",
-                       "macro_daily", "total_sum", "total_count",
-                       "WHERE day BETWEEN TIMESTAMP '2000-05-02' AND TIMESTAMP '2000-06-30'"))
+                       "macro_daily", "total_sum", "total_count"))
 def t6(t):
-    daily = rollup.macrozone_calendar(t.macro_stats, "day", (dt.date(2000, 5, 2), dt.date(2000, 6, 30)))
+    daily = rollup.macrozone_calendar(t.macro_stats, "day")
     return stats_rounded(daily.drop("region_name")).orderBy("macrozone_name", "type", "day")
 
 
 # ---- W9, A16, A22 and point searches -------------------------------------------
 
 @query("w9", """SELECT region_name, macrozone_name, type, time, row_number() OVER
-  (PARTITION BY region_name, macrozone_name, type ORDER BY time DESC) AS rank FROM macro_stats QUALIFY rank <= 50""")
+  (PARTITION BY region_name, macrozone_name, type ORDER BY time DESC) AS rank FROM macro_stats""")
 def w9(t):
-    return latest.ranked(t.macro_stats, analysis.KEYS, 50).select(*analysis.KEYS, "time", F.col("rank").cast("long").alias("rank"))
+    return latest.ranked(t.macro_stats, analysis.KEYS, None).select(*analysis.KEYS, "time", F.col("rank").cast("long").alias("rank"))
 
 
 @query("a16", sql_stats("region_name, macrozone_name, type, time", "macro_stats", tail="""QUALIFY row_number() OVER

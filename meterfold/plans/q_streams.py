@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from meterfold import schemas
 from meterfold.functions import geo, timeutil
-from meterfold.operators import analysis, devices, latest, outbox, rollup, sets
+from meterfold.operators import analysis, devices, filters, latest, outbox, rollup, sets
 from meterfold.plans import jobs
 from meterfold.plans.fixtures import NOW, SPLIT, Tables
 from meterfold.plans.oracle import query
-from meterfold.plans.q_analytics import compared_daily, macro_q, ntz, region_q
+from meterfold.plans.q_analytics import compared_daily, macro_q, ntz, region_q, variation
 from meterfold.plans.q_basic import rnd, sql_stats, stats_rounded, wkt
 from meterfold.session import scratch_path
 from meterfold.sources import messages, tables
@@ -189,12 +189,10 @@ def k7(t):
 
 
 @query("k8", """SELECT day, region_name, macrozone_name, type, round(current, 6) AS current, round(previous, 6) AS previous,
-  round(delta_perc, 6) AS delta_perc FROM variation
-  WHERE day BETWEEN TIMESTAMP '2000-05-02' AND TIMESTAMP '2000-06-30'""")
+  round(delta_perc, 6) AS delta_perc FROM variation""")
 def k8(t):
     path = fresh(t, "k8")
-    span = DAYS[0].date(), DAYS[-1].date()
-    rows = analysis.yearly_variation(compared_daily(t, *span), *span)
+    rows = variation(t)
     tables.save_analysis(rows, path)
     out = t.spark.read.parquet(path).withColumn("day", F.col("day").cast("timestamp_ntz"))
     return rnd(out, 6, "current", "previous", "delta_perc")
@@ -210,6 +208,38 @@ def k9(t):
     return t.spark.read.option("header", True).csv(path)
 
 
+_ACCEPTED = """RECURSIVE o AS (SELECT concat_ws('/', region_name, macrozone_name, zone_name, sensor_id) AS sensor, event_id, value,
+  row_number() OVER (PARTITION BY region_name, macrozone_name, zone_name, sensor_id ORDER BY date_trunc('second', time), value) AS rn FROM readings),
+f AS (SELECT sensor, event_id, rn, [value] AS h, true AS accepted FROM o WHERE rn = 1
+  UNION ALL
+  SELECT sensor, event_id, rn, CASE WHEN ok THEN list_append(h, value)[-100:] ELSE h END, ok
+  FROM (SELECT o.*, f.h, len(f.h) < 5 OR abs(o.value - list_avg(f.h)) <= 3 * list_stddev_pop(f.h) AS ok
+        FROM f JOIN o ON o.sensor = f.sensor AND o.rn = f.rn + 1))"""
+
+
+# From payloads to region statistics: messages are published in three lots, each drained by the same
+# query, which goes on from its checkpoint with the histories it had.
+@query("flow", _ACCEPTED + """,
+z AS (SELECT time_bucket(INTERVAL '15 minutes', time) + INTERVAL '15 minutes' AS time, region_name, macrozone_name, type,
+        min(value) AS low, max(value) AS high, sum(cast(value AS decimal(18,2))) AS s, count(*) AS n
+      FROM readings WHERE event_id IN (SELECT event_id FROM f WHERE accepted) GROUP BY ALL)
+SELECT time_bucket(INTERVAL '30 minutes', time) + INTERVAL '30 minutes' AS time, region_name, type, min(low) AS min_value, max(high) AS max_value,
+  round(cast(sum(s) AS double) / sum(n), 6) AS avg_value, round(cast(sum(s) AS double), 2) AS avg_sum, cast(sum(n) AS bigint) AS avg_count
+FROM z GROUP BY time_bucket(INTERVAL '30 minutes', time), region_name, type""")
+def flow(t):
+    path = fresh(t, "flow")
+    cuts = [dt.datetime(2000, 1, 1), dt.datetime(2024, 1, 11), dt.datetime(2024, 1, 21), dt.datetime(2100, 1, 1)]
+    for start, end in zip(cuts, cuts[1:]):
+        lot = t.readings.filter(filters.in_range("time", start, end))
+        messages.publish(_with_garbage(messages.reading_messages(lot)), "json", f"{path}-topic")
+        raw = messages.open_messages(t.spark, "json", stream=True, path=f"{path}-topic")
+        known = messages.with_region(messages.stored_readings(messages.readings(raw)), t.macrozones)
+        kept = state.filter_outliers(known, forget_after=None)
+        ingest.facts(kept, path, schemas.READING_KEY, f"{path}-checkpoint").awaitTermination()
+    facts = t.spark.read.parquet(path)
+    return stats_rounded(rollup.region_stats(rollup.macrozone_stats(rollup.zone_stats(facts))))
+
+
 # ---- stored roll-ups and results -----------------------------------------------
 
 _DAILY = sql_stats("day, region_name, macrozone_name, type", "macro_daily", "total_sum", "total_count",
@@ -251,21 +281,21 @@ def e15(t):
 
 # ---- ST: streams ---------------------------------------------------------------
 
-@query("st1", """RECURSIVE o AS (SELECT sensor_id, event_id, value, row_number() OVER (PARTITION BY sensor_id ORDER BY time, value) AS rn FROM readings),
-f AS (SELECT sensor_id, event_id, rn, [value] AS h, true AS accepted FROM o WHERE rn = 1
+@query("st1", """RECURSIVE o AS (SELECT concat_ws('/', region_name, macrozone_name, zone_name, sensor_id) AS sensor, sensor_id, event_id, value,
+  row_number() OVER (PARTITION BY region_name, macrozone_name, zone_name, sensor_id ORDER BY time, value) AS rn FROM readings),
+f AS (SELECT sensor, sensor_id, event_id, rn, [value] AS h, true AS accepted FROM o WHERE rn = 1
   UNION ALL
-  SELECT sensor_id, event_id, rn, CASE WHEN ok THEN list_append(h, value)[-100:] ELSE h END, ok
+  SELECT sensor, sensor_id, event_id, rn, CASE WHEN ok THEN list_append(h, value)[-100:] ELSE h END, ok
   FROM (SELECT o.*, f.h, len(f.h) < 5 OR abs(o.value - list_avg(f.h)) <= 3 * list_stddev_pop(f.h) AS ok
-        FROM f JOIN o ON o.sensor_id = f.sensor_id AND o.rn = f.rn + 1))
+        FROM f JOIN o ON o.sensor = f.sensor AND o.rn = f.rn + 1))
 SELECT event_id, sensor_id FROM f WHERE accepted""")
 def st1(t):
-    return drained(t, state.filter_outliers(t.reading_stream()), "st1").select("event_id", "sensor_id")
+    return drained(t, state.filter_outliers(t.reading_stream(), forget_after=None), "st1").select("event_id", "sensor_id")
 
 
 # the watermark ends at the newest reading minus the delay; later windows stay open
-@query("st2", """SELECT date_trunc('minute', time) AS time, sensor_id, arg_max(region_name, time) AS region_name,
-  arg_max(macrozone_name, time) AS macrozone_name, arg_max(zone_name, time) AS zone_name, arg_max(type, time) AS type,
-  round(avg(value), 6) AS value FROM readings GROUP BY date_trunc('minute', time), sensor_id
+@query("st2", """SELECT date_trunc('minute', time) AS time, region_name, macrozone_name, zone_name, sensor_id, arg_max(type, (time, type)) AS type,
+  round(avg(value), 6) AS value FROM readings GROUP BY date_trunc('minute', time), region_name, macrozone_name, zone_name, sensor_id
 HAVING date_trunc('minute', any_value(time)) + INTERVAL '1 minute' <= (SELECT max(time) FROM readings) - INTERVAL '1 minute'""")
 def st2(t):
     return rnd(as_ntz(drained(t, windows.sensor_means(t.reading_stream()), "st2")), 6, "value")
@@ -294,10 +324,10 @@ def st5(t):
     """Raw rows are kept however late they are: the late half arrives first, then the early one."""
     path = fresh(t, "st5")
     drop = f"{path}-in"
-    t.readings.filter(F.col("time") >= ntz(SPLIT)).coalesce(1).write.mode("append").parquet(drop)
+    t.readings.filter(F.col("time") >= ntz(SPLIT)).write.mode("append").parquet(drop)
     for part in (None, t.readings.filter(F.col("time") < ntz(SPLIT))):
         if part is not None:
-            part.coalesce(1).write.mode("append").parquet(drop)
+            part.write.mode("append").parquet(drop)
         stream = t.spark.readStream.schema(t.readings.schema).parquet(drop)
         ingest.facts(stream, path, schemas.READING_KEY, f"{path}-checkpoint").awaitTermination()
     return t.spark.read.parquet(path).drop("day").select(*t.readings.columns)
@@ -318,18 +348,19 @@ def st7(t):
     return as_ntz(drained(t, ingest.deduplicated(doubled, schemas.READING_KEY), "st7"))
 
 
-@query("st8", "SELECT event_id, user_id FROM events")
+@query("st8", "SELECT * FROM readings")
 def st8(t):
-    """Micro-batches limited by the source, drained once."""
+    """Several micro-batches, limited by the source, into one fact table."""
     path = fresh(t, "st8")
-    t.events.select("event_id", "user_id").repartition(4).write.parquet(f"{path}-in")
-    stream = t.spark.readStream.schema("event_id bigint, user_id bigint").option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
-    return drained(t, stream, "st8")
+    t.readings.repartition(4).write.parquet(f"{path}-in")
+    stream = t.spark.readStream.schema(t.readings.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+    ingest.facts(stream, path, schemas.READING_KEY, f"{path}-checkpoint").awaitTermination()
+    return t.spark.read.parquet(path).drop("day").select(*t.readings.columns)
 
 
 @query("st9", """SELECT 'sensor' AS kind, s.id, greatest(s.last_seen, m.seen) AS time
-FROM sensors s LEFT JOIN (SELECT sensor_id, macrozone_name, zone_name, max(time) AS seen FROM readings GROUP BY ALL) m
-  ON m.sensor_id = s.id AND m.macrozone_name = s.macrozone_name AND m.zone_name = s.zone_name
+FROM sensors s LEFT JOIN (SELECT sensor_id, region_name, macrozone_name, zone_name, max(time) AS seen FROM readings GROUP BY ALL) m
+  ON m.sensor_id = s.id AND m.region_name = s.region_name AND m.macrozone_name = s.macrozone_name AND m.zone_name = s.zone_name
 UNION ALL SELECT 'reading', cast(event_id AS varchar), time FROM readings""")
 def st9(t):
     path = fresh(t, "st9")
@@ -364,31 +395,36 @@ def st10(t):
     tables.write_snapshot(t.macrozone_hubs, f"{path}-macro", 0)
     tables.write_snapshot(t.zone_hubs, f"{path}-zone", 0)
     stream = _as_stream(t, t.heartbeats, f"{path}-in")
-    ingest.heartbeats(stream, f"{path}-macro", f"{path}-zone", f"{path}-checkpoint").awaitTermination()
+    ingest.heartbeats(stream, t.macrozones, f"{path}-macro", f"{path}-zone", f"{path}-checkpoint").awaitTermination()
     cols = ["id", "macrozone_name", "zone_name", "last_seen"]
     macro = _snapshot(t, f"{path}-macro").withColumn("zone_name", F.lit("")).select(*cols)
     return macro.unionByName(_snapshot(t, f"{path}-zone").select(*cols))
 
 
-_KNOWN = "SELECT sensor_id FROM readings UNION SELECT id FROM sensors"
+_PLACE = "region_name, macrozone_name, zone_name"
+_KNOWN = f"SELECT {_PLACE}, sensor_id FROM readings UNION SELECT {_PLACE}, id FROM sensors"
 
 
-@query("st11", f"""SELECT k.sensor_id, s.last_seen, CASE WHEN s.last_seen IS NULL OR s.last_seen < TIMESTAMP '2024-01-30 18:00:00' THEN 'removed'
+@query("st11", f"""SELECT k.region_name, k.macrozone_name, k.zone_name, k.sensor_id, s.last_seen, CASE WHEN s.last_seen IS NULL OR s.last_seen < TIMESTAMP '2024-01-30 18:00:00' THEN 'removed'
   WHEN s.last_seen < TIMESTAMP '2024-01-30 23:55:00' THEN 'unhealthy' ELSE 'healthy' END AS status
-FROM ({_KNOWN}) k LEFT JOIN (SELECT sensor_id, max(time) AS last_seen FROM readings GROUP BY sensor_id) s USING (sensor_id)""")
+FROM ({_KNOWN}) k LEFT JOIN (SELECT {_PLACE}, sensor_id, max(time) AS last_seen FROM readings GROUP BY ALL) s USING ({_PLACE}, sensor_id)""")
 def st11(t):
-    return devices.health(sets.known_sensors(t.sensors, t.readings), devices.last_seen(t.readings, ["sensor_id"]), NOW)
+    return devices.health(sets.known_sensors(t.sensors, t.readings), devices.last_seen(t.readings, schemas.SENSOR), NOW)
 
 
-@query("st11_stream")
+# All readings come in one micro-batch, which makes every sensor healthy; the batch that only moves the
+# watermark then finds those silent that were last seen more than five minutes before it.
+@query("st11_stream", f"""SELECT {_PLACE}, sensor_id, date_trunc('milliseconds', max(time)) AS last_seen, 'healthy' AS status FROM readings GROUP BY ALL
+UNION ALL SELECT {_PLACE}, sensor_id, date_trunc('milliseconds', max(time)), 'unhealthy' FROM readings GROUP BY ALL
+HAVING max(time) + INTERVAL '5 minutes' < (SELECT max(time) FROM readings) - INTERVAL '1 minute'""")
 def st11_stream(t):
     return as_ntz(drained(t, state.health_changes(t.reading_stream()), "st11"), "last_seen")
 
 
-@query("st12", "SELECT DISTINCT sensor_id FROM configs WHERE msg_type = 'new_sensor'")
+@query("st12", f"SELECT DISTINCT {_PLACE}, sensor_id FROM configs WHERE msg_type = 'new_sensor'")
 def st12(t):
     stream = _as_stream(t, t.configs, fresh(t, "st12-in")).filter("msg_type = 'new_sensor'")
-    return drained(t, state.first_registrations(stream), "st12").select("sensor_id")
+    return drained(t, state.first_registrations(stream), "st12").select(*schemas.SENSOR)
 
 
 @query("st13", """SELECT macrozone, zone, hub_id, max(time) AS time FROM heartbeats WHERE time IS NOT NULL GROUP BY macrozone, zone, hub_id""")
@@ -421,22 +457,22 @@ def st15(t):
     return left.join(kept, "event_id", "left").select("event_id", "status", F.coalesce("retained", F.lit(False)).alias("retained"))
 
 
-@query("st17", """SELECT 'macrozone_hubs' AS target, hub_id AS id, macrozone_name, '' AS zone_name, min(time) AS registration_time, max(time) AS last_seen
-  FROM configs WHERE msg_type = 'new_proximity' GROUP BY hub_id, macrozone_name
-UNION ALL SELECT 'zone_hubs', hub_id, macrozone_name, zone_name, min(time), max(time) FROM configs WHERE msg_type = 'new_edge' GROUP BY hub_id, macrozone_name, zone_name
-UNION ALL SELECT 'sensors', sensor_id, macrozone_name, zone_name, min(time), max(time) FROM configs WHERE msg_type = 'new_sensor' GROUP BY sensor_id, macrozone_name, zone_name""")
+@query("st17", """SELECT 'macrozone_hubs' AS target, hub_id AS id, region_name, macrozone_name, '' AS zone_name, min(time) AS registration_time, max(time) AS last_seen
+  FROM configs WHERE msg_type = 'new_proximity' GROUP BY hub_id, region_name, macrozone_name
+UNION ALL SELECT 'zone_hubs', hub_id, region_name, macrozone_name, zone_name, min(time), max(time) FROM configs WHERE msg_type = 'new_edge' GROUP BY hub_id, region_name, macrozone_name, zone_name
+UNION ALL SELECT 'sensors', sensor_id, region_name, macrozone_name, zone_name, min(time), max(time) FROM configs WHERE msg_type = 'new_sensor' GROUP BY sensor_id, region_name, macrozone_name, zone_name""")
 def st17(t):
     path = fresh(t, "st17")
     start = {"macrozone_hubs": t.macrozone_hubs, "zone_hubs": t.zone_hubs, "sensors": t.device_sensors}
     for name, rows in start.items():
-        tables.write_snapshot(rows.drop("region_name"), f"{path}-{name}", 0)
+        tables.write_snapshot(rows, f"{path}-{name}", 0)
     stream = _as_stream(t, t.configs, f"{path}-in")
     ingest.configurations(stream, *[f"{path}-{name}" for name in start], f"{path}-checkpoint").awaitTermination()
     out = None
     for name in start:
         rows = _snapshot(t, f"{path}-{name}")
         zone = F.col("zone_name") if "zone_name" in rows.columns else F.lit("")
-        rows = rows.select(F.lit(name).alias("target"), "id", "macrozone_name", zone.alias("zone_name"), "registration_time", "last_seen")
+        rows = rows.select(F.lit(name).alias("target"), "id", "region_name", "macrozone_name", zone.alias("zone_name"), "registration_time", "last_seen")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -454,7 +490,7 @@ def st18(t):
 
 
 @query("st19", f"SELECT 'config' AS kind, macrozone AS key, count(*) AS n FROM ({_CONFIG_WIRE}) GROUP BY macrozone UNION ALL "
-       f"SELECT 'heartbeat', concat_ws('-', macrozone, zone, hub_id), count(*) FROM ({_BEAT_WIRE}) WHERE macrozone <> '' GROUP BY ALL")
+       f"SELECT 'heartbeat', concat_ws('-', macrozone, zone, hub_id), count(*) FROM ({_BEAT_WIRE}) GROUP BY ALL")
 def st19(t):
     out = None
     for kind, wire, decode, encode in (

@@ -51,6 +51,8 @@ ZONE_STATS_KEY = ["time", "region_name", "macrozone_name", "zone_name", "type"]
 MACRO_STATS_KEY = ["time", "region_name", "macrozone_name", "type"]
 REGION_STATS_KEY = ["time", "region_name", "type"]
 
-MACROZONE_HUB_KEY = ["id", "macrozone_name"]
-ZONE_HUB_KEY = ["id", "macrozone_name", "zone_name"]
-SENSOR_KEY = ["id", "macrozone_name", "zone_name"]
+# Device ids are unique within their place only.
+SENSOR = ["region_name", "macrozone_name", "zone_name", "sensor_id"]
+MACROZONE_HUB_KEY = ["id", "region_name", "macrozone_name"]
+ZONE_HUB_KEY = ["id", "region_name", "macrozone_name", "zone_name"]
+SENSOR_KEY = ["id", "region_name", "macrozone_name", "zone_name"]

@@ -100,6 +100,14 @@ def publish(messages: DataFrame, fmt: str, path: str | None = None, **options):
     return writer.save(path) if path else writer.save()
 
 
+def with_region(rows: DataFrame, region: str | DataFrame) -> DataFrame:
+    """Rows with ``region_name``: one region's name, or looked up by macrozone in a table of macrozones."""
+    if isinstance(region, str):
+        return rows.withColumn("region_name", F.lit(region))
+    places = region.select("region_name", F.col("name").alias("macrozone_name"))
+    return rows.join(places, "macrozone_name")
+
+
 def stored_readings(wire: DataFrame) -> DataFrame:
     """Decoded readings with the column names and event time of the stored table."""
     return wire.select(

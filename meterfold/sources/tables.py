@@ -18,9 +18,22 @@ def historical_csv(
     return raw.select(stamp.alias("time"), value.alias("value")).filter("time IS NOT NULL AND value IS NOT NULL")
 
 
-def scan(spark: SparkSession, path: str, **partition) -> DataFrame:
-    """A stored table; keyword arguments select partitions (region_name='...')."""
+def scan(spark: SparkSession, path: str, start=None, end=None, time: str = "time", **partition) -> DataFrame:
+    """A stored table; keyword arguments select partitions (region_name='...').
+
+    ``[start, end)`` selects rows by time; in a table stored by day only the folders of those
+    days are listed and read.
+    """
     df = spark.read.parquet(path)
+    if start is not None:
+        df = df.filter(F.col(time) >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        df = df.filter(F.col(time) < F.lit(end).cast("timestamp_ntz"))
+    if "day" in df.columns and time != "day":
+        if start is not None:
+            df = df.filter(F.col("day") >= F.lit(start.date()))
+        if end is not None:
+            df = df.filter(F.col("day") <= F.lit(end.date()))
     for name, value in partition.items():
         df = df.filter(F.col(name) == F.lit(value))
     return df
@@ -41,11 +54,13 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def first_per_key(batch: DataFrame, keys: list[str], arrival: str | None = None) -> DataFrame:
-    """One row per key, the earliest by ``arrival``; repeated keys collapse before the shuffle."""
-    if arrival is None:
-        return batch.dropDuplicates(keys)
+    """One row per key, the earliest by ``arrival``, among equals the smallest row, so that a
+    replay keeps the same one; repeated keys collapse before the shuffle."""
     rest = [c for c in batch.columns if c not in keys]
-    return batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(arrival)).alias("_r")).select(*keys, "_r.*")
+    if not rest:
+        return batch.distinct()
+    order = F.struct(*([arrival] if arrival else []), *[c for c in rest if c != arrival])
+    return batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
 def absent_rows(batch: DataFrame, stored: DataFrame | None, keys: list[str], arrival: str | None = None) -> DataFrame:
@@ -98,6 +113,12 @@ def overwrite_partitions(df: DataFrame, path: str, partitions: list[str]) -> Non
     _by_partition(df, partitions).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def drop_partition(spark: SparkSession, path: str, **partition) -> None:
+    """Remove one partition's folder, if present."""
+    old = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}={v}" for k, v in partition.items())]))
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def save_analysis(result: DataFrame, path: str, params: dict | None = None, day: str = "day") -> None:
     """Store analysis rows by day (time truncated to the day) and by the parameters they depend on."""
     out = result.withColumn(day, F.to_date(day))

@@ -66,7 +66,7 @@ def readings(stream: DataFrame, table: str, sensors: str, checkpoint: str, trigg
 
     def save(batch: DataFrame, epoch: int) -> None:
         tables.append_absent(batch, table, keys)
-        seen = batch.select(F.col("sensor_id").alias("id"), "macrozone_name", "zone_name", "time")
+        seen = batch.select(F.col("sensor_id").alias("id"), "region_name", "macrozone_name", "zone_name", "time")
         _next_snapshot(
             batch.sparkSession, sensors, epoch,
             lambda now: devices.advance_last_seen(now, seen, schemas.SENSOR_KEY),
@@ -89,7 +89,7 @@ def statistics(stream: DataFrame, zone_table: str, macrozone_table: str, checkpo
 
 
 def configurations(stream: DataFrame, macrozone_hubs: str, zone_hubs: str, sensors: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
-    """Configuration messages (stored column names) to the three device tables."""
+    """Configuration messages (stored column names, region included) to the three device tables."""
 
     def save(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -109,14 +109,17 @@ def configurations(stream: DataFrame, macrozone_hubs: str, zone_hubs: str, senso
     return per_batch(stream, save, checkpoint, trigger)
 
 
-def heartbeats(stream: DataFrame, macrozone_hubs: str, zone_hubs: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
-    """Heartbeats (time, macrozone, zone, hub_id) to the hubs' last_seen."""
+def heartbeats(
+    stream: DataFrame, region: str | DataFrame, macrozone_hubs: str, zone_hubs: str, checkpoint: str, trigger: dict = ONCE,
+) -> StreamingQuery:
+    """Heartbeats (time, macrozone, zone, hub_id) to the hubs' last_seen; ``region`` as in ``messages.with_region``."""
 
     def save(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         routed = filters.with_grain(filters.valid_heartbeats(batch)).withColumnsRenamed(
             {"hub_id": "id", "macrozone": "macrozone_name", "zone": "zone_name"}
         )
+        routed = messages.with_region(routed, region)
         for path, keys, grain in (
             (macrozone_hubs, schemas.MACROZONE_HUB_KEY, "macrozone"), (zone_hubs, schemas.ZONE_HUB_KEY, "zone"),
         ):
@@ -127,8 +130,8 @@ def heartbeats(stream: DataFrame, macrozone_hubs: str, zone_hubs: str, checkpoin
 
 
 def relay(stream: DataFrame, encode: Callable[[DataFrame], DataFrame], fmt: str, checkpoint: str, path: str | None = None, trigger: dict = ONCE, **options) -> StreamingQuery:
-    """Forward control messages unchanged; ``encode`` is one of the ``messages.*_messages``."""
-    valid = stream.filter((F.col("timestamp") > 0) & (F.col("macrozone") != ""))
+    """Forward control messages with a time unchanged; ``encode`` is one of the ``messages.*_messages``."""
+    valid = stream.filter(F.col("timestamp") > 0)
     writer = encode(valid).writeStream.format(fmt).outputMode("append").options(**options)
     if path:
         writer = writer.option("path", path)

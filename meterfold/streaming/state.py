@@ -8,38 +8,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from meterfold import params
+from meterfold import params, schemas
 from meterfold.operators.outlier import judge
 
 
 def filter_outliers(
     readings: DataFrame, size: int = params.HISTORY_SIZE, min_samples: int = params.MIN_SAMPLES,
     factor: float = params.SIGMA_FACTOR, order: tuple[str, ...] = ("time", "value"),
+    forget_after: int | None = params.UNHEALTHY_AFTER, lateness: str = "10 minutes", keys: list[str] = schemas.SENSOR,
 ) -> DataFrame:
     """Accepted readings of a stream; the state of a sensor is its last ``size`` accepted values.
 
-    Readings of one micro-batch are taken in ``order``; how many a batch holds is
-    bounded by the source's per-trigger limits.
+    A sensor's readings of a micro-batch come in Arrow batches; each is taken in ``order`` and
+    let go before the next, so a sensor's whole batch is never in memory. The history is
+    forgotten once the sensor was silent for more than ``forget_after`` seconds of event time
+    (None: never); the state itself goes when the watermark has passed that silence. Rows with
+    a null value are no readings and are left out.
     """
     rule = (size, min_samples, factor)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = deque(state.get[0] if state.exists else ())
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
-        flags = judge(rows["value"].tolist(), kept, *rule)
-        state.update((list(kept),))
-        yield rows[flags]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        values, last = state.get if state.exists else ((), None)
+        kept = deque(values)
+        for rows in batches:
+            rows = rows.sort_values(list(order), kind="stable")
+            at = rows["time"].astype("datetime64[ms]").astype("int64").tolist()
+            flags, begin = [], 0
+            for k, now in enumerate(at):
+                if forget_after is not None and last is not None and now - last > forget_after * 1000:
+                    flags += judge(rows["value"].iloc[begin:k].tolist(), kept, *rule).tolist()
+                    kept, begin = deque(), k
+                last = now if last is None else max(last, now)
+            flags += judge(rows["value"].iloc[begin:].tolist(), kept, *rule).tolist()
+            yield rows[flags]
+        state.update((list(kept), last))
+        if forget_after is not None and last is not None:
+            state.setTimeoutTimestamp(max(last + forget_after * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return readings.filter(F.col("value").isNotNull()).groupBy("sensor_id").applyInPandasWithState(
-        step, readings.schema, "kept array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.EventTimeTimeout
+    rows = readings.filter(F.col("value").isNotNull())
+    rows = rows if forget_after is None else rows.withWatermark("time", lateness)
+    return rows.groupBy(*keys).applyInPandasWithState(step, readings.schema, "kept array<double>, last_ms long", "append", timeout)
 
 
 def health_changes(
     readings: DataFrame, lateness: str = "1 minute", unhealthy_after: int = params.UNHEALTHY_AFTER,
-    deregister_after: int = params.DEREGISTER_AFTER,
+    deregister_after: int = params.DEREGISTER_AFTER, keys: list[str] = schemas.SENSOR,
 ) -> DataFrame:
-    """(sensor_id, status, last_seen) each time a sensor turns healthy, unhealthy or removed.
+    """(the sensor's keys, status, last_seen) each time a sensor turns healthy, unhealthy or removed.
 
     Time is event time: a sensor is silent as long as the watermark says so.
     """
@@ -63,19 +82,18 @@ def health_changes(
             wait = unhealthy_after if status == "healthy" else deregister_after
             state.setTimeoutTimestamp(max(last + wait * 1000, state.getCurrentWatermarkMs() + 1))
         if changed:
-            yield pd.DataFrame({
-                "sensor_id": [key[0]], "status": [changed], "last_seen": [pd.Timestamp(last, unit="ms")],
-            })
+            place = {name: [value] for name, value in zip(keys, key)}
+            yield pd.DataFrame({**place, "status": [changed], "last_seen": [pd.Timestamp(last, unit="ms")]})
 
     return (
-        readings.withWatermark("time", lateness).select("sensor_id", "time").groupBy("sensor_id")
+        readings.withWatermark("time", lateness).select(*keys, "time").groupBy(*keys)
         .applyInPandasWithState(
-            step, "sensor_id string, status string, last_seen timestamp", "last_ms long, status string",
+            step, ", ".join(f"{k} string" for k in keys) + ", status string, last_seen timestamp", "last_ms long, status string",
             "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
 
 
-def first_registrations(messages: DataFrame, key: str = "sensor_id") -> DataFrame:
+def first_registrations(messages: DataFrame, keys: list[str] = schemas.SENSOR) -> DataFrame:
     """A sensor's first configuration message only; later ones are dropped for good."""
-    return messages.dropDuplicates([key])
+    return messages.dropDuplicates(list(keys))

@@ -7,7 +7,7 @@ arrives after its window was emitted is left out here and kept by the raw table.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterfold import params
+from meterfold import params, schemas
 from meterfold.operators import rollup
 
 
@@ -16,15 +16,10 @@ def _window(seconds: int):
 
 
 def sensor_means(readings: DataFrame, seconds: int = params.MINUTE, delay: str = "1 minute") -> DataFrame:
-    place = F.struct("type", "zone_name", "macrozone_name", "region_name")
-    order = F.struct("time", "type", "zone_name", "macrozone_name")
-    out = readings.withWatermark("time", delay).groupBy(_window(seconds), "sensor_id").agg(
-        F.avg("value").alias("value"), F.max_by(place, order).alias("p")
-    )
-    return out.select(
-        F.col("window.start").alias("time"), "p.region_name", "p.macrozone_name", "p.zone_name", "sensor_id",
-        "p.type", "value",
+    out = readings.withWatermark("time", delay).groupBy(_window(seconds), *schemas.SENSOR).agg(
+        F.avg("value").alias("value"), F.max_by("type", F.struct("time", "type")).alias("type")
     )
+    return out.select(F.col("window.start").alias("time"), *schemas.SENSOR, "type", "value")
 
 
 def zone_stats(readings: DataFrame, seconds: int = params.ZONE_INTERVAL, delay: int = params.ZONE_DELAY) -> DataFrame:

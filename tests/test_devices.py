@@ -9,7 +9,7 @@ from meterfold.plans import endpoints
 
 T = dt.datetime
 DEVICE = "id string, macrozone_name string, service string, registration_time timestamp_ntz, last_seen timestamp_ntz"
-KEY = schemas.MACROZONE_HUB_KEY
+KEY = ["id", "macrozone_name"]
 
 
 def hubs(spark, *rows):
@@ -52,7 +52,7 @@ def test_health(spark):
     ages = {"ok": 60, "edge": 300, "quiet": 301, "six": 6 * 3600, "gone": 6 * 3600 + 1}
     seen = spark.createDataFrame([(k, now - dt.timedelta(seconds=s)) for k, s in ages.items()], "sensor_id string, last_seen timestamp_ntz")
     known = sets.unique_union(seen.select("sensor_id"), spark.createDataFrame([("never",)], "sensor_id string"))
-    got = {r.sensor_id: r.status for r in devices.health(known, seen, now).collect()}
+    got = {r.sensor_id: r.status for r in devices.health(known, seen, now, keys=["sensor_id"]).collect()}
     assert got == {"ok": "healthy", "edge": "healthy", "quiet": "unhealthy", "six": "unhealthy", "gone": "removed", "never": "removed"}
     live = endpoints.liveness(seen, now, 300).filter("active").collect()
     assert [r.sensor_id for r in live] == ["ok"]
@@ -61,7 +61,7 @@ def test_health(spark):
 def test_first_registrations(spark):
     msgs = spark.createDataFrame([("a", "m", T(2024, 1, 2)), ("a", "m0", T(2024, 1, 1)), ("b", "m", T(2024, 1, 1))], "sensor_id string, macrozone string, time timestamp_ntz")
     known = spark.createDataFrame([("b",)], "sensor_id string")
-    assert [tuple(r) for r in devices.first_registrations(msgs, known).collect()] == [("a", "m0", T(2024, 1, 1))]
+    assert [tuple(r) for r in devices.first_registrations(msgs, known, ["sensor_id"]).collect()] == [("a", "m0", T(2024, 1, 1))]
 
 
 def test_outbox(spark):
@@ -109,11 +109,23 @@ def test_nested_detail_pages(spark):
     parents = spark.createDataFrame([("p",), ("q",), ("empty",)], "name string")
     a = spark.range(95).select(F.when(F.col("id") < 90, "p").otherwise("q").alias("name"), F.col("id").alias("x"))
     b = spark.createDataFrame([("p", "one")], "name string, y string")
-    got = catalog.nest(parents, ["name"], {"as": (a, ["x"]), "bs": (b, ["y"])}, page=20).collect()
+    got = catalog.nest(parents, ["name"], {"as": (a, ["x"]), "bs": (b, ["y"])}, pages=4).collect()
     assert sorted(x.x for r in got if r.name == "p" for x in r["as"]) == list(range(90))
-    assert len([r for r in got if r.name == "p"]) > 1 and {r.as_count for r in got if r.name == "p"} == {90}
+    assert sorted(r.page for r in got if r.name == "p") == [0, 1, 2, 3] and {r.as_count for r in got if r.name == "p"} == {90}
     assert [y.y for r in got if r.name == "p" for y in r.bs] == ["one"]
     q = [r for r in got if r.name == "q"]
-    assert len(q) == 1 and [x.x for x in q[0]["as"]] == [90, 91, 92, 93, 94] and q[0].bs == []
-    e = [r for r in got if r.name == "empty"]
-    assert len(e) == 1 and (e[0]["as"], e[0].as_count, e[0].page) == ([], 0, 0)
+    assert len(q) == 4 and sorted(x.x for r in q for x in r["as"]) == [90, 91, 92, 93, 94] and {(len(r.bs), r.bs_count) for r in q} == {(0, 0)}
+    assert [(r["as"], r.as_count) for r in got if r.name == "empty"] == [([], 0)] * 4
+    whole = {r.name: [x.x for x in r["as"]] for r in catalog.nest(parents, ["name"], {"as": (a, ["x"])}).collect()}
+    assert whole == {"p": list(range(90)), "q": [90, 91, 92, 93, 94], "empty": []}
+
+
+def test_device_keys_hold_the_place(spark):
+    rows = [("s1", "EU", "m", "z1", T(2024, 1, 1)), ("s1", "EU", "m", "z2", T(2024, 1, 2)), ("s1", "US", "m", "z1", T(2024, 1, 3))]
+    batch = spark.createDataFrame(rows, "id string, region_name string, macrozone_name string, zone_name string, time timestamp_ntz")
+    assert devices.first_and_last(batch, schemas.SENSOR_KEY).count() == 3
+    seen = batch.withColumnRenamed("id", "sensor_id").withColumnRenamed("time", "last_seen")
+    known = sets.known_sensors(batch, seen)
+    assert {(r.region_name, r.zone_name): r.status for r in devices.health(known, seen, T(2024, 1, 3), 300, 86400).collect()} == {
+        ("EU", "z1"): "removed", ("EU", "z2"): "unhealthy", ("US", "z1"): "healthy",
+    }

@@ -61,7 +61,7 @@ def test_hot_sensor_is_split_exactly(spark, partitions):
         rows += [(f"s{s}", i, float(rng.randint(0, 9))) for i in range(s * 5)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "sensor_id string, time long, value double")
-    got = flag_outliers(df, size=30, hot_rows=100, partitions=partitions).collect()
+    got = flag_outliers(df, size=30, keys=["sensor_id"], partitions=partitions).collect()
     for sensor in {r[0] for r in rows}:
         mine = sorted((r[1], r[2]) for r in rows if r[0] == sensor)
         want = naive([v for _, v in mine], 30, 5, 3.0)
@@ -75,6 +75,14 @@ def test_paths_agree_and_nulls_are_dropped(spark):
         F.lit("a").alias("sensor_id"), F.col("id").alias("time"),
         F.when(F.col("id") % 50 == 0, None).otherwise((F.col("id") * 7919 % 101).cast("double")).alias("value"),
     )
-    one = {tuple(r) for r in flag_outliers(df).collect()}
-    two = {tuple(r) for r in flag_outliers(df, hot_rows=10).collect()}
+    one = {tuple(r) for r in flag_outliers(df, keys=["sensor_id"], split=False).collect()}
+    two = {tuple(r) for r in flag_outliers(df, keys=["sensor_id"]).collect()}
     assert one == two and len(one) == 490
+
+
+def test_equal_ids_of_different_places_have_histories_of_their_own(spark):
+    rows = [("EU", "m", "z1", "s1", i, 10.0 + i % 3) for i in range(30)] + [("US", "m", "z1", "s1", 40, 500.0), ("EU", "m", "z2", "s1", 41, -500.0)]
+    df = spark.createDataFrame(rows, "region_name string, macrozone_name string, zone_name string, sensor_id string, time long, value double")
+    for split in (True, False):
+        assert all(r.accepted for r in flag_outliers(df, split=split).collect())
+    assert sum(not r.accepted for r in flag_outliers(df, keys=["sensor_id"]).collect()) == 2

@@ -17,7 +17,7 @@ IDS = (
 )
 
 # One per family by default; METERFOLD_ALL=1 compares every query.
-SAMPLE = ["s1", "k5", "p4", "j5", "j8", "j14", "a2", "a4", "a8", "a17", "a23", "a28", "w5", "w7", "w8_split", "t2", "u3", "f7", "st3", "st10", "e9", "e15"]
+SAMPLE = ["flow", "s1", "k5", "p4", "j5", "j8", "j14", "a2", "a4", "a8", "a17", "a23", "a28", "w5", "w7", "w8_split", "t2", "u3", "f7", "st3", "st10", "e9", "e15"]
 
 
 def test_every_operator_is_registered():

@@ -73,10 +73,18 @@ def test_coarser_calendar_equals_base(some):
     assert a == {tuple(r) for r in rollup.macrozone_calendar(stats, "year").collect()}
 
 
-def test_sensor_mean_takes_place_of_newest_reading(spark):
-    rows = readings(spark, [("m1", "z1", "s", T(2024, 1, 1, 0, 0, 5), "a", 1.0), ("m2", "z2", "s", T(2024, 1, 1, 0, 0, 50), "b", 3.0)])
+def test_sensor_mean_takes_type_of_newest_reading(spark):
+    rows = readings(spark, [("m1", "z1", "s", T(2024, 1, 1, 0, 0, 5), "a", 1.0), ("m1", "z1", "s", T(2024, 1, 1, 0, 0, 50), "b", 3.0)])
     r = rollup.sensor_means(rows).first()
-    assert (r.time, r.macrozone_name, r.zone_name, r.type, r.value) == (T(2024, 1, 1), "m2", "z2", "b", 2.0)
+    assert (r.time, r.macrozone_name, r.zone_name, r.type, r.value) == (T(2024, 1, 1), "m1", "z1", "b", 2.0)
+
+
+def test_sensor_means_keep_places_apart_and_do_not_sort_readings(spark):
+    rows = readings(spark, [("m", "z1", "s", T(2024, 1, 1), "a", 1.0), ("m", "z2", "s", T(2024, 1, 1), "a", 3.0), ("n", "z1", "s", T(2024, 1, 1), "a", 5.0)])
+    means = rollup.sensor_means(rows)
+    assert sorted((r.macrozone_name, r.zone_name, r.value) for r in means.collect()) == [("m", "z1", 1.0), ("m", "z2", 3.0), ("n", "z1", 5.0)]
+    plan = means._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("HashAggregate") > 0 and "SortAggregate" not in plan[plan.index("sum(value") :]
 
 
 def test_intervals_and_catch_up(some, spark):

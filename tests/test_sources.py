@@ -109,3 +109,41 @@ def test_read_through(spark, tmp_path):
     assert jobs.read_through(spark, path, days[:1], {"radius": 6}, compute).count() == 1
     assert asked == [days[:2], [days[2]], days[:1]]
     assert spark.read.parquet(path).filter(F.col("radius") == 5).count() == 3
+
+
+def test_scan_prunes_days(spark, tmp_path):
+    path = str(tmp_path / "byday")
+    rows = spark.range(10).selectExpr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(cast(id AS int)) AS time", "id")
+    tables.append_absent(rows, path, ["time", "id"])
+    got = tables.scan(spark, path, start=dt.datetime(2024, 1, 3), end=dt.datetime(2024, 1, 4, 13))
+    assert sorted(r.id for r in got.collect()) == [2, 3]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert "day" in filters and "2024-01-03" in filters and "2024-01-04" in filters
+
+
+def test_conflicting_rows_of_a_key_are_decided_by_the_row(spark):
+    rows = [("k", v) for v in (5, 3, 9)]
+    for order in (rows, rows[::-1], [rows[1], rows[2], rows[0]]):
+        df = spark.createDataFrame(order, "id string, v int").repartition(3)
+        assert [tuple(r) for r in tables.first_per_key(df, ["id"]).collect()] == [("k", 3)]
+    late = spark.createDataFrame([("k", 3, 2), ("k", 9, 1)], "id string, v int, at int")
+    assert [r.v for r in tables.first_per_key(late, ["id"], "at").collect()] == [9]
+
+
+def test_region_by_name_or_by_macrozone(spark):
+    rows = spark.createDataFrame([("m1",), ("m2",)], "macrozone_name string")
+    places = spark.createDataFrame([("EU", "m1"), ("US", "m2")], "region_name string, name string")
+    assert {r.region_name for r in messages.with_region(rows, "EU").collect()} == {"EU"}
+    assert {(r.macrozone_name, r.region_name) for r in messages.with_region(rows, places).collect()} == {("m1", "EU"), ("m2", "US")}
+
+
+def test_refresh_drops_buckets_that_came_out_empty(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    make = lambda *days: spark.createDataFrame(
+        [("r", "m", "t", T(2024, 1, d, 5), 1.0, 1.0, 1.0, 1.0, 1) for d in days],
+        "region_name string, macrozone_name string, type string, time timestamp_ntz, min_value double, max_value double, avg_value double, avg_sum double, avg_count long",
+    )
+    days = lambda df: sorted(r.day.day for r in df.collect())
+    assert days(jobs.scheduled_refresh(make(1, 2, 3), path, "day", rollup.MACROZONE_KEYS, T(2024, 1, 3, 12))) == [1, 2, 3]
+    assert days(jobs.scheduled_refresh(make(1, 3, 4), path, "day", rollup.MACROZONE_KEYS, T(2024, 1, 4, 12))) == [1, 3, 4]

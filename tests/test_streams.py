@@ -102,8 +102,8 @@ def test_first_registration_and_deduplication(spark, feed):
 
 def test_readings_ingest_survives_a_replay(spark, feed, tmp_path):
     facts, sensors = str(tmp_path / "facts"), str(tmp_path / "sensors")
-    start = [("a", "m", "z", T(2024, 1, 1), None), ("b", "m", "z", T(2024, 1, 1), T(2025, 1, 1))]
-    tables.write_snapshot(spark.createDataFrame(start, "id string, macrozone_name string, zone_name string, registration_time timestamp_ntz, last_seen timestamp_ntz"), sensors, 0)
+    start = [("a", "r", "m", "z", T(2024, 1, 1), None), ("b", "r", "m", "z", T(2024, 1, 1), T(2025, 1, 1))]
+    tables.write_snapshot(spark.createDataFrame(start, "id string, region_name string, macrozone_name string, zone_name string, registration_time timestamp_ntz, last_seen timestamp_ntz"), sensors, 0)
     for i in range(6):
         feed.drop(reading("a", i, i), reading("a", i, i), reading("b", i, i), reading("new", i, i))
     stream = lambda: feed.stream().withColumn("time", F.col("time").cast("timestamp_ntz"))
@@ -123,3 +123,15 @@ def test_late_facts_are_kept(spark, feed, tmp_path):
     feed.drop(reading("a", 1, 1))
     ingest.facts(feed.stream(), path, schemas.READING_KEY, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(path).count() == 2
+
+
+def test_silence_forgets_the_history(spark, feed):
+    """After six minutes of silence a strange value starts a history of its own."""
+    for minute in range(12):
+        feed.drop(reading("a", minute, 10 + minute % 2))
+    feed.drop(reading("a", 13, 500))
+    kept = {r.time.minute for r in feed.run(state.filter_outliers(feed.stream(), forget_after=None), "never").collect()}
+    assert kept == set(range(12))
+    feed.drop(reading("a", 30, 700), reading("a", 31, 10))
+    got = {r.time.minute for r in feed.run(state.filter_outliers(feed.stream()), "again").collect()}
+    assert 13 not in got and {30, 31} <= got

@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 from meterfold.llm.common import stored
 
 
-def _digest(edges: DataFrame) -> tuple:
-    h = F.xxhash64("a", "b").cast("decimal(20,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h)).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a node that has none of its own: nothing is left to do."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.filter("up > 1 OR (up = 1 AND down = 1)").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long) that is not the smallest of its component."""
     ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = stored(ordered, "edges")
-    seen = _digest(now)
-    while seen[0]:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
         large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
@@ -31,7 +34,4 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "a").filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         turned = small.unionByName(lowest.select("a", F.col("_m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         now = stored(turned.distinct(), "edges")
-        before, seen = seen, _digest(now)
-        if before == seen:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -28,9 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder; ``drop_scratch`` removes what was written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this driver; results that still read them end with it.
+
+    They are read lazily, so only the caller knows when nothing needs them any more.
+    """
+    n = len(_scratch)
+    while _scratch:
+        old = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return n
 
 
 def checkpointed(df):

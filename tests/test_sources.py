@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from meterfold import schemas
+from meterfold import schemas, session
 from meterfold.operators import rollup
 from meterfold.plans import jobs
 from meterfold.sources import messages, tables
@@ -147,3 +147,12 @@ def test_refresh_drops_buckets_that_came_out_empty(spark, tmp_path):
     days = lambda df: sorted(r.day.day for r in df.collect())
     assert days(jobs.scheduled_refresh(make(1, 2, 3), path, "day", rollup.MACROZONE_KEYS, T(2024, 1, 3, 12))) == [1, 2, 3]
     assert days(jobs.scheduled_refresh(make(1, 3, 4), path, "day", rollup.MACROZONE_KEYS, T(2024, 1, 4, 12))) == [1, 3, 4]
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    path = session.scratch_path(spark, "kept-for-a-while")
+    spark.range(3).write.parquet(path)
+    assert tables.read_or_none(spark, path).count() == 3
+    session._scratch[:] = [path]  # other tests may still read theirs
+    assert session.drop_scratch(spark) == 1 and session.drop_scratch(spark) == 0
+    assert tables.read_or_none(spark, path) is None

@@ -6,7 +6,6 @@ of two sums, shifted back to position 0 and mixed. Equal words have equal hashes
 they stand; two different words meet with a probability of about 2**-64.
 """
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterfold.session import shared_dir
+from meterfold.session import scratch_path
 
 R = np.uint64(0x9E3779B97F4A7C15)
 R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -36,7 +35,7 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: lineage ends there, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

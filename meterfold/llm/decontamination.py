@@ -2,8 +2,11 @@
 
 Words are runs of letters and digits, lowered. An item is the bag of its shingles of ``words``
 words (an item with fewer words is one shingle). A window of a document is as long as an item
-and lies where one of its shingles would put that item; windows that share no shingle with
-any item cannot be similar and are never formed.
+and may start at every shingle; at the end of a document it is cut off where one of its
+shingles would put the item beyond. How many shingles each window shares with the item, with
+their numbers, changes only where an occurrence enters or leaves, so a running sum over the
+hits gives it for all starts. Of the windows that share enough, the best one of a document for
+an item is formed; the others cannot change the result.
 
 Each window and each item has a 64-bit SimHash over its shingles, every occurrence weighing
 one. Fingerprints are cut into four blocks; two that differ in at most ``radius`` bits differ
@@ -23,7 +26,7 @@ further columns are not read.
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import stored
@@ -109,36 +112,58 @@ def bit_table(rows: DataFrame, hash_col):
     return passes
 
 
-def windows(docs: DataFrame, items: DataFrame, n: int, inline: int) -> DataFrame:
-    """doc_id, row_hash, first word, number of words and shingles of the windows that items of shingle length n suggest."""
-    places = items.filter(F.col("_n") == n).select("_words", F.posexplode("_item").alias("_offset", "_h")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), words_of(F.col("text")).alias("_w"))
-    rows = rows.select("doc_id", "row_hash", shingles_of(F.col("_w"), n).alias("_all"))
-    start = F.greatest(F.col("_pos") - F.col("_offset"), F.lit(0)).alias("first_word")
-    cut = F.slice("_all", F.col("first_word") + 1, F.col("_words") - n + 1).alias("_window")
+def windows(docs: DataFrame, items: DataFrame, n: int, inline: int, similarity: float) -> DataFrame:
+    """doc_id, row_hash, first word, number of words and shingles of each document's best window for each item of shingle length n."""
+    group = ["_d", "_r", "_i1", "_i2"]
+    places = items.filter(F.col("_n") == n).select("_i1", "_i2", F.size("_item").alias("_len"), F.posexplode("_item").alias("_offset", "_h"))
+    places = places.groupBy("_i1", "_i2", "_len", "_h").agg(F.collect_set("_offset").alias("_offsets"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_r"), "text")
+    rows = texts.select("_d", "_r", words_of(F.col("text")).alias("_w")).select("_d", "_r", shingles_of(F.col("_w"), n).alias("_all"))
     if places.count() <= inline:
         known = bit_table(places, F.col("_h"))
         hits = F.filter(F.sequence(F.lit(0), F.size("_all")), lambda i: known(F.get("_all", i)))
         # Outer, and filtered afterwards: a filter on the arrays would be moved into them and work them out anew for each element.
-        found = rows.withColumn("_hits", hits).select("doc_id", "row_hash", "_all", F.explode_outer("_hits").alias("_pos"))
-        found = found.filter(F.col("_pos").isNotNull()).withColumn("_h", F.get("_all", F.col("_pos"))).join(places, "_h").select("doc_id", "row_hash", start, "_words", "_all")
-        # Every shingle of a passage puts its item at the same place.
-        return found.select("doc_id", "row_hash", "first_word", "_words", cut).distinct()
-    found = rows.select("doc_id", "row_hash", F.posexplode_outer("_all").alias("_pos", "_h")).join(places, "_h")
-    found = found.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r"), start, "_words").distinct()
-    again = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_hash") == F.col("_r")))
-    return again.select("doc_id", "row_hash", "first_word", "_words", cut).distinct()
+        found = rows.withColumn("_hits", hits).select("_d", "_r", "_all", F.explode_outer("_hits").alias("_pos"))
+        found = found.filter(F.col("_pos").isNotNull()).select("_d", "_r", F.size("_all").alias("_total"), "_pos", F.get("_all", F.col("_pos")).alias("_h"))
+    else:
+        found = rows.select("_d", "_r", F.size("_all").alias("_total"), F.posexplode_outer("_all").alias("_pos", "_h"))
+    # All that follows is within one document and item, so rows are dealt out once.
+    seen = found.join(places, "_h").repartition(*group).groupBy(*group, "_total", "_len", "_h")
+    seen = seen.agg(F.sort_array(F.collect_set("_pos")).alias("_at"), F.first("_offsets").alias("_offsets"))
+    last = F.greatest(F.col("_total") - F.col("_len"), F.lit(0))
+
+    def event(at, step: int, aligned: bool):
+        return F.struct(at.alias("_s"), F.lit(step).alias("_step"), F.lit(aligned).alias("_aligned"))
+
+    # An occurrence counts in the windows that hold it, but not as many before it as the item has.
+    begins = F.transform("_at", lambda p, j: event(F.greatest(p - F.col("_len") + 1, F.coalesce(F.get("_at", j - F.size("_offsets")) + 1, F.lit(0)), F.lit(0)), 1, False))
+    ends = F.transform("_at", lambda p: event(p + 1, -1, False))
+    cut_off = F.flatten(F.transform(F.filter("_at", lambda p: p > last), lambda p: F.transform("_offsets", lambda o: event(p - o, 0, True))))
+    cut_off = F.filter(cut_off, lambda e: e["_s"] > last)
+    events = seen.select(*group, "_total", "_len", F.inline(F.concat(begins, ends, cut_off)))
+    events = events.groupBy(*group, "_total", "_len", "_s").agg(F.sum("_step").alias("_step"), F.max("_aligned").alias("_aligned"))
+    common = F.sum("_step").over(Window.partitionBy(*group).orderBy("_s"))
+    like = F.col("_common") / (F.least(F.col("_len"), F.col("_total") - F.col("_s")) + F.col("_len") - F.col("_common"))
+    fits = events.withColumn("_common", common).withColumn("_like", like).filter((F.col("_s") <= last) | F.col("_aligned")).filter(F.col("_like") >= similarity)
+    best = fits.groupBy(*group, "_len").agg(F.max(F.struct("_like", (-F.col("_s")).alias("_s"))).alias("_best"))
+    best = best.select(F.col("_d").alias("doc_id"), F.col("_r").alias("row_hash"), (-F.col("_best._s")).alias("first_word"), "_len").distinct()
+    again = best.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_hash") == F.col("_r")))
+    again = again.select("doc_id", "row_hash", "first_word", "_len", words_of(F.col("text")).alias("_w"))
+    # The window's words only, so its shingles alone are hashed.
+    own = F.slice("_w", F.col("first_word") + 1, F.col("_len") + n - 1)
+    again = again.select("doc_id", "row_hash", "first_word", (F.col("_len") + n - 1).alias("_words"), own.alias("_own"))
+    return again.select("doc_id", "row_hash", "first_word", "_words", shingles_of(F.col("_own"), n).alias("_window")).distinct()
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 19, inline: int = 200_000,
 ) -> DataFrame:
     """doc_id, row_hash (of the text), item_id and the best window: similarity, first_word, n_words."""
-    items = stored(items_of(benchmark, words).withColumn("_fp", simhash(F.col("_item"))), "items")
+    items = stored(items_of(benchmark, words).withColumns({"_fp": simhash(F.col("_item")), "_i1": F.xxhash64("_n", "_item"), "_i2": F.xxhash64(F.lit(9), "_item")}), "items")
     lengths = sorted(r[0] for r in items.select("_n").distinct().collect())  # at most ``words`` values
-    found = [windows(docs, items, n, inline).withColumn("_n", F.lit(n)) for n in lengths]
+    found = [windows(docs, items, n, inline, similarity).withColumn("_n", F.lit(n)) for n in lengths]
     if not found:
-        found = [windows(docs, items, words, inline).withColumn("_n", F.lit(words))]
+        found = [windows(docs, items, words, inline, similarity).withColumn("_n", F.lit(words))]
     content = ["_c1", "_c2"]
     every = stored(reduce(DataFrame.unionByName, found).withColumns({"_c1": F.xxhash64("_n", "_window"), "_c2": F.xxhash64(F.lit(9), "_window")}), "windows")
     classes = every.groupBy(*content).agg(F.first("_window").alias("_window"), F.first("_n").alias("_n"))

@@ -173,6 +173,25 @@ def test_leaks(spark, inline):
     assert len(want) > 2 * ITEMS
 
 
+@pytest.mark.parametrize("inline", [200_000, 10])
+def test_leaks_in_another_order(spark, inline):
+    """Swapped sentences, moved pieces and repeated shingles: no single hit tells where the window lies."""
+    rng = random.Random(8)
+    items, rows = [], []
+    for k in range(8):
+        first, second, third = (samples.prose(rng, "xx", n).replace(".", "").split(" ") for n in (rng.randint(20, 45), rng.randint(20, 45), 30))
+        items.append((k, " ".join(first + second)))
+        items.append((100 + k, " ".join(first + first + third + third)))
+        for j, body in enumerate([second + first, second[3:] + first, third + first + third + first, first * 4, third + third + first + first]):
+            around = [samples.prose(rng, "yy", n) for n in (25 * (j % 2), rng.choice([0, 12]))]
+            rows.append((100 * k + j, f"{around[0]} {' '.join(body)} {around[1]}", None, None, None))
+    df = samples.frame(spark, [*rows, rows[0]])
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.leaks(df, spark.createDataFrame(items, "item_id long, text string"), inline=inline).collect()}
+    want = leaks(rows, items)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert {(100 * k, k) for k in range(8)} <= want.keys()
+
+
 def test_clean(spark):
     rows, items = leaking()
     bench = spark.createDataFrame(items, "item_id long, text string")

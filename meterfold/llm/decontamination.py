@@ -21,7 +21,8 @@ shingles are looked up inside each row if there are at most ``inline`` of them;
 hits come from a shuffled join, and the windows' shingles from a second one. DataFrame functions only.
 
 Null and empty texts, and items without a word, match nothing. Repeated rows are reported once;
-further columns are not read.
+further columns are not read. Items are told apart by their shingles; one without an id is an item
+like any other and is reported with a null item_id.
 """
 
 from functools import reduce
@@ -170,12 +171,16 @@ def leaks(
     classes = classes.withColumn("_wfp", simhash(F.col("_window")))
     asked = classes.select(*content, "_window", "_n", "_wfp", F.inline(block_values(F.col("_wfp"))).alias("_block", "_value"))
     masks = F.array(*(F.lit(m) for m in variations(radius // BLOCKS)))
-    offered = items.select("item_id", "_item", F.col("_n").alias("_in"), "_fp", F.inline(block_values(F.col("_fp"))).alias("_block", "_v"))
+    # Items are known by their shingles: ids may be null, and ids of equal items only go with the result.
+    item = ["_i1", "_i2"]
+    kinds = items.dropDuplicates(item)
+    offered = kinds.select(*item, F.col("_n").alias("_in"), "_fp", F.inline(block_values(F.col("_fp"))).alias("_block", "_v"))
     offered = offered.withColumn("_value", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("_v"))))).drop("_v")
-    near = asked.join(offered.select("item_id", "_in", "_fp", "_block", "_value"), ["_block", "_value"])
-    near = near.filter((F.col("_n") == F.col("_in")) & (F.bit_count(F.col("_fp").bitwiseXOR(F.col("_wfp"))) <= radius)).select(*content, "item_id").distinct()
-    pairs = near.join(classes.select(*content, "_window"), content).join(items.select("item_id", "_item"), "item_id")
+    near = asked.join(offered.select(*item, "_in", "_fp", "_block", "_value"), ["_block", "_value"])
+    near = near.filter((F.col("_n") == F.col("_in")) & (F.bit_count(F.col("_fp").bitwiseXOR(F.col("_wfp"))) <= radius)).select(*content, *item).distinct()
+    pairs = near.join(classes.select(*content, "_window"), content).join(kinds.select(*item, "_item"), item)
     same = pairs.withColumn("similarity", weighted_jaccard(F.col("_window"), F.col("_item"))).filter(F.col("similarity") >= similarity)
+    same = same.select(*content, *item, "similarity").join(items.select(*item, "item_id").distinct(), item)
     hits = every.select("doc_id", "row_hash", "first_word", "_words", *content).join(same.select(*content, "item_id", "similarity"), content)
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("_at"), "_words")).alias("_best")
     return hits.groupBy("doc_id", "row_hash", "item_id").agg(best).select(

@@ -192,6 +192,16 @@ def test_leaks_in_another_order(spark, inline):
     assert {(100 * k, k) for k in range(8)} <= want.keys()
 
 
+def test_items_without_an_id(spark):
+    rng = random.Random(9)
+    first, second, third = (samples.prose(rng, "xx", 40) for _ in range(3))
+    rows = [(k, f"{samples.prose(rng, 'yy', 20)} {body}", None, None, None) for k, body in enumerate([first, second, third, samples.prose(rng, "yy", 30)])]
+    bench = spark.createDataFrame([(None, first), (None, second), (1, third), (1, first), (2, third)], "item_id long, text string")
+    df = samples.frame(spark, rows)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()} == {(0, None), (0, 1), (1, None), (2, 1), (2, 2)}
+    assert [r["doc_id"] for r in decontamination.clean(df, bench).collect()] == [3]
+
+
 def test_clean(spark):
     rows, items = leaking()
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -1,5 +1,7 @@
 """Per-sensor stateful stream operators."""
 
+import pickle
+import tempfile
 from collections import deque
 from collections.abc import Iterator
 
@@ -12,15 +14,72 @@ from meterfold import params, schemas
 from meterfold.operators.outlier import judge
 
 
+#: Sorted runs read at once, and rows of a run in memory while it is read.
+RUNS, PIECE = 16, 10_000
+
+
+def _spilled(frames: Iterator[pd.DataFrame]):
+    """Frames in a nameless file of the worker, which goes when it is closed, and how many there are."""
+    file, n = tempfile.TemporaryFile(), 0
+    for rows in frames:
+        for at in range(0, len(rows), PIECE):
+            pickle.dump(rows.iloc[at : at + PIECE], file, pickle.HIGHEST_PROTOCOL)
+            n += 1
+    file.seek(0)
+    return file, n
+
+
+def _merged(runs: list, order: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted runs in order, with one piece of each in memory."""
+    left, rows = [n for _, n in runs], None
+    wanted = [k for k, n in enumerate(left) if n]
+    while wanted or rows is not None and len(rows):
+        pieces = [] if rows is None else [rows]
+        for k in wanted:
+            left[k] -= 1
+            piece = pickle.load(runs[k][0]).assign(_run=k, _more=False)
+            piece.iloc[-1, piece.columns.get_loc("_more")] = left[k] > 0
+            pieces.append(piece)
+        rows = pd.concat(pieces, ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        # What a run still holds comes after the last row read from it.
+        ends = rows["_more"].to_numpy().nonzero()[0]
+        to = int(ends[0]) + 1 if len(ends) else len(rows)
+        wanted = [int(rows["_run"].iloc[to - 1])] if len(ends) else []
+        yield rows.iloc[:to].drop(columns=["_run", "_more"])
+        rows = rows.iloc[to:]
+    for file, _ in runs:
+        file.close()
+
+
+def in_order(batches: Iterator[pd.DataFrame], order: list[str], most: int) -> Iterator[pd.DataFrame]:
+    """The rows of all batches in ``order``; beyond ``most`` rows, sorted runs go to disk and are merged."""
+    runs, held, n = [], [], 0
+    for rows in batches:
+        held.append(rows)
+        n += len(rows)
+        if n >= most:
+            runs.append(_spilled(iter([pd.concat(held, ignore_index=True).sort_values(order, kind="stable")])))
+            held, n = [], 0
+            if len(runs) == RUNS:
+                runs = [_spilled(_merged(runs, order))]
+    rest = pd.concat(held, ignore_index=True).sort_values(order, kind="stable") if held else None
+    if not runs:
+        yield from () if rest is None else (rest,)
+        return
+    yield from _merged(runs if rest is None else [*runs, _spilled(iter([rest]))], order)
+
+
 def filter_outliers(
     readings: DataFrame, size: int = params.HISTORY_SIZE, min_samples: int = params.MIN_SAMPLES,
     factor: float = params.SIGMA_FACTOR, order: tuple[str, ...] = ("time", "value"),
     forget_after: int | None = params.UNHEALTHY_AFTER, lateness: str = "10 minutes", keys: list[str] = schemas.SENSOR,
+    most: int = 100_000,
 ) -> DataFrame:
     """Accepted readings of a stream; the state of a sensor is its last ``size`` accepted values.
 
-    A sensor's readings of a micro-batch come in Arrow batches; each is taken in ``order`` and
-    let go before the next, so a sensor's whole batch is never in memory. The history is
+    A sensor's readings of a micro-batch are taken in ``order``, whatever Arrow batches they come
+    in. No more than ``most`` of them are sorted in memory; beyond that, sorted runs go to the
+    worker's disk and are merged. The history is
     forgotten once the sensor was silent for more than ``forget_after`` seconds of event time
     (None: never); the state itself goes when the watermark has passed that silence. Rows with
     a null value are no readings and are left out.
@@ -33,8 +92,7 @@ def filter_outliers(
             return
         values, last = state.get if state.exists else ((), None)
         kept = deque(values)
-        for rows in batches:
-            rows = rows.sort_values(list(order), kind="stable")
+        for rows in in_order(batches, list(order), most):
             at = rows["time"].astype("datetime64[ms]").astype("int64").tolist()
             flags, begin = [], 0
             for k, now in enumerate(at):

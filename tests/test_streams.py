@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,33 @@ def test_filter_keeps_its_history_between_batches(spark, feed):
     assert got.count() < 120
 
 
+@pytest.mark.parametrize("most", [100_000, 10])
+def test_filter_takes_a_large_micro_batch_in_order(spark, feed, most):
+    """A sensor's rows come in many small Arrow batches, out of time order across them."""
+    rows = [reading(f"s{int(i % 10 == 0)}", i, 3 * i + (400 if i % 17 == 16 else i % 7)) for i in range(400)]
+    random.Random(1).shuffle(rows)
+    feed.drop(*rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = feed.run(state.filter_outliers(feed.stream(), size=20, forget_after=None, most=most))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = outlier.accepted(spark.createDataFrame(rows, READING), size=20)
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert got.count() < 400
+
+
+def test_runs_are_merged_in_order():
+    rng = random.Random(2)
+    frame = pd.DataFrame({"time": [pd.Timestamp(rng.randrange(500), unit="s") if k % 50 else pd.NaT for k in range(3000)], "value": [rng.random() for _ in range(3000)]})
+    frame["id"] = range(3000)
+    parts = [frame.iloc[k : k + 40] for k in range(0, 3000, 40)]
+    got = pd.concat(state.in_order(iter(parts), ["time", "value"], 100), ignore_index=True)
+    assert got.equals(frame.sort_values(["time", "value"], ignore_index=True))
+    assert list(state.in_order(iter([]), ["time", "value"], 100)) == []
+
+
 def test_windows_emit_once_and_leave_out_late_readings(spark, feed):
     feed.drop(reading("s", 1, 10), reading("s", 2, 20))
     feed.drop(reading("s", 40, 1))  # moves the watermark past the first window

@@ -2,13 +2,15 @@
 
 ``judge`` splits every url into host and path and applies the longest rule that fits. The
 pages that a rule fits are labelled examples. For each host, the paths form a tree of
-segments, in which digits are generalised at once. From the root down, the children of a
-node are generalised to ``*`` where most of them are seen once or twice and there are more
-than ``most_children``; labelled children whose blocked share does not differ from that of
-all their siblings (two-proportion z test) are merged into ``~``. A template's purity is its
-blocked share smoothed towards one half by ``smoothing`` examples; templates of at least
-``reject`` are blocked, and with them the pages that no rule fits. A template without
-labelled pages stands at one half and is allowed.
+segments, in which digits are generalised at once. From the root down, the rare children of a
+node, each with less than one page in ``most_children`` of the node's, are generalised to ``*``
+where there are more than ``most_children`` of them, which stays so when all counts grow
+together; labelled children whose blocked share does not differ from that of all their siblings
+(two-proportion z test) are merged into ``~``. A template's purity is its blocked share smoothed
+towards one half by ``smoothing`` examples; templates of at least ``reject`` are blocked, and
+with them the pages that no rule fits. A template without labelled pages has the purity of its
+nearest ancestor that has some, up to the host; on a host without labelled pages it stands at
+one half and is allowed.
 
 The tree is built on counts by host and path shape, so a host with a third of all pages is
 added up before it is shuffled. Segments beyond ``depth`` fold into one. DataFrame functions
@@ -75,27 +77,33 @@ def templates(labelled: DataFrame, depth: int, most_children: int, z: float, smo
         F.count(F.lit(1)).alias("_n"),
         F.count("_label").alias("_labelled"),
         F.coalesce(F.sum("_label"), F.lit(0)).alias("_blocked"),
+        *(F.lit(0).cast("long").alias(c) for c in ("_al", "_ab")),  # of the nearest ancestor with labels
     ), "nodes")
     totals = [F.sum(c).alias(c) for c in ("_n", "_labelled", "_blocked")]
     above = ["host"]
     for k in range(1, depth + 1):
         child, named = f"_s{k}", f"_t{k}"
         children = nodes.groupBy(*above, child).agg(*totals)
+        sizes = children.groupBy(*above).agg(F.sum("_n").alias("_pn"))
+        rare = F.col("_n") * most_children < F.col("_pn")
+        children = children.join(sizes, above).withColumn("_rare", rare.cast("long")).drop("_pn")
         parent = children.groupBy(*above).agg(
-            F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_pn"), F.sum("_labelled").alias("_pl"), F.sum("_blocked").alias("_pb")
+            F.sum("_rare").alias("_k"), F.sum("_labelled").alias("_pl"), F.sum("_blocked").alias("_pb")
         )
         seen = children.join(parent, above)
-        variable = (F.col("_k") > most_children) & (F.col("_k") * 3 > F.col("_pn"))
+        variable = (F.col("_k") > most_children) & (F.col("_rare") == 1)
         share = F.col("_pb") / F.col("_pl")
         rest = F.col("_pl") - F.col("_labelled")
         error = F.sqrt(share * (1 - share) * (1 / F.col("_labelled") + 1 / rest))
         gap = F.abs(F.col("_blocked") / F.col("_labelled") - (F.col("_pb") - F.col("_blocked")) / rest)
         similar = (F.col("_labelled") > 0) & F.when(rest > 0, gap <= F.lit(z) * error).otherwise(F.lit(False))
-        seen = seen.select(*above, child, F.when(variable, "*").when(F.coalesce(similar, F.lit(False)), "~").otherwise(F.col(child)).alias(named))
-        nodes = stored(nodes.join(seen, [*above, child]), "nodes")  # a level's plan would hold those above it several times
+        seen = seen.select(*above, child, F.when(variable, "*").when(F.coalesce(similar, F.lit(False)), "~").otherwise(F.col(child)).alias(named), "_pl", "_pb")
+        nearest = {up: F.when(F.col("_pl") > 0, F.col(own)).otherwise(F.col(up)) for up, own in (("_al", "_pl"), ("_ab", "_pb"))}
+        nodes = stored(nodes.join(seen, [*above, child]).withColumns(nearest).drop("_pl", "_pb"), "nodes")  # a level's plan would hold those above it several times
         above = [*above, named]
     whole = nodes.groupBy(*above).agg(F.sum("_labelled").alias("_tl"), F.sum("_blocked").alias("_tb"))
-    purity = (F.col("_tb") + smoothing / 2) / (F.col("_tl") + smoothing)
+    blocked, labels = (F.when(F.col("_tl") > 0, F.col(own)).otherwise(F.col(up)) for own, up in (("_tb", "_ab"), ("_tl", "_al")))
+    purity = (blocked + smoothing / 2) / (labels + smoothing)
     judged = nodes.join(whole, above).withColumn("purity", purity)
     path = F.concat(*(F.concat(F.lit("/"), F.col(f"_t{k}")) for k in range(1, depth + 1)))
     return judged.select("host", *shapes, F.regexp_replace(path, "/+$", "").alias("template"), "_n", "_labelled", "_blocked", "purity", (F.col("purity") >= reject).alias("rejected"))

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from meterfold.llm import line_dedup, secret_scan, url_filter
 from tests.llm import samples
 
@@ -77,6 +79,17 @@ def test_templates_of_one_host(spark):
     assert got[60] == "block"
 
 
+@pytest.mark.parametrize("times", [1, 4])
+def test_pages_without_a_rule_are_judged_whatever_the_volume(spark, times):
+    """Rare segments and branches without labels stand with their host or nearest labelled branch."""
+    rows = [f"http://h.net/{s}/{k}" for s in ("es", "fr") for k in range(25)] + [f"http://h.net/p{chr(97 + k)}" for k in range(25)]
+    rows += ["http://nowhere.org/es/1"]
+    rows += [f"http://i.net/es/{k}" for k in range(10)] + ["http://i.net/de/x/1"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(rows)] * times, "page_id long, url string")
+    got = {rows[r["page_id"]]: r["verdict"] for r in url_filter.judge(df).collect() if r["rule"] is None}
+    assert got == {**{u: "block" for u in rows[50:75]}, "http://nowhere.org/es/1": "allow", "http://i.net/de/x/1": "block"}
+
+
 def test_secret_spans(spark):
     rows = samples.documents()
     got = Counter(tuple(r) for r in secret_scan.summary(secret_scan.scan(samples.frame(spark))).collect())

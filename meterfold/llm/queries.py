@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterfold.llm import decontamination, embedding_dedup, jaccard_join, language_id, line_dedup, lm_score, packing, secret_scan, token_counts, url_filter
+from meterfold.llm import bpe_codec, decontamination, embedding_dedup, fill_in_middle, jaccard_join, language_id, line_dedup, lm_score, packing, secret_scan, token_counts, url_filter
 from meterfold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,20 @@ def op10(spark, sf_dir):
     model = language_id.fit(docs.filter(remainder("doc_id", 3) != 1))
     held_out = docs.select(F.col("doc_id").cast("long"), "text", (remainder("doc_id", 3) == 1).alias("held_out"))
     return language_id.predict(held_out, model).withColumn("held_out", remainder("doc_id", 3) == 1).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op11_bpe_codec")
+def op11(spark, sf_dir):
+    path = public_tokenizers.path(VOCABULARY)
+    both = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op13_fill_in_middle", fill_in_middle.SQL)
+def op13(spark, sf_dir):
+    cut = fill_in_middle.transform(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20)
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterfold.llm import bpe_codec, decontamination, embedding_dedup, fill_in_middle, jaccard_join, language_id, line_dedup, lm_score, packing, secret_scan, token_counts, url_filter
+from meterfold.llm import bpe_codec, decontamination, embedding_dedup, fill_in_middle, jaccard_join, language_id, line_dedup, lm_score, packing, prefix_trie, secret_scan, token_counts, url_filter
 from meterfold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,11 @@ def op11(spark, sf_dir):
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query("op12_prefix_trie", prefix_trie.SQL)
+def op12(spark, sf_dir):
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations")), every=5, most=8))
+
+
 @query("op13_fill_in_middle", fill_in_middle.SQL)
 def op13(spark, sf_dir):
     cut = fill_in_middle.transform(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20)

@@ -10,12 +10,14 @@ Forms: ``psm`` is prefix, suffix, middle, each behind its mark; ``spm`` begins w
 so. Null texts count as empty, a null id is hashed as an empty one, repeated rows give repeated
 results, an empty table gives an empty one. Other columns are not looked at.
 
-The match keeps 16 bytes for every unit, so a task needs about 60 bytes for each unit of its
-longest text; texts go through one at a time.
+The library keeps every repetition in memory and gives up after some millions of them. So a text of
+more than ``WINDOW`` characters is matched window by window: the last unit of a window may go on, so
+the next one begins with it. Units must not look further ahead than they reach.
 """
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -27,6 +29,7 @@ from meterfold.llm.common import small_batches
 #: Runs of letters, and every other character by itself.
 UNIT = "[A-Za-z]+|[^A-Za-z]"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
+WINDOW = 1_000_000
 OUT = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
 
 
@@ -35,6 +38,22 @@ def tiling(unit: str = UNIT) -> regex.Pattern:
     return regex.compile(f"(?:(?>({unit})))*+")
 
 
+def unit_ends(text: str, tiles: regex.Pattern, window: int = WINDOW) -> Sequence[int]:
+    """Where each unit of a text ends."""
+    if len(text) <= window:
+        return tiles.fullmatch(text).ends(1)
+    ends, at, reach = array("q"), 0, window
+    while at + reach < len(text):
+        found = tiles.fullmatch(text, at, at + reach).ends(1)
+        if len(found) == 1:  # one unit fills the window
+            reach *= 2
+            continue
+        ends.extend(found[:-1])
+        at, reach = found[-2], window
+    ends.extend(tiles.fullmatch(text, at).ends(1))
+    return ends
+
+
 def draws(doc_id: int | None, seed: int) -> list[int]:
     """Four numbers below 2**32 for a document."""
     digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
@@ -43,7 +62,7 @@ def draws(doc_id: int | None, seed: int) -> list[int]:
 
 def transformed(text: str, numbers: list[int], tiles: regex.Pattern, rate: int, spm: int) -> tuple:
     """(n, form, prefix_chars, middle_chars, output) of one text."""
-    ends = tiles.fullmatch(text).ends(1)
+    ends = unit_ends(text, tiles)
     n = len(ends)
     first, second, kept, order = numbers
     if not text or kept % 100 >= rate or any(mark in text for mark in (PREFIX, SUFFIX, MIDDLE)):

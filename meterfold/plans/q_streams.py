@@ -14,7 +14,7 @@ from meterfold.plans.oracle import query
 from meterfold.plans.q_analytics import compared_daily, macro_q, ntz, region_q, variation
 from meterfold.plans.q_basic import rnd, sql_stats, stats_rounded, wkt
 from meterfold.session import scratch_path
-from meterfold.sources import messages, tables
+from meterfold.sources import keyed, messages, tables
 from meterfold.streaming import ingest, state, windows
 
 
@@ -364,23 +364,26 @@ FROM sensors s LEFT JOIN (SELECT sensor_id, region_name, macrozone_name, zone_na
 UNION ALL SELECT 'reading', cast(event_id AS varchar), time FROM readings""")
 def st9(t):
     path = fresh(t, "st9")
-    tables.write_snapshot(t.sensors, f"{path}-sensors", 0)
+    sensors = _device_table(t.sensors, f"{path}-sensors", schemas.SENSOR_KEY)
     stream = as_ntz(t.reading_stream())
-    ingest.readings(stream, path, f"{path}-sensors", f"{path}-checkpoint").awaitTermination()
-    now = tables.read_snapshot(t.spark, f"{path}-sensors", tables.last_version(t.spark, f"{path}-sensors"))
+    ingest.readings(stream, path, sensors, f"{path}-checkpoint").awaitTermination()
+    now = keyed.read(t.spark, sensors)
     facts = t.spark.read.parquet(path)
     return now.select(F.lit("sensor").alias("kind"), "id", F.col("last_seen").alias("time")).unionByName(
         facts.select(F.lit("reading").alias("kind"), F.col("event_id").cast("string").alias("id"), "time")
     )
 
 
-def _snapshot(t: Tables, path: str) -> DataFrame:
-    return tables.read_snapshot(t.spark, path, tables.last_version(t.spark, path))
+def _device_table(rows: DataFrame, path: str, keys: list[str], attributes: list[str] = ()) -> keyed.KeyedTable:
+    """A device table that starts with the given rows."""
+    table = keyed.KeyedTable(path, keys, list(attributes))
+    keyed.create(rows, table)
+    return table
 
 
-def _as_stream(t: Tables, rows: DataFrame, path: str) -> DataFrame:
+def _as_stream(t: Tables, rows: DataFrame, path: str, **options) -> DataFrame:
     rows.write.parquet(path)
-    return t.spark.readStream.schema(rows.schema).parquet(path)
+    return t.spark.readStream.schema(rows.schema).options(**options).parquet(path)
 
 
 _BEATS = "SELECT hub_id, macrozone, {}, max(time) AS seen FROM heartbeats WHERE time IS NOT NULL AND hub_id <> '' AND macrozone <> '' AND zone {} '' GROUP BY ALL"
@@ -392,13 +395,13 @@ UNION ALL SELECT h.id, h.macrozone_name, h.zone_name, greatest(h.last_seen, b.se
 FROM zone_hubs h LEFT JOIN ({_BEATS.format("zone", "<>")}) b ON b.hub_id = h.id AND b.macrozone = h.macrozone_name AND b.zone = h.zone_name""")
 def st10(t):
     path = fresh(t, "st10")
-    tables.write_snapshot(t.macrozone_hubs, f"{path}-macro", 0)
-    tables.write_snapshot(t.zone_hubs, f"{path}-zone", 0)
-    stream = _as_stream(t, t.heartbeats, f"{path}-in")
-    ingest.heartbeats(stream, t.macrozones, f"{path}-macro", f"{path}-zone", f"{path}-checkpoint").awaitTermination()
+    macro = _device_table(t.macrozone_hubs, f"{path}-macro", schemas.MACROZONE_HUB_KEY, ["service"])
+    zone = _device_table(t.zone_hubs, f"{path}-zone", schemas.ZONE_HUB_KEY, ["service"])
+    stream = _as_stream(t, t.heartbeats.repartition(4), f"{path}-in", maxFilesPerTrigger=1)
+    ingest.heartbeats(stream, t.macrozones, macro, zone, f"{path}-checkpoint", compact_every=2).awaitTermination()
     cols = ["id", "macrozone_name", "zone_name", "last_seen"]
-    macro = _snapshot(t, f"{path}-macro").withColumn("zone_name", F.lit("")).select(*cols)
-    return macro.unionByName(_snapshot(t, f"{path}-zone").select(*cols))
+    both = keyed.read(t.spark, macro).withColumn("zone_name", F.lit("")).select(*cols)
+    return both.unionByName(keyed.read(t.spark, zone).select(*cols))
 
 
 _PLACE = "region_name, macrozone_name, zone_name"
@@ -463,14 +466,15 @@ UNION ALL SELECT 'zone_hubs', hub_id, region_name, macrozone_name, zone_name, mi
 UNION ALL SELECT 'sensors', sensor_id, region_name, macrozone_name, zone_name, min(time), max(time) FROM configs WHERE msg_type = 'new_sensor' GROUP BY sensor_id, region_name, macrozone_name, zone_name""")
 def st17(t):
     path = fresh(t, "st17")
-    start = {"macrozone_hubs": t.macrozone_hubs, "zone_hubs": t.zone_hubs, "sensors": t.device_sensors}
-    for name, rows in start.items():
-        tables.write_snapshot(rows, f"{path}-{name}", 0)
-    stream = _as_stream(t, t.configs, f"{path}-in")
-    ingest.configurations(stream, *[f"{path}-{name}" for name in start], f"{path}-checkpoint").awaitTermination()
+    stored = {
+        "macrozone_hubs": _device_table(t.macrozone_hubs, f"{path}-macro", schemas.MACROZONE_HUB_KEY, ["service"]),
+        "zone_hubs": _device_table(t.zone_hubs, f"{path}-zone", schemas.ZONE_HUB_KEY, ["service"]),
+        "sensors": _device_table(t.device_sensors, f"{path}-sensors", schemas.SENSOR_KEY, ["type", "reference"]),
+    }
+    ingest.configurations(_as_stream(t, t.configs, f"{path}-in"), *stored.values(), f"{path}-checkpoint").awaitTermination()
     out = None
-    for name in start:
-        rows = _snapshot(t, f"{path}-{name}")
+    for name, table in stored.items():
+        rows = keyed.read(t.spark, table)
         zone = F.col("zone_name") if "zone_name" in rows.columns else F.lit("")
         rows = rows.select(F.lit(name).alias("target"), "id", "region_name", "macrozone_name", zone.alias("zone_name"), "registration_time", "last_seen")
         out = rows if out is None else out.unionByName(rows)

@@ -1,10 +1,11 @@
-"""File scans, idempotent appends, partition overwrites and versioned snapshots on Parquet."""
+"""File scans, idempotent appends and partition overwrites on Parquet."""
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from meterfold.functions import geo
+from meterfold.sources import files
 
 
 def historical_csv(
@@ -63,44 +64,105 @@ def first_per_key(batch: DataFrame, keys: list[str], arrival: str | None = None)
     return batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
-def absent_rows(batch: DataFrame, stored: DataFrame | None, keys: list[str], arrival: str | None = None) -> DataFrame:
-    """Rows of the batch whose key is not stored yet, each key once."""
-    new = first_per_key(batch, keys, arrival).select(*batch.columns)
-    return new if stored is None else new.join(stored.select(*keys), keys, "left_anti").select(*batch.columns)
-
-
-def append_absent(batch: DataFrame, path: str, keys: list[str], time: str = "time", arrival: str | None = None) -> None:
+def append_absent(
+    batch: DataFrame, path: str, keys: list[str], time: str = "time", arrival: str | None = None, index_hours: int = 24,
+) -> None:
     """Insert-if-absent into a table partitioned by day; rows without a time are dropped.
 
-    Only the folders of the days that occur in the batch are listed and read for the
-    comparison, however long the table's history is. A repeated batch adds nothing, so a
-    replayed micro-batch is harmless. Files are clustered by the key columns before the
+    Beside the rows lies an index: for each day, in folders of ``index_hours`` hours, a hash of
+    every stored key, clustered by hour. A batch reads the hashes (8 bytes a key) of the
+    folders and hours it touches, however long the history is; only where a hash is known
+    already are whole keys compared, in the range of time of those. Streams that append often to one day keep fewer files in
+    reach with narrow folders; the width is fixed for a table. Of several rows with one key in a
+    batch the first by ``arrival`` is kept.
+
+    A repeated batch adds nothing. A day is marked while rows and keys are being written; a mark that
+    is left by a failure, or a day that has no index yet, gets its index anew from the stored rows.
+    One writer at a time may append to a table. Files are clustered by the key columns before the
     time, so that a lookup of one device skips row groups.
     """
     spark = batch.sparkSession
-    batch = batch.withColumn("day", F.to_date(time)).filter("day IS NOT NULL")
-    cluster = [*[k for k in keys if k != time], time]
-    if not _exists(spark, path):
-        new = first_per_key(batch, keys, arrival).select(*batch.columns)
-        _by_partition(new, ["day"], cluster).mode("append").parquet(path)
-        return
-    batch = batch.persist()
+    index = f"{path}/_keys"
+    for marked in files.matching(spark, f"{index}/_pending/day=*"):
+        _index_day(spark, path, keys, time, index_hours, files.value(marked, "day"))
+        files.delete(spark, marked)
+    columns = [*batch.columns, "day"]
+    new = _slotted(first_per_key(batch, keys, arrival).withColumn("day", F.to_date(time)), keys, time, index_hours).filter("day IS NOT NULL").persist()
     try:
-        days = [r.day for r in batch.select("day").distinct().collect()]  # one row per calendar day
-        folders = [f for d in days if _exists(spark, f := f"{path}/day={d}")]
-        stored = spark.read.option("basePath", path).parquet(*folders) if folders else None
-        if days:
-            _by_partition(absent_rows(batch, stored, keys, arrival), ["day"], cluster).mode("append").parquet(path)
+        ranges = new.groupBy("day", "_slot").agg(F.min("_hour").alias("lo"), F.max("_hour").alias("hi")).collect()  # some for each calendar day
+        if not ranges:
+            return
+        days = sorted({str(r.day) for r in ranges})
+        choice = "{" + ",".join(days) + "}"
+        indexed = files.matching(spark, f"{index}/day={choice}/slot=*")
+        stored = {files.value(f, "day") for f in files.matching(spark, f"{path}/day={choice}")}
+        if missing := stored - {files.value(f, "day") for f in indexed}:
+            for day in missing:
+                _index_day(spark, path, keys, time, index_hours, day)
+            indexed = files.matching(spark, f"{index}/day={choice}/slot=*")
+        touched = {(str(r.day), r._slot) for r in ranges}
+        folders = [f for f in indexed if (files.value(f, "day"), int(files.value(f, "slot"))) in touched]
+        hours = min(r.lo for r in ranges), max(r.hi for r in ranges)
+        fresh = (_not_indexed(new, path, folders, hours, keys, time) if folders else new).persist()
+        try:
+            for day in days:
+                files.make_folder(spark, f"{index}/_pending/day={day}")
+            cluster = [*[k for k in keys if k != time], time]
+            by_partition(fresh.select(*columns), ["day"], cluster).mode("append").parquet(path)
+            _write_index(fresh, index, "append")
+            files.delete(spark, f"{index}/_pending")
+        finally:
+            fresh.unpersist()
     finally:
-        batch.unpersist()
+        new.unpersist()
+
+
+def _slotted(rows: DataFrame, keys: list[str], time: str, index_hours: int) -> DataFrame:
+    """Rows with hour, index folder and hash of their key."""
+    hour = F.hour(time)
+    return rows.withColumns({"_hour": hour, "_slot": F.floor(hour / index_hours).cast("int"), "_hash": F.xxhash64(*keys)})
+
+
+def stored_hashes(spark: SparkSession, index: str, folders: list[str], hours: tuple[int, int]) -> DataFrame:
+    """Index rows of the folders; the hours reach the scan."""
+    return spark.read.option("basePath", index).parquet(*folders).filter(F.col("hour").between(*hours))
+
+
+def stored_keys(spark: SparkSession, path: str, days: list[str], keys: list[str], time: str, first, last) -> DataFrame:
+    """Whole keys of the rows of some days; the range of time reaches the scan."""
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/day={d}" for d in days])
+    return rows.filter(F.col(time).between(F.lit(first).cast(rows.schema[time].dataType), F.lit(last).cast(rows.schema[time].dataType))).select(*keys)
+
+
+def _not_indexed(new: DataFrame, path: str, folders: list[str], hours: tuple[int, int], keys: list[str], time: str) -> DataFrame:
+    """Rows whose key is not stored; hashes are compared first, whole keys where a hash is known."""
+    spark = new.sparkSession
+    hashes = stored_hashes(spark, f"{path}/_keys", folders, hours).select(F.col("hash").alias("_known"))
+    hits = new.join(hashes, F.col("_hash") == F.col("_known"), "left_semi")
+    hit = hits.groupBy("day").agg(F.min(time).alias("first"), F.max(time).alias("last")).collect()  # one row for each calendar day
+    if not hit:
+        return new
+    stored = stored_keys(spark, path, [str(r.day) for r in hit], keys, time, min(r.first for r in hit), max(r.last for r in hit))
+    stored = stored.withColumn("_known", F.xxhash64(*keys)).withColumnsRenamed({k: f"_key_{n}" for n, k in enumerate(keys)})
+    same = F.col("_hash") == F.col("_known")
+    for n, k in enumerate(keys):
+        same = same & new[k].eqNullSafe(F.col(f"_key_{n}"))
+    return new.join(stored, same, "left_anti")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _write_index(rows: DataFrame, index: str, mode: str) -> None:
+    out = rows.select("day", F.col("_slot").alias("slot"), F.col("_hour").alias("hour"), F.col("_hash").alias("hash"))
+    by_partition(out, ["day", "slot"], ["hour", "hash"]).mode(mode).option("partitionOverwriteMode", "dynamic").parquet(index)
 
 
-def _by_partition(df: DataFrame, partitions: list[str], cluster: list[str] = ()) -> DataFrameWriter:
+def _index_day(spark: SparkSession, path: str, keys: list[str], time: str, index_hours: int, day: str) -> None:
+    """The index of one day from the rows stored for it."""
+    if files.exists(spark, f"{path}/day={day}"):
+        rows = spark.read.option("basePath", path).parquet(f"{path}/day={day}")
+        _write_index(_slotted(rows, keys, time, index_hours), f"{path}/_keys", "overwrite")
+
+
+def by_partition(df: DataFrame, partitions: list[str], cluster: list[str] = ()) -> DataFrameWriter:
     """Writer into partitions: rows gather by partition, small ones share a task, large ones are split."""
     df = df.hint("rebalance", *[F.col(c) for c in partitions])
     if cluster:
@@ -110,13 +172,12 @@ def _by_partition(df: DataFrame, partitions: list[str], cluster: list[str] = ())
 
 def overwrite_partitions(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Replace just the partitions that occur in ``df``."""
-    _by_partition(df, partitions).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    by_partition(df, partitions).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def drop_partition(spark: SparkSession, path: str, **partition) -> None:
     """Remove one partition's folder, if present."""
-    old = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}={v}" for k, v in partition.items())]))
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    files.delete(spark, "/".join([path, *(f"{k}={v}" for k, v in partition.items())]))
 
 
 def save_analysis(result: DataFrame, path: str, params: dict | None = None, day: str = "day") -> None:
@@ -130,35 +191,3 @@ def save_analysis(result: DataFrame, path: str, params: dict | None = None, day:
 def append_csv(df: DataFrame, path: str) -> None:
     """Append metric rows with a header line per file."""
     df.write.mode("append").option("header", True).csv(path)
-
-
-def write_snapshot(df: DataFrame, path: str, version: int) -> None:
-    """Version ``version`` of a whole table; writing it again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
-
-
-def read_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}")
-
-
-def last_version(spark: SparkSession, path: str) -> int | None:
-    """Newest completely written version."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = [
-        int(s.getPath().getName().split("=", 1)[1])
-        for s in fs.listStatus(root)
-        if s.getPath().getName().startswith("version=")
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return max(found, default=None)
-
-
-
-def drop_version(spark: SparkSession, path: str, version: int) -> None:
-    """Remove an outdated snapshot version, if present."""
-    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

@@ -4,9 +4,9 @@ Each function returns a started query. ``trigger`` is passed to ``writeStream.tr
 ``{"availableNow": True}`` drains the source once, ``{"processingTime": "15 seconds"}``
 together with the source's per-trigger limits gives batches by size or time.
 
-Device tables are versioned snapshots: epoch n reads version n and writes version n+1, so
-a replayed epoch repeats its own write. Version 0 is the table the query starts from;
-checkpoint and snapshots belong together.
+Device tables are keyed logs (``sources/keyed.py``): an epoch writes its own changes and reads
+nothing, a replayed epoch replaces them. ``compact_every`` epochs the log is merged into the
+touched buckets; 0 leaves that to another process. ``writer`` names the query in the log.
 """
 
 from collections.abc import Callable
@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterfold import schemas
-from meterfold.operators import devices, filters
+from meterfold.operators import filters
 from meterfold.operators import outbox as outboxes
-from meterfold.sources import messages, tables
+from meterfold.sources import keyed, messages, tables
 
 ONCE = {"availableNow": True}
-KEPT_VERSIONS = 3
+COMPACT_EVERY = 50
 
 
 def per_batch(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
@@ -37,10 +37,10 @@ def per_batch(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _next_snapshot(spark, path: str, epoch: int, change: Callable[[DataFrame], DataFrame]) -> None:
-    tables.write_snapshot(change(tables.read_snapshot(spark, path, epoch)), path, epoch + 1)
-    if epoch >= KEPT_VERSIONS:
-        tables.drop_version(spark, path, epoch - KEPT_VERSIONS)
+def _compact(spark, epoch: int, every: int, *stored: keyed.KeyedTable) -> None:
+    if every and (epoch + 1) % every == 0:
+        for table in stored:
+            keyed.compact(spark, table)
 
 
 def append_files(stream: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE, fmt: str = "parquet") -> StreamingQuery:
@@ -56,21 +56,21 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str = "time", latenes
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def facts(stream: DataFrame, path: str, keys: list[str], checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
-    """Insert-if-absent into one fact table."""
-    return per_batch(stream, lambda b, e: tables.append_absent(b, path, keys), checkpoint, trigger)
+def facts(stream: DataFrame, path: str, keys: list[str], checkpoint: str, trigger: dict = ONCE, arrival: str | None = None) -> StreamingQuery:
+    """Insert-if-absent into one fact table. ``arrival`` is the column that says which of equal keys came first."""
+    return per_batch(stream, lambda b, e: tables.append_absent(b, path, keys, arrival=arrival), checkpoint, trigger)
 
 
-def readings(stream: DataFrame, table: str, sensors: str, checkpoint: str, trigger: dict = ONCE, keys: list[str] = schemas.READING_KEY) -> StreamingQuery:
+def readings(
+    stream: DataFrame, table: str, sensors: keyed.KeyedTable, checkpoint: str, trigger: dict = ONCE,
+    keys: list[str] = schemas.READING_KEY, arrival: str | None = None, writer: str = "readings", compact_every: int = COMPACT_EVERY,
+) -> StreamingQuery:
     """Readings to the fact table and to the sensors' last_seen."""
 
     def save(batch: DataFrame, epoch: int) -> None:
-        tables.append_absent(batch, table, keys)
-        seen = batch.select(F.col("sensor_id").alias("id"), "region_name", "macrozone_name", "zone_name", "time")
-        _next_snapshot(
-            batch.sparkSession, sensors, epoch,
-            lambda now: devices.advance_last_seen(now, seen, schemas.SENSOR_KEY),
-        )
+        tables.append_absent(batch, table, keys, arrival=arrival)
+        keyed.touch(batch.withColumn("id", F.col("sensor_id")), sensors, writer, epoch)
+        _compact(batch.sparkSession, epoch, compact_every, sensors)
 
     return per_batch(stream, save, checkpoint, trigger)
 
@@ -88,43 +88,40 @@ def statistics(stream: DataFrame, zone_table: str, macrozone_table: str, checkpo
     return per_batch(stream, save, checkpoint, trigger)
 
 
-def configurations(stream: DataFrame, macrozone_hubs: str, zone_hubs: str, sensors: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
+def configurations(
+    stream: DataFrame, macrozone_hubs: keyed.KeyedTable, zone_hubs: keyed.KeyedTable, sensors: keyed.KeyedTable, checkpoint: str,
+    trigger: dict = ONCE, writer: str = "configurations", compact_every: int = COMPACT_EVERY,
+) -> StreamingQuery:
     """Configuration messages (stored column names, region included) to the three device tables."""
 
     def save(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         routed = filters.with_target(batch)
         hub = routed.withColumn("id", F.col("hub_id"))
         sensor = routed.withColumn("id", F.col("sensor_id")).withColumnsRenamed(
             {"sensor_type": "type", "sensor_reference": "reference"}
         )
-        for path, rows, keys, attributes, target in (
-            (macrozone_hubs, hub, schemas.MACROZONE_HUB_KEY, ["service"], "macrozone_hubs"),
-            (zone_hubs, hub, schemas.ZONE_HUB_KEY, ["service"], "zone_hubs"),
-            (sensors, sensor, schemas.SENSOR_KEY, ["type", "reference"], "sensors"),
-        ):
-            new = rows.filter(F.col("target") == target)
-            _next_snapshot(spark, path, epoch, lambda now: devices.upsert(now, new, keys, attributes))  # noqa: B023
+        stored = {"macrozone_hubs": (macrozone_hubs, hub), "zone_hubs": (zone_hubs, hub), "sensors": (sensors, sensor)}
+        for target, (table, rows) in stored.items():
+            keyed.register(rows.filter(F.col("target") == target), table, writer, epoch)
+        _compact(batch.sparkSession, epoch, compact_every, macrozone_hubs, zone_hubs, sensors)
 
     return per_batch(stream, save, checkpoint, trigger)
 
 
 def heartbeats(
-    stream: DataFrame, region: str | DataFrame, macrozone_hubs: str, zone_hubs: str, checkpoint: str, trigger: dict = ONCE,
+    stream: DataFrame, region: str | DataFrame, macrozone_hubs: keyed.KeyedTable, zone_hubs: keyed.KeyedTable, checkpoint: str,
+    trigger: dict = ONCE, writer: str = "heartbeats", compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Heartbeats (time, macrozone, zone, hub_id) to the hubs' last_seen; ``region`` as in ``messages.with_region``."""
 
     def save(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         routed = filters.with_grain(filters.valid_heartbeats(batch)).withColumnsRenamed(
             {"hub_id": "id", "macrozone": "macrozone_name", "zone": "zone_name"}
         )
         routed = messages.with_region(routed, region)
-        for path, keys, grain in (
-            (macrozone_hubs, schemas.MACROZONE_HUB_KEY, "macrozone"), (zone_hubs, schemas.ZONE_HUB_KEY, "zone"),
-        ):
-            seen = routed.filter(F.col("grain") == grain)
-            _next_snapshot(spark, path, epoch, lambda now: devices.advance_last_seen(now, seen, keys))  # noqa: B023
+        for table, grain in ((macrozone_hubs, "macrozone"), (zone_hubs, "zone")):
+            keyed.touch(routed.filter(F.col("grain") == grain), table, writer, epoch)
+        _compact(batch.sparkSession, epoch, compact_every, macrozone_hubs, zone_hubs)
 
     return per_batch(stream, save, checkpoint, trigger)
 

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from meterfold import schemas, session
@@ -52,17 +54,65 @@ def test_append_absent(spark, tmp_path):
     assert got == [(T(2024, 1, 1), "a", 1), (T(2024, 1, 2), "a", 3)]
 
 
-def test_snapshots(spark, tmp_path):
-    path = str(tmp_path / "snap")
-    assert tables.last_version(spark, path) is None
-    for v in range(3):
-        tables.write_snapshot(spark.range(v), path, v)
-    tables.write_snapshot(spark.range(7), path, 2)
-    assert tables.last_version(spark, path) == 2
-    assert tables.read_snapshot(spark, path, 2).count() == 7
-    tables.drop_version(spark, path, 0)
-    tables.drop_version(spark, path, 50)
-    assert tables.last_version(spark, path) == 2
+def test_append_absent_reads_the_hours_it_touches(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "facts")
+    at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 30)"
+    rows = spark.range(4000).selectExpr(f"{at} AS time", "cast(id % 7 AS string) AS id", "cast(id AS int) AS v")
+    tables.append_absent(rows, path, ["time", "id"], index_hours=6)
+    asked = []
+    hashes, whole = tables.stored_hashes, tables.stored_keys
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def watched_hashes(spark, index, folders, hours):
+        found = hashes(spark, index, folders, hours)
+        asked.append((sorted(f.split("_keys/")[1] for f in folders), plan(found.select("hash"))))
+        return found
+
+    def watched_keys(spark, path, days, *rest):
+        found = whole(spark, path, days, *rest)
+        asked.append((days, plan(found)))
+        return found
+
+    monkeypatch.setattr(tables, "stored_hashes", watched_hashes)
+    monkeypatch.setattr(tables, "stored_keys", watched_keys)
+    one_hour = rows.filter("time >= timestamp_ntz'2024-01-02 03:10:00' AND time < timestamp_ntz'2024-01-02 03:50:00'")
+    later = one_hour.withColumn("time", F.expr("time + make_dt_interval(0, 0, 0, 1)"))
+    tables.append_absent(later, path, ["time", "id"], index_hours=6)
+    assert [f for f, _ in asked] == [["day=2024-01-02/slot=0"]]  # nothing is known: no rows are read
+    assert "GreaterThanOrEqual(hour,3)" in asked[0][1] and "ReadSchema: struct<hour:int,hash:bigint>" in asked[0][1]
+    tables.append_absent(one_hour, path, ["time", "id"], index_hours=6)
+    assert [f for f, _ in asked[1:]] == [["day=2024-01-02/slot=0"], ["2024-01-02"]]
+    assert "GreaterThanOrEqual(time,2024-01-02T03:10" in asked[2][1] and "struct<time:timestamp_ntz,id:string>" in asked[2][1]
+    assert spark.read.parquet(path).count() == 4000 + 80
+
+
+def test_append_absent_after_failures_and_without_an_index(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "facts")
+    make = lambda *rows: spark.createDataFrame(list(rows), "time timestamp_ntz, id string, v int")
+    first, second = (T(2024, 1, 1), "a", 1), (T(2024, 1, 1, 5), None, 2)
+    tables.append_absent(make(first), path, ["time", "id"])
+    write = tables._write_index
+    monkeypatch.setattr(tables, "_write_index", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):  # rows are written, their keys are not
+        tables.append_absent(make(first, second), path, ["time", "id"])
+    monkeypatch.setattr(tables, "_write_index", write)
+    tables.append_absent(make(first, second), path, ["time", "id"])
+    assert spark.read.parquet(path).count() == 2
+    older = str(tmp_path / "older")
+    make(first, second).withColumn("day", F.to_date("time")).write.partitionBy("day").parquet(older)
+    tables.append_absent(make(first, second, (T(2024, 1, 2), "a", 1), (None, "a", 1)), older, ["time", "id"])
+    assert spark.read.parquet(older).count() == 3
+
+
+def test_arrival_decides_within_and_between_batches(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    rows = [(T(2024, 1, 1), "a", v, offset) for v, offset in ((1, 30), (2, 10), (3, 20))]
+    make = lambda rows: spark.createDataFrame(rows, "time timestamp_ntz, id string, v int, offset long")
+    tables.append_absent(make(rows), path, ["time", "id"], arrival="offset")
+    tables.append_absent(make([(T(2024, 1, 1), "a", 0, 40)]), path, ["time", "id"], arrival="offset")
+    assert [r.v for r in spark.read.parquet(path).collect()] == [2]
 
 
 def stats(spark, *rows):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterfold import schemas
 from meterfold.operators import outlier, rollup
-from meterfold.sources import tables
+from meterfold.sources import keyed, tables
 from meterfold.streaming import ingest, state, windows
 
 T = dt.datetime
@@ -130,19 +130,17 @@ def test_first_registration_and_deduplication(spark, feed):
 
 
 def test_readings_ingest_survives_a_replay(spark, feed, tmp_path):
-    facts, sensors = str(tmp_path / "facts"), str(tmp_path / "sensors")
+    facts = str(tmp_path / "facts")
+    sensors = keyed.KeyedTable(str(tmp_path / "sensors"), schemas.SENSOR_KEY, buckets=4)
     start = [("a", "r", "m", "z", T(2024, 1, 1), None), ("b", "r", "m", "z", T(2024, 1, 1), T(2025, 1, 1))]
-    tables.write_snapshot(spark.createDataFrame(start, "id string, region_name string, macrozone_name string, zone_name string, registration_time timestamp_ntz, last_seen timestamp_ntz"), sensors, 0)
+    keyed.create(spark.createDataFrame(start, "id string, region_name string, macrozone_name string, zone_name string, registration_time timestamp_ntz, last_seen timestamp_ntz"), sensors)
     for i in range(6):
         feed.drop(reading("a", i, i), reading("a", i, i), reading("b", i, i), reading("new", i, i))
     stream = lambda: feed.stream().withColumn("time", F.col("time").cast("timestamp_ntz"))
     for attempt in range(2):  # the second checkpoint replays everything
-        ingest.readings(stream(), facts, sensors, str(tmp_path / f"cp{attempt}")).awaitTermination()
-        if attempt == 0:
-            last = tables.last_version(spark, sensors)
-            now = tables.read_snapshot(spark, sensors, last)
-            assert {r.id: r.last_seen for r in now.collect()} == {"a": T(2024, 1, 1, 0, 5), "b": T(2025, 1, 1)}
-            tables.write_snapshot(spark.createDataFrame(now.collect(), now.schema), sensors, 0)
+        ingest.readings(stream(), facts, sensors, str(tmp_path / f"cp{attempt}"), writer=f"readings-{attempt}", compact_every=4).awaitTermination()
+        now = keyed.read(spark, sensors)
+        assert {r.id: r.last_seen for r in now.collect()} == {"a": T(2024, 1, 1, 0, 5), "b": T(2025, 1, 1)}
     assert spark.read.parquet(facts).count() == 18
 
 

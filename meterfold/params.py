@@ -23,6 +23,7 @@ RAW_RETENTION = 24 * 3600
 STATS_RETENTION = 48 * 3600
 
 FRESHNESS = 2 * 3600
+RESULT_MIN_AGE = 48 * 3600   # days younger than this have no final variation
 TREND_DAYS = 60
 TREND_WIDTH = 3
 ROW_LIMIT = 50

@@ -67,7 +67,7 @@ def yearly_variation(macro_daily: DataFrame, date: dt.date, region: str | None =
 
 
 def variation_against_neighbours(
-    macro_daily: DataFrame, places: DataFrame, radius_m: float, date: dt.date, nested: bool = True,
+    macro_daily: DataFrame, places: DataFrame, radius_m: float, date: dt.date, nested: bool = False,
     region: str | None = None,
 ) -> DataFrame:
     """``region`` limits the judged macrozones; neighbours may lie in any region."""

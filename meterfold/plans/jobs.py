@@ -1,11 +1,13 @@
 """Maintenance of stored roll-ups and stored analysis results."""
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterfold import params
 from meterfold.functions import timeutil
 from meterfold.operators import filters, rollup
 from meterfold.sources import tables
@@ -69,23 +71,49 @@ def scheduled_refresh(stats: DataFrame, path: str, unit: str, keys: list[str], n
     return spark.read.parquet(path)
 
 
+def same_parameters(asked: dict) -> Column:
+    same = F.lit(True)
+    for name, value in asked.items():
+        same = same & (F.col(name) == F.lit(value))
+    return same
+
+
+_COMPUTED = "asked string, day date"
+
+
+def _days_to_compute(spark: SparkSession, ledger: str, days: list[dt.date], asked: str) -> list[dt.date]:
+    """Those of the days that the ledger does not have."""
+    wanted = spark.createDataFrame([(d,) for d in sorted(set(days))], "day date")
+    done = tables.read_or_none(spark, ledger)
+    if done is not None:
+        span = F.col("day").between(F.lit(min(days)), F.lit(max(days)))
+        wanted = wanted.join(done.filter((F.col("asked") == asked) & span), "day", "left_anti")
+    return sorted(r.day for r in wanted.collect())  # at most the days asked for
+
+
 def read_through(
     spark: SparkSession, path: str, days: list[dt.date], params: dict,
-    compute: Callable[[list[dt.date]], DataFrame],
+    compute: Callable[[list[dt.date]], DataFrame], now: dt.datetime, min_age: int = params.RESULT_MIN_AGE,
 ) -> DataFrame:
     """Stored results of the days and parameters; ``compute`` is asked only for the missing days.
 
-    The parameters are part of the key, so another radius or span never gets these rows.
+    The parameters are part of the key, so another radius or span never gets these rows. A ledger
+    beside the results says which days were computed, days without any row included, so nothing is
+    computed twice. It is written after the results: a failure in between repeats the days, which
+    replaces their rows. A day that began less than ``min_age`` seconds before ``now`` may still
+    change and is refused, so that no unfinished day is ever stored.
     """
-    same = F.lit(True)
-    for name, value in params.items():
-        same = same & (F.col(name) == F.lit(value))
-    stored = tables.read_or_none(spark, path)
-    have = set()
-    if stored is not None:
-        have = {r.day for r in stored.filter(same & F.col("day").isin(days)).select("day").distinct().collect()}
-    todo = [d for d in days if d not in have]
+    if not days:
+        raise ValueError("no day given")
+    newest = now - dt.timedelta(seconds=min_age)
+    if young := [d for d in days if dt.datetime(d.year, d.month, d.day) > newest]:
+        raise ValueError(f"too recent: {min(young)}")
+    ledger, asked = f"{path}/_computed", json.dumps(params, sort_keys=True)
+    todo = _days_to_compute(spark, ledger, days, asked)
     if todo:
         tables.save_analysis(compute(todo), path, params)
+        spark.createDataFrame([(asked, d) for d in todo], _COMPUTED).coalesce(1).write.mode("append").parquet(ledger)
     stored = tables.read_or_none(spark, path)
-    return compute(days) if stored is None else stored.filter(same & F.col("day").isin(days))
+    if stored is None:  # nothing but empty days so far: no rows, but their columns
+        stored = compute(days).limit(0).withColumns({name: F.lit(value) for name, value in params.items()})
+    return stored.filter(same_parameters(params) & F.col("day").isin(days))

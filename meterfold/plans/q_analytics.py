@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from meterfold import params, schemas
 from meterfold.operators import analysis, catalog, devices, outbox, outlier, quality, rollup, series, spatial
-from meterfold.plans import endpoints
+from meterfold.plans import endpoints, stored
 from meterfold.plans.fixtures import NOW, SPLIT
 from meterfold.plans.oracle import query
 from meterfold.plans.q_basic import _SHOWN, rnd, sql_stats, stats_rounded, ts
+from meterfold.session import scratch_path
 
 AFRICA, FIRST = "AFRICA", "Supplier#000000000"
 FIRST_DAY, LAST_DAY = dt.date(1996, 1, 2), dt.date(2001, 11, 4)
@@ -174,9 +175,13 @@ def w6(t):
     return at_day(rnd(variation(t), 6, "current", "previous", "delta_perc"))
 
 
-query("e8", _VARIATION + " WHERE day = TIMESTAMP '2000-02-29'")(
-    lambda t: at_day(rnd(endpoints.yearly_variation(compared_daily(t, LEAP_DAY), LEAP_DAY), 6, "current", "previous", "delta_perc"))
-)
+@query("e8", _VARIATION + " WHERE day = TIMESTAMP '2000-02-29'")
+def e8(t):
+    """Through the store: the second call finds the first one's day."""
+    path = scratch_path(t.spark, "e8")
+    for _ in range(2):
+        out = stored.yearly_variation(t.spark, path, compared_daily(t, LEAP_DAY), [LEAP_DAY], NOW)
+    return at_day(rnd(out.drop("region"), 6, "current", "previous", "delta_perc"))
 
 
 @query("j11", """SELECT m.day, m.region_name, m.macrozone_name, m.type, round(m.avg_value, 6) AS macro_avg, round(r.avg_value, 6) AS region_avg
@@ -229,9 +234,22 @@ def w7(t):
 
 @query("e9", _W7.replace("SELECT v.region_name", "SELECT (SELECT string_agg(a.neighbour, ';' ORDER BY a.neighbour) FROM (" + _AROUND + ") a WHERE a.region_name = v.region_name AND a.macrozone_name = v.macrozone_name AND a.type = v.type AND a.day = v.day) AS neighbor_variation, v.region_name") + f" WHERE v.day = {ts(dt.datetime(2000, 6, 30))}")
 def e9(t):
-    out = endpoints.variation_against_neighbours(compared_daily(t, TREND_DAY), t.places, FAR, TREND_DAY)
-    names = F.array_join(F.sort_array(F.transform("neighbor_variation", lambda v: v["neighbour"])), ";")
-    return _anomaly_columns(out.withColumn("neighbor_variation", names))
+    """Through the store, neighbours by pages of two; their names are put together again for the comparison."""
+    path, keys = scratch_path(t.spark, "e9"), [*analysis.KEYS, "day"]
+    for days in ([TREND_DAY - dt.timedelta(days=1)], [TREND_DAY - dt.timedelta(days=1), TREND_DAY]):
+        found, pages = stored.variation_against_neighbours(t.spark, path, compared_daily(t, days[0], days[-1]), t.places, FAR, days, NOW, page=2)
+    names = pages.groupBy(*keys).agg(F.flatten(F.array_sort(F.collect_list(F.transform("neighbours", lambda v: v["neighbour"])))).alias("n"))
+    names = names.select(*keys, F.array_join(F.array_sort("n"), ";").alias("neighbor_variation"))
+    return _anomaly_columns(found.drop("radius_m", "region").join(names, keys).filter(F.col("day") == F.lit(TREND_DAY)))
+
+
+@query("k8_neighbours", f"SELECT * REPLACE (round(current, 6) AS current, round(previous, 6) AS previous, round(delta_perc, 6) AS delta_perc) FROM ({_AROUND}) WHERE day = {ts(dt.datetime(2000, 6, 30))}")
+def k8_neighbours(t):
+    """Stored pages give every neighbour's variation back."""
+    path = scratch_path(t.spark, "k8")
+    _, pages = stored.variation_against_neighbours(t.spark, path, compared_daily(t, TREND_DAY), t.places, FAR, [TREND_DAY], NOW, page=3)
+    rows = pages.select(*analysis.KEYS, "day", F.explode("neighbours").alias("v")).select(*analysis.KEYS, "day", "v.*")
+    return at_day(rnd(rows, 6, "current", "previous", "delta_perc"))
 
 
 @query("j13", """SELECT s.id, s.region_name, s.macrozone_name, s.zone_name, s.registration_time,
@@ -473,9 +491,25 @@ def w5(t):
 
 @query("e10", _TREND.format(extra=", days AS macrozone_series, days AS region_series"))
 def e10(t):
-    out = endpoints.trend_similarity(macro_daily(t, *TREND_SPAN), region_daily(t, *TREND_SPAN), TREND_DAY)
+    """Through the store: the second call finds the first one's day."""
+    path = scratch_path(t.spark, "e10")
+    for _ in range(2):
+        out = stored.trend_similarity(t.spark, path, macro_daily(t, *TREND_SPAN), region_daily(t, *TREND_SPAN), [TREND_DAY], NOW)
     lengths = {c: F.size(c).cast("long") for c in ("macrozone_series", "region_series")}
-    return _trend_columns(out.withColumns(lengths))
+    return _trend_columns(out.withColumns(lengths).drop("days", "region"))
+
+
+@query("k8_series", """SELECT m.region_name, m.macrozone_name, m.type, m.day, round(m.avg_value, 6) AS avg_value, m.total_count, round(r.avg_value, 6) AS region_avg_value, r.total_count AS region_total_count
+  FROM macro_daily m JOIN region_daily r USING (day, region_name, type) WHERE m.day BETWEEN TIMESTAMP '2000-05-02' AND TIMESTAMP '2000-06-30'""")
+def k8_series(t):
+    """The series of stored trends give every aligned day back."""
+    out = stored.trend_similarity(t.spark, scratch_path(t.spark, "k8"), macro_daily(t, *TREND_SPAN), region_daily(t, *TREND_SPAN), [TREND_DAY], NOW)
+    both = F.explode(F.arrays_zip("macrozone_series", "region_series"))
+    rows = out.select(*analysis.KEYS, both.alias("s")).select(
+        *analysis.KEYS, "s.macrozone_series.day", "s.macrozone_series.avg_value", "s.macrozone_series.total_count",
+        F.col("s.region_series.avg_value").alias("region_avg_value"), F.col("s.region_series.total_count").alias("region_total_count"),
+    )
+    return at_day(rnd(rows, 6, "avg_value", "region_avg_value"))
 
 
 def _filter_sql(size: int) -> str:

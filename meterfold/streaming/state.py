@@ -1,115 +1,149 @@
 """Per-sensor stateful stream operators."""
 
-import pickle
-import tempfile
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meterfold import params, schemas
-from meterfold.operators.outlier import judge
-
-
-#: Sorted runs read at once, and rows of a run in memory while it is read.
-RUNS, PIECE = 16, 10_000
-
-
-def _spilled(frames: Iterator[pd.DataFrame]):
-    """Frames in a nameless file of the worker, which goes when it is closed, and how many there are."""
-    file, n = tempfile.TemporaryFile(), 0
-    for rows in frames:
-        for at in range(0, len(rows), PIECE):
-            pickle.dump(rows.iloc[at : at + PIECE], file, pickle.HIGHEST_PROTOCOL)
-            n += 1
-    file.seek(0)
-    return file, n
-
-
-def _merged(runs: list, order: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of sorted runs in order, with one piece of each in memory."""
-    left, rows = [n for _, n in runs], None
-    wanted = [k for k, n in enumerate(left) if n]
-    while wanted or rows is not None and len(rows):
-        pieces = [] if rows is None else [rows]
-        for k in wanted:
-            left[k] -= 1
-            piece = pickle.load(runs[k][0]).assign(_run=k, _more=False)
-            piece.iloc[-1, piece.columns.get_loc("_more")] = left[k] > 0
-            pieces.append(piece)
-        rows = pd.concat(pieces, ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
-        # What a run still holds comes after the last row read from it.
-        ends = rows["_more"].to_numpy().nonzero()[0]
-        to = int(ends[0]) + 1 if len(ends) else len(rows)
-        wanted = [int(rows["_run"].iloc[to - 1])] if len(ends) else []
-        yield rows.iloc[:to].drop(columns=["_run", "_more"])
-        rows = rows.iloc[to:]
-    for file, _ in runs:
-        file.close()
-
-
-def in_order(batches: Iterator[pd.DataFrame], order: list[str], most: int) -> Iterator[pd.DataFrame]:
-    """The rows of all batches in ``order``; beyond ``most`` rows, sorted runs go to disk and are merged."""
-    runs, held, n = [], [], 0
-    for rows in batches:
-        held.append(rows)
-        n += len(rows)
-        if n >= most:
-            runs.append(_spilled(iter([pd.concat(held, ignore_index=True).sort_values(order, kind="stable")])))
-            held, n = [], 0
-            if len(runs) == RUNS:
-                runs = [_spilled(_merged(runs, order))]
-    rest = pd.concat(held, ignore_index=True).sort_values(order, kind="stable") if held else None
-    if not runs:
-        yield from () if rest is None else (rest,)
-        return
-    yield from _merged(runs if rest is None else [*runs, _spilled(iter([rest]))], order)
+from meterfold.operators import outlier
+from meterfold.session import checkpointed
+from meterfold.sources import files, tables
+
+
+class Histories:
+    """Accepted values of every sensor, by version: what a sensor had before a micro-batch.
+
+    ``path/bucket=b/epoch=n`` holds the sensors of a bucket as they are after micro-batch n. An
+    epoch reads each bucket's newest version before its own and rewrites only the buckets its
+    sensors fall into, so a replayed epoch starts from the same histories and replaces its own
+    version. Versions that no replay can need are removed.
+    """
+
+    KEPT = 2
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _versions(self) -> dict[int, list[int]]:
+        found: dict[int, list[int]] = {}
+        for p in files.matching(self.spark, f"{self.path}/epoch=*/bucket=*"):
+            found.setdefault(int(files.value(p, "bucket")), []).append(int(files.value(p, "epoch")))
+        return {b: sorted(v) for b, v in found.items()}
+
+    def before(self, epoch: int) -> DataFrame:
+        done = {int(files.value(p, "epoch")) for p in files.matching(self.spark, f"{self.path}/epoch=*/_SUCCESS")}
+        newest = {b: max((e for e in v if e < epoch and e in done), default=-1) for b, v in self._versions().items()}
+        folders = [f"{self.path}/epoch={e}/bucket={b}" for b, e in sorted(newest.items()) if e >= 0]
+        if not folders:
+            return self.spark.createDataFrame([], HISTORY + ", bucket int")
+        return self.spark.read.schema(HISTORY + ", bucket int").option("basePath", self.path).parquet(*folders).select("_sensor", "_seed", "_last", "bucket")
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("_sensor"), F.lit(self.buckets)).cast("int")
+
+    def write(self, changed: DataFrame, before: DataFrame, epoch: int) -> None:
+        changed = changed.withColumn("bucket", self.bucket())
+        touched = changed.select("bucket").distinct()
+        kept = before.join(touched, "bucket", "left_semi").join(changed.select("_sensor"), "_sensor", "left_anti")
+        rows = kept.select(*changed.columns).unionByName(changed)
+        tables.by_partition(rows, ["bucket"], ["_sensor"]).mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        for b, versions in self._versions().items():
+            for old in [v for v in versions if v <= epoch][: -self.KEPT]:
+                files.delete(self.spark, f"{self.path}/epoch={old}/bucket={b}")
+
+
+HISTORY = "_sensor string, _seed array<double>, _last long"
+_STATE = ["_sensor", "_seed", "_last", "_pid"]
+
+
+def _judged(entries: dict, rule: tuple, forget: int | None, columns: list[str]):
+    """mapInPandas function: accepted readings, and one row with its history for each sensor that ends in the partition."""
+
+    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """With every column of the result; those it lacks are null."""
+        missing = [c for c in [*columns, *_STATE] if c not in pdf]
+        return pdf.assign(**{c: pd.Series([None] * len(pdf), dtype=object, index=pdf.index) for c in missing})[[*columns, *_STATE]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pid = TaskContext.get().partitionId()
+        history = outlier.History(rule, forget, entries.get(pid, ((), None)))
+
+        def state() -> dict:
+            return {"_sensor": history.current, "_seed": list(history.kept), "_last": history.last, "_pid": pid}
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ended, flags, names = [], [], pdf["_sensor"].to_numpy()
+            taken = history.take(pdf)
+            for at, _ in outlier.runs(names):
+                if history.current is not None and names[at] != history.current:
+                    ended.append(state())
+                flags.append(next(taken)[2])
+            yield rows_of(pdf[np.concatenate(flags)].drop(columns=["_seed", "_last"]).assign(_pid=-1))
+            if ended:
+                yield rows_of(pd.DataFrame(ended).astype({"_last": object}))
+        if history.current is not None:
+            yield rows_of(pd.DataFrame([state()]).astype({"_last": object}))
+
+    return run
+
+
+def filter_batch(
+    batch: DataFrame, before: DataFrame, rule: tuple, order: list[str], forget_after: int | None, keys: list[str],
+) -> tuple[DataFrame, DataFrame]:
+    """Accepted readings of a micro-batch, and the histories of its sensors after it.
+
+    ``before`` has histories (``_sensor``, ``_seed``, ``_last``). Readings are range-partitioned and
+    sorted by sensor and time, so one sensor may fill many tasks; a sensor's history is a row that
+    sorts before its readings, and histories are handed over the borders of partitions.
+    """
+    rows = batch.filter(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double")).withColumn("_sensor", outlier.sensor_name(keys))
+    seeds = before.select("_sensor", "_seed", "_last").join(rows.select("_sensor").distinct(), "_sensor", "left_semi")
+    dealt = rows.unionByName(seeds, allowMissingColumns=True).withColumn("_reading", F.col("_seed").isNull())
+    place = ["_sensor", "_reading", *order]
+    dealt = checkpointed(dealt.repartitionByRange(*place).sortWithinPartitions(*place).drop("_reading"))
+    forget = None if forget_after is None else forget_after * 1000
+    given = [T.StructField(f.name, T.DoubleType() if f.name == "value" else f.dataType) for f in batch.schema]  # null in histories
+    schema = T.StructType([*given, *T.StructType.fromDDL(HISTORY + ", _pid int")])
+    entries = outlier.entry_histories(dealt, rule, forget)
+    both = dealt.mapInPandas(_judged(entries, rule, forget, batch.columns), schema).persist()
+    newest = F.max_by(F.struct("_seed", "_last"), "_pid")  # a sensor's last partition has its final history
+    after = both.filter("_pid >= 0").groupBy("_sensor").agg(newest.alias("_h")).select("_sensor", "_h._seed", "_h._last")
+    return both.filter("_pid < 0").select(*batch.columns), after
 
 
 def filter_outliers(
-    readings: DataFrame, size: int = params.HISTORY_SIZE, min_samples: int = params.MIN_SAMPLES,
-    factor: float = params.SIGMA_FACTOR, order: tuple[str, ...] = ("time", "value"),
-    forget_after: int | None = params.UNHEALTHY_AFTER, lateness: str = "10 minutes", keys: list[str] = schemas.SENSOR,
-    most: int = 100_000,
-) -> DataFrame:
-    """Accepted readings of a stream; the state of a sensor is its last ``size`` accepted values.
-
-    A sensor's readings of a micro-batch are taken in ``order``, whatever Arrow batches they come
-    in. No more than ``most`` of them are sorted in memory; beyond that, sorted runs go to the
-    worker's disk and are merged. The history is
-    forgotten once the sensor was silent for more than ``forget_after`` seconds of event time
-    (None: never); the state itself goes when the watermark has passed that silence. Rows with
-    a null value are no readings and are left out.
+    readings: DataFrame, save: Callable[[DataFrame, int], None], histories: str, checkpoint: str, trigger: dict | None = None,
+    size: int = params.HISTORY_SIZE, min_samples: int = params.MIN_SAMPLES, factor: float = params.SIGMA_FACTOR,
+    order: tuple[str, ...] = ("time", "value"), forget_after: int | None = params.UNHEALTHY_AFTER, keys: list[str] = schemas.SENSOR,
+) -> StreamingQuery:
+    """Runs ``save(accepted, epoch)`` for every micro-batch of a stream of readings.
+
+    A reading is judged by the last ``size`` accepted values of its sensor, over all micro-batches;
+    within one, readings are taken in ``order``. The history is forgotten once a sensor was silent
+    for more than ``forget_after`` seconds of event time (None: never). ``histories`` is a folder for
+    what the query knows of the sensors; it belongs to the checkpoint. ``save`` must bear a repeated
+    epoch. Rows with a null value are no readings and are left out.
     """
     rule = (size, min_samples, factor)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        values, last = state.get if state.exists else ((), None)
-        kept = deque(values)
-        for rows in in_order(batches, list(order), most):
-            at = rows["time"].astype("datetime64[ms]").astype("int64").tolist()
-            flags, begin = [], 0
-            for k, now in enumerate(at):
-                if forget_after is not None and last is not None and now - last > forget_after * 1000:
-                    flags += judge(rows["value"].iloc[begin:k].tolist(), kept, *rule).tolist()
-                    kept, begin = deque(), k
-                last = now if last is None else max(last, now)
-            flags += judge(rows["value"].iloc[begin:].tolist(), kept, *rule).tolist()
-            yield rows[flags]
-        state.update((list(kept), last))
-        if forget_after is not None and last is not None:
-            state.setTimeoutTimestamp(max(last + forget_after * 1000, state.getCurrentWatermarkMs() + 1))
-
-    timeout = GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.EventTimeTimeout
-    rows = readings.filter(F.col("value").isNotNull())
-    rows = rows if forget_after is None else rows.withWatermark("time", lateness)
-    return rows.groupBy(*keys).applyInPandasWithState(step, readings.schema, "kept array<double>, last_ms long", "append", timeout)
+    def run(batch: DataFrame, epoch: int) -> None:
+        known = Histories(batch.sparkSession, histories)
+        before = known.before(epoch)
+        accepted, after = filter_batch(batch, before, rule, list(order), forget_after, keys)
+        save(accepted, epoch)
+        known.write(after, before, epoch)
+
+    writer = readings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def health_changes(

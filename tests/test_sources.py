@@ -146,19 +146,51 @@ def test_scheduled_refresh_by_month(spark, tmp_path):
 
 
 def test_read_through(spark, tmp_path):
-    path, asked = str(tmp_path / "results"), []
+    path, asked, now = str(tmp_path / "results"), [], T(2024, 2, 1)
     days = [dt.date(2024, 1, d) for d in (1, 2, 3)]
 
     def compute(missing):
         asked.append(list(missing))
-        return spark.createDataFrame([(d, "m", float(d.day)) for d in missing], "day date, macrozone_name string, v double")
-
-    assert jobs.read_through(spark, path, days[:2], {"radius": 5}, compute).count() == 2
-    assert jobs.read_through(spark, path, days, {"radius": 5}, compute).count() == 3
-    assert jobs.read_through(spark, path, days, {"radius": 5}, compute).count() == 3
-    assert jobs.read_through(spark, path, days[:1], {"radius": 6}, compute).count() == 1
-    assert asked == [days[:2], [days[2]], days[:1]]
-    assert spark.read.parquet(path).filter(F.col("radius") == 5).count() == 3
+        rows = [(d, "m", float(d.day)) for d in missing if d.day != 2]  # the second day has no rows
+        return spark.createDataFrame(rows, "day date, macrozone_name string, v double")
+
+    def read(days, radius=5):
+        return sorted(r.day for r in jobs.read_through(spark, path, days, {"radius": radius}, compute, now).collect())
+
+    assert read(days[1:2]) == []
+    assert read(days[:2]) == days[:1]
+    assert read(days) == read(days) == [days[0], days[2]]
+    assert read(days[:1], 6) == days[:1]
+    assert [a for a in asked if a != days[1:2]] == [days[:1], [days[2]], days[:1]]
+    asked.clear()
+    assert read(days) == [days[0], days[2]] and asked == []  # the empty day too is known
+    assert spark.read.parquet(path).filter(F.col("radius") == 5).count() == 2
+
+
+def test_read_through_refuses_young_days_and_survives_a_failure(spark, tmp_path, monkeypatch):
+    path, day = str(tmp_path / "results"), dt.date(2024, 1, 5)
+    calls = []
+
+    def compute(missing):
+        calls.append(missing)
+        return spark.createDataFrame([(d, 1.0) for d in missing], "day date, v double")
+
+    for now in (T(2024, 1, 5, 1), T(2024, 1, 6, 23, 59)):
+        with pytest.raises(ValueError, match="2024-01-05"):
+            jobs.read_through(spark, path, [dt.date(2024, 1, 1), day], {"span": 3}, compute, now)
+    assert calls == [] and tables.read_or_none(spark, path) is None
+    save = tables.save_analysis
+
+    def fails(*args):
+        save(*args)
+        raise OSError("lost before the ledger")
+
+    monkeypatch.setattr(tables, "save_analysis", fails)
+    with pytest.raises(OSError):
+        jobs.read_through(spark, path, [day], {"span": 3}, compute, T(2024, 1, 7))
+    monkeypatch.setattr(tables, "save_analysis", save)
+    assert jobs.read_through(spark, path, [day], {"span": 3}, compute, T(2024, 1, 7)).count() == 1
+    assert jobs.read_through(spark, path, [day], {"span": 3}, compute, T(2024, 1, 7)).count() == 1 and len(calls) == 2
 
 
 def test_scan_prunes_days(spark, tmp_path):

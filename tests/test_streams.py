@@ -1,13 +1,12 @@
 import datetime as dt
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from meterfold import schemas
 from meterfold.operators import outlier, rollup
-from meterfold.sources import keyed, tables
+from meterfold.sources import files, keyed
 from meterfold.streaming import ingest, state, windows
 
 T = dt.datetime
@@ -39,42 +38,71 @@ def feed(spark, tmp_path):
     return Feed()
 
 
-def test_filter_keeps_its_history_between_batches(spark, feed):
-    rows = [reading(f"s{i % 2}", i, 500 if i % 17 == 16 else 50 + i % 7) for i in range(120)]
-    for i in range(0, 120, 30):
-        feed.drop(*rows[i : i + 30])
-        got = feed.run(state.filter_outliers(feed.stream(), size=20))
-    batch = spark.createDataFrame(rows, READING)
-    want = outlier.accepted(batch, size=20)
+@pytest.fixture
+def filtered(spark, feed, tmp_path):
+    """Drains the stream through the filter; a name has its own checkpoint and histories."""
+
+    def run(name="kept", stream=None, **how):
+        out = str(tmp_path / name)
+        save = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        state.filter_outliers(stream or feed.stream(), save, f"{out}-histories", f"{out}-checkpoint", **how).awaitTermination()
+        return spark.read.schema(READING).parquet(out).select(*[c.split()[0] for c in READING.split(", ")])
+
+    return run
+
+
+@pytest.mark.parametrize("lots", [1, 3, 20])
+def test_filter_keeps_its_history_between_batches(spark, feed, filtered, lots):
+    rows = [reading(f"s{int(i % 10 == 0)}", i, 500 if i % 17 == 16 else 50 + i % 7) for i in range(240)]
+    step = -(-len(rows) // lots)
+    for i in range(0, len(rows), step):
+        part = rows[i : i + step]
+        random.Random(i).shuffle(part)
+        feed.drop(*part)
+        if lots == 3:
+            filtered(size=20, forget_after=None)  # each run goes on from the checkpoint
+    got = filtered(size=20, forget_after=None)
+    want = outlier.accepted(spark.createDataFrame(rows, READING), size=20)
     assert sorted(got.collect()) == sorted(want.collect())
-    assert got.count() < 120
+    assert 0 < got.count() < 240
 
 
-@pytest.mark.parametrize("most", [100_000, 10])
-def test_filter_takes_a_large_micro_batch_in_order(spark, feed, most):
-    """A sensor's rows come in many small Arrow batches, out of time order across them."""
-    rows = [reading(f"s{int(i % 10 == 0)}", i, 3 * i + (400 if i % 17 == 16 else i % 7)) for i in range(400)]
+def test_a_hot_sensor_spreads_over_tasks_and_arrow_batches(spark):
+    rows = [reading(f"s{int(i % 50 == 0)}", i, 3 * i + (900 if i % 17 == 16 else i % 7)) for i in range(600)]
     random.Random(1).shuffle(rows)
-    feed.drop(*rows)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    batch = spark.createDataFrame(rows, READING).repartition(3)
+    none = spark.createDataFrame([], state.HISTORY)
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        got = feed.run(state.filter_outliers(feed.stream(), size=20, forget_after=None, most=most))
+        kept, after = state.filter_batch(batch, none, (20, 5, 3.0), ["time", "value"], None, schemas.SENSOR)
+        tasks = kept.filter("sensor_id = 's0'").select(F.spark_partition_id()).distinct().count()
+        got, histories = sorted(kept.collect()), {r._sensor[-2:]: r for r in after.collect()}
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     want = outlier.accepted(spark.createDataFrame(rows, READING), size=20)
-    assert sorted(got.collect()) == sorted(want.collect())
-    assert got.count() < 400
-
-
-def test_runs_are_merged_in_order():
-    rng = random.Random(2)
-    frame = pd.DataFrame({"time": [pd.Timestamp(rng.randrange(500), unit="s") if k % 50 else pd.NaT for k in range(3000)], "value": [rng.random() for _ in range(3000)]})
-    frame["id"] = range(3000)
-    parts = [frame.iloc[k : k + 40] for k in range(0, 3000, 40)]
-    got = pd.concat(state.in_order(iter(parts), ["time", "value"], 100), ignore_index=True)
-    assert got.equals(frame.sort_values(["time", "value"], ignore_index=True))
-    assert list(state.in_order(iter([]), ["time", "value"], 100)) == []
+    assert got == sorted(want.collect()) and tasks > 1
+    last = {s: [r.value for r in sorted(want.collect(), key=lambda r: r.time) if r.sensor_id == s][-20:] for s in ("s0", "s1")}
+    assert {s: r._seed for s, r in histories.items()} == last
+
+
+def test_a_replayed_epoch_starts_from_the_same_histories(spark, feed, filtered, tmp_path):
+    for lot in range(5):
+        feed.drop(*[reading("a", 10 * lot + i, 400 if i == 7 else 10 + i % 3) for i in range(10)], reading(f"other{lot}", lot, lot))
+    want = sorted(filtered(size=9).collect())
+    path = str(tmp_path / "kept-histories")
+    known = state.Histories(spark, path)
+    assert len(files.matching(spark, f"{path}/epoch=*/bucket=*")) <= 5 + 2
+    rows = lambda df: sorted((r._sensor, tuple(r._seed), r._last) for r in df.collect())
+    newest = rows(known.before(9))
+    batch = spark.createDataFrame([reading("a", 40 + i, 400 if i == 7 else 10 + i % 3) for i in range(10)] + [reading("other4", 4, 4)], READING)
+    kept, after = state.filter_batch(batch, known.before(4), (9, 5, 3.0), ["time", "value"], 300, schemas.SENSOR)
+    assert set(kept.collect()) <= set(want)
+    known.write(after, known.before(4), 4)
+    assert rows(known.before(9)) == newest
 
 
 def test_windows_emit_once_and_leave_out_late_readings(spark, feed):
@@ -152,13 +180,13 @@ def test_late_facts_are_kept(spark, feed, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_silence_forgets_the_history(spark, feed):
+def test_silence_forgets_the_history(feed, filtered):
     """After six minutes of silence a strange value starts a history of its own."""
     for minute in range(12):
         feed.drop(reading("a", minute, 10 + minute % 2))
     feed.drop(reading("a", 13, 500))
-    kept = {r.time.minute for r in feed.run(state.filter_outliers(feed.stream(), forget_after=None), "never").collect()}
-    assert kept == set(range(12))
+    assert {r.time.minute for r in filtered("never", forget_after=None).collect()} == set(range(12))
     feed.drop(reading("a", 30, 700), reading("a", 31, 10))
-    got = {r.time.minute for r in feed.run(state.filter_outliers(feed.stream()), "again").collect()}
-    assert 13 not in got and {30, 31} <= got
+    feed.drop(reading("a", 40, 900), reading("a", 41, 900), reading("a", 50, -5))
+    got = {r.time.minute for r in filtered("again").collect()}
+    assert got == {*range(12), 30, 31, 40, 41, 50}

@@ -33,20 +33,3 @@ def retain(outbox: DataFrame, now: dt.datetime, span: int = params.RAW_RETENTION
     """Rows inside the retention span, whatever their status."""
     cutoff = F.lit(now - dt.timedelta(seconds=span)).cast("timestamp_ntz")
     return outbox.filter(F.col("time") >= cutoff)
-
-
-def dispatch(outbox: DataFrame, publish, keys: list[str], attempts: int = params.OUTBOX_ATTEMPTS) -> DataFrame:
-    """Publish all pending rows in one job and return the outbox with them marked sent.
-
-    ``publish`` takes the pending frame and must be idempotent: it is tried again after
-    an error, up to ``attempts`` times.
-    """
-    waiting = pending(outbox)
-    for attempt in range(1, attempts + 1):
-        try:
-            publish(waiting)
-            break
-        except Exception:
-            if attempt == attempts:
-                raise
-    return mark_sent(outbox, waiting, keys)

@@ -33,7 +33,7 @@ def near_point(macrozones: DataFrame, lat: float, lon: float, radius_m: float) -
     return out.filter(F.col("distance_m") <= radius_m)
 
 
-def _touches_sphere(cells: list[str], side: float) -> Column:
+def _touches_sphere(cells: list[str], side: float | Column) -> Column:
     """Whether a cube can hold a point of the unit sphere; skips most of the 27 cubes around a place."""
     nearest, farthest = F.lit(0.0), F.lit(0.0)
     for c in cells:
@@ -45,6 +45,93 @@ def _touches_sphere(cells: list[str], side: float) -> Column:
     return (nearest <= 1 + 1e-9) & (farthest >= 1 - 1e-9)
 
 
+def _blocked_join(probe: DataFrame, build: DataFrame, cells: list[str], rows_per_block: int) -> DataFrame:
+    """Equi-join on cells whose crowded ones are cut into blocks on both sides; both have a hash ``_h``.
+
+    Every pair of blocks of a cell meets once, so no join key holds more than about
+    ``rows_per_block`` rows of a side.
+    """
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*cells).agg(F.ceil(F.count("*") / rows_per_block).alias(name))
+
+    blocks = counted(probe, "_probes").join(counted(build, "_builds"), cells)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    probe = probe.join(blocks, cells).withColumn("_p", F.pmod("_h", "_probes")).withColumn("_b", every("_builds"))
+    build = build.join(blocks, cells).withColumn("_b", F.pmod("_h", "_builds")).withColumn("_p", every("_probes"))
+    extra = ["_h", "_probes", "_builds"]
+    return probe.drop(*extra).join(build.drop(*extra), [*cells, "_p", "_b"]).drop("_p", "_b")
+
+
+#: Cubes of level n are 4 / 2**n wide; level 0 holds the whole sphere.
+_LEVELS = 30
+_CELL = ["_level", "_cx", "_cy", "_cz"]
+
+
+def _ball(lat: Column, lon: Column, radians: Column) -> list[Column]:
+    """A cap of the sphere: its centre as a unit vector and the level whose cubes are twice as wide as its reach."""
+    chord = 2 * F.sin(F.least(radians, F.lit(math.pi)) / 2) * (1 + 1e-9) + 1e-9
+    x, y, z = geo.unit_vector(lat, lon)
+    level = F.greatest(F.lit(0), F.least(F.lit(_LEVELS), F.floor(F.log2(2 / chord)))).cast("int")
+    return [x.alias("_x"), y.alias("_y"), z.alias("_z"), level.alias("_own")]
+
+
+def _in_cubes(df: DataFrame) -> DataFrame:
+    side = 4 / F.pow(F.lit(2.0), F.col("_level"))
+    return df.withColumns({c: F.floor((F.col(v) + 1) / side).cast("long") for c, v in zip(_CELL[1:], ("_x", "_y", "_z"))})
+
+
+def _with_touching(df: DataFrame) -> DataFrame:
+    """Every row for its cube and those around it that the sphere passes."""
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    for c in _CELL[1:]:
+        df = df.withColumn("_d", F.explode(around)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
+    return df.filter(_touches_sphere(_CELL[1:], 4 / F.pow(F.lit(2.0), F.col("_level"))))
+
+
+def near_points(points: DataFrame, macrozones: DataFrame, rows_per_block: int = _ROWS_PER_BLOCK) -> DataFrame:
+    """For many points at once the macrozones that contain them or lie within their radius.
+
+    ``points`` has point_id, lat, lon, radius_m; the result has point_id, region_name, name and
+    distance_m, 0 inside. Points without a place or a radius that is no distance find nothing.
+
+    Points and polygons are put into caps of the unit sphere, which knows no pole and no date line.
+    A cap belongs to cubes at least twice as wide as its reach; a pair meets at the coarser level of
+    its two sides, in the same or a touching cube. So a small radius costs little beside a large one,
+    and every pair is tested once. Crowded cubes are cut into blocks.
+    """
+    given = points.select("point_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("radius_m").cast("double").alias("radius_m"))
+    given = given.filter("lat IS NOT NULL AND lon IS NOT NULL AND radius_m >= 0 AND NOT isnan(radius_m)")
+    reach = F.col("radius_m") / 1000 / params.EARTH_RADIUS_KM
+    asking = given.select("*", *_ball(F.col("lat"), F.col("lon"), reach), F.xxhash64("point_id", "lat", "lon").alias("_h"))
+
+    lats, lons = F.col("ring.lat"), F.col("ring.lon")
+    south, north, west, east = F.array_min(lats), F.array_max(lats), F.array_min(lons), F.array_max(lons)
+    mid = (south + north) / 2
+    # From the middle along its parallel, then along a meridian: no point of the box is farther. Edges
+    # that pass the date line leave the box, so such a polygon may lie anywhere on its parallels.
+    wide = F.when(east - west > 180, F.lit(360.0)).otherwise(east - west)
+    covered = F.radians((north - south) / 2) + F.radians(wide / 2) * F.cos(F.radians(mid)) + 1e-6
+    zones = macrozones.filter("ring IS NOT NULL").select(
+        "region_name", "name", "ring", *_ball(mid, (west + east) / 2, covered), F.xxhash64("region_name", "name").alias("_h")
+    )
+
+    def levels(df: DataFrame) -> list[int]:
+        return sorted(r._own for r in df.select("_own").distinct().collect())  # at most 31
+
+    def coarser(df: DataFrame, found: list[int], strictly: bool) -> DataFrame:
+        """Rows at every level of the other side that is not finer than their own."""
+        at = F.filter(F.array(*[F.lit(n) for n in found]), lambda n: (n < F.col("_own")) if strictly else (n <= F.col("_own")))
+        return _in_cubes(df.withColumn("_level", F.explode(at))).drop("_own", "_x", "_y", "_z")
+
+    def at_own(df: DataFrame) -> DataFrame:
+        return _with_touching(_in_cubes(df.withColumn("_level", F.col("_own")))).drop("_own", "_x", "_y", "_z")
+
+    wider = _blocked_join(at_own(asking), coarser(zones, levels(asking), False), _CELL, rows_per_block)
+    finer = _blocked_join(at_own(zones), coarser(asking, levels(zones), True), _CELL, rows_per_block)
+    met = wider.unionByName(finer).withColumn("distance_m", geo.distance_m(F.col("ring"), F.col("lon"), F.col("lat")))
+    return met.filter(F.col("distance_m") <= F.col("radius_m")).select("point_id", "region_name", "name", "distance_m")
+
+
 def neighbours(places: DataFrame, radius_m: float, rows_per_block: int = _ROWS_PER_BLOCK) -> DataFrame:
     """Ordered pairs of differently named places whose centres are within the radius.
 

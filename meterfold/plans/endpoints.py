@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meterfold import params
 from meterfold.functions.scalars import contains_text, is_alive
 from meterfold.operators import analysis, catalog, filters, latest, series, spatial
+from meterfold.sources import tables
 
 _STATS = ["time", "type", "min_value", "max_value", "avg_value"]
 
@@ -109,6 +110,19 @@ def raw_readings(readings: DataFrame, region: str, macrozone: str, zone: str, se
     return latest.latest(rows, limit, ("type",)).select("time", "macrozone_name", "zone_name", "sensor_id", "type", "value")
 
 
+def newest_readings(spark, path: str, region: str, macrozone: str, zone: str, sensor: str, limit: int = params.ROW_LIMIT) -> DataFrame:
+    """``raw_readings`` of a table stored by day, without reading its history."""
+    key = {"region_name": region, "macrozone_name": macrozone, "zone_name": zone, "sensor_id": sensor}
+    rows = tables.newest(spark, path, limit, ("type",), **key)
+    return rows.select("time", "macrozone_name", "zone_name", "sensor_id", "type", "value")
+
+
+def newest_statistics(spark, path: str, limit: int = params.ROW_LIMIT, **place: str) -> DataFrame:
+    """Newest statistics of a region, macrozone or zone (``region_name`` and so on) in a table stored by day."""
+    levels = [c for c in ("macrozone_name", "zone_name") if c in place]
+    return tables.newest(spark, path, limit, ("type",), **place).select(*levels, *_STATS)
+
+
 def search(rows: DataFrame, text: str) -> DataFrame:
     """Rows that contain the text in any column, ignoring case."""
     return rows.filter(contains_text(text, *rows.columns)) if text else rows

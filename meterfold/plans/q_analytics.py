@@ -11,6 +11,7 @@ from meterfold.plans.fixtures import NOW, SPLIT
 from meterfold.plans.oracle import query
 from meterfold.plans.q_basic import _SHOWN, rnd, sql_stats, stats_rounded, ts
 from meterfold.session import scratch_path
+from meterfold.sources import tables
 
 AFRICA, FIRST = "AFRICA", "Supplier#000000000"
 FIRST_DAY, LAST_DAY = dt.date(1996, 1, 2), dt.date(2001, 11, 4)
@@ -541,16 +542,32 @@ def w8_split(t):
 
 # ---- endpoints over statistics -------------------------------------------------
 
-query("e3", f"SELECT {_SHOWN} FROM region_q WHERE region_name = 'AFRICA' ORDER BY time DESC, type LIMIT 50")(
-    lambda t: rnd(endpoints.region_statistics(region_q(t), AFRICA), 6, "avg_value")
-)
+def _by_day(t, rows, keys, name):
+    """Rows in a table stored by day."""
+    path = scratch_path(t.spark, name)
+    tables.append_absent(rows, path, keys)
+    return path
+
+
+@query("e3", f"SELECT {_SHOWN} FROM region_q WHERE region_name = 'AFRICA' ORDER BY time DESC, type LIMIT 50")
+def e3(t):
+    path = _by_day(t, region_q(t), schemas.REGION_STATS_KEY, "e3")
+    return rnd(endpoints.newest_statistics(t.spark, path, region_name=AFRICA), 6, "avg_value")
+
+
 query("e6", f"SELECT macrozone_name, {_SHOWN} FROM macro_stats WHERE region_name = '{AFRICA}' AND macrozone_name = '{FIRST}' ORDER BY time DESC, type LIMIT 50")(
     lambda t: rnd(endpoints.macrozone_statistics(t.macro_stats, AFRICA, FIRST), 6, "avg_value")
 )
-query("e13", f"SELECT macrozone_name, zone_name, {_SHOWN} FROM zone_q WHERE region_name = '{AFRICA}' AND macrozone_name = '{FIRST}' AND zone_name = 'zone-1' ORDER BY time DESC, type LIMIT 50")(
-    lambda t: rnd(endpoints.zone_statistics(rollup.zone_stats(t.readings), AFRICA, FIRST, "zone-1"), 6, "avg_value")
-)
-query("e14", f"""SELECT time, macrozone_name, zone_name, sensor_id, type, value FROM readings WHERE region_name = '{AFRICA}'
-  AND macrozone_name = '{FIRST}' AND zone_name = 'zone-1' AND sensor_id = '1' ORDER BY time DESC, type LIMIT 50""")(
-    lambda t: endpoints.raw_readings(t.readings, AFRICA, FIRST, "zone-1", "1")
-)
+
+
+@query("e13", f"SELECT macrozone_name, zone_name, {_SHOWN} FROM zone_q WHERE region_name = '{AFRICA}' AND macrozone_name = '{FIRST}' AND zone_name = 'zone-1' ORDER BY time DESC, type LIMIT 50")
+def e13(t):
+    path = _by_day(t, rollup.zone_stats(t.readings), schemas.ZONE_STATS_KEY, "e13")
+    return rnd(endpoints.newest_statistics(t.spark, path, region_name=AFRICA, macrozone_name=FIRST, zone_name="zone-1"), 6, "avg_value")
+
+
+@query("e14", f"""SELECT time, macrozone_name, zone_name, sensor_id, type, value FROM readings WHERE region_name = '{AFRICA}'
+  AND macrozone_name = '{FIRST}' AND zone_name = 'zone-1' AND sensor_id = '1' ORDER BY time DESC, type LIMIT 50""")
+def e14(t):
+    path = _by_day(t, t.readings, schemas.READING_KEY, "e14")
+    return endpoints.newest_readings(t.spark, path, AFRICA, FIRST, "zone-1", "1")

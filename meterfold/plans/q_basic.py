@@ -358,6 +358,36 @@ def j9(t):
     return found.select("region_name", "name", near("distance_m", 1).alias("distance_m"))
 
 
+# Customers ask for what is near them: some by a pole or the date line, with a radius of 0 m to 3,000 km. The zones are
+# squares of a fiftieth of a degree, so the distance is the least of those to their sides.
+_ASKED = """SELECT c_custkey AS point_id,
+  CASE WHEN c_custkey % 50 = 1 THEN 89.9e0 WHEN c_custkey % 50 = 2 THEN -89.95e0 ELSE 30e0 + cast((c_custkey * 7) % 400 AS double) * 0.01e0 END AS lat,
+  CASE WHEN c_custkey % 50 = 3 THEN 179.99e0 WHEN c_custkey % 50 = 4 THEN -179.99e0 ELSE -175e0 + cast((c_custkey * 13) % 1250 AS double) * 0.01e0 END AS lon,
+  CASE c_custkey % 7 WHEN 0 THEN 0e0 WHEN 1 THEN 500e0 WHEN 2 THEN 5000e0 WHEN 3 THEN 30000e0 WHEN 4 THEN 700e0 WHEN 5 THEN 100e0
+    ELSE CASE WHEN c_custkey % 101 = 0 THEN 3000000e0 ELSE 60000e0 END END AS radius_m
+FROM customer"""
+
+
+def asked_points(t):
+    k = F.col("c_custkey")
+    lat = F.when(k % 50 == 1, 89.9).when(k % 50 == 2, -89.95).otherwise(30.0 + ((k * 7) % 400).cast("double") * 0.01)
+    lon = F.when(k % 50 == 3, 179.99).when(k % 50 == 4, -179.99).otherwise(-175.0 + ((k * 13) % 1250).cast("double") * 0.01)
+    r = k % 7
+    radius = F.when(r == 0, 0.0).when(r == 1, 500.0).when(r == 2, 5000.0).when(r == 3, 30000.0).when(r == 4, 700.0).when(r == 5, 100.0)
+    radius = radius.otherwise(F.when(k % 101 == 0, 3_000_000.0).otherwise(60_000.0))
+    return t.base("customer").select(k.alias("point_id"), lat.alias("lat"), lon.alias("lon"), radius.alias("radius_m"))
+
+
+_BOX_FROM_POINT = _BOX.replace(f"{LON}", "q.lon").replace(f"{LAT}", "q.lat")
+
+
+@query("j9_points", f"""SELECT q.point_id, m.region_name, m.name, round({_BOX_FROM_POINT}, 0) AS distance_m
+  FROM ({_ASKED}) q JOIN macrozones m ON {_BOX_FROM_POINT} <= q.radius_m""")
+def j9_points(t):
+    found = spatial.near_points(asked_points(t), t.macrozones)
+    return found.withColumn("distance_m", near("distance_m", 0))
+
+
 @query("j8", "SELECT region_name, name, neighbour_region, neighbour, round(distance_m, 3) AS distance_m FROM pairs")
 def j8(t):
     return rnd(spatial.neighbours(t.places, 50_000), 3, "distance_m")

@@ -15,6 +15,7 @@ from meterfold.plans.q_analytics import compared_daily, macro_q, ntz, region_q,
 from meterfold.plans.q_basic import rnd, sql_stats, stats_rounded, wkt
 from meterfold.session import scratch_path
 from meterfold.sources import keyed, messages, tables
+from meterfold.sources.outbox import Outbox
 from meterfold.streaming import ingest, state, windows
 
 
@@ -315,9 +316,9 @@ _CLOSED = "WHERE time <= (SELECT max(time) FROM readings) - INTERVAL '{} minutes
 @query("st3", sql_stats("time, region_name, macrozone_name, zone_name, type", "zone_q", tail=_CLOSED.format(10))
        + " UNION ALL " + sql_stats("time, region_name, macrozone_name, '' AS zone_name, type", "macro_q", tail=_CLOSED.format(10)))
 def st3(t):
-    zones = drained(t, windows.zone_stats(t.reading_stream()), "st3-zone")
-    macro = drained(t, windows.macrozone_stats(t.reading_stream()), "st3-macro")
-    return stats_rounded(as_ntz(zones.unionByName(macro.withColumn("zone_name", F.lit("")))))
+    """Both grains from one stream."""
+    both = drained(t, windows.zone_and_macrozone_stats(t.reading_stream()), "st3")
+    return stats_rounded(as_ntz(both.drop("grain")))
 
 
 # stamp - 15 min is the end of the last covered macrozone window
@@ -453,13 +454,43 @@ def st13(t):
 @query("st14", """SELECT 'outbox' AS kind, sensor_id, type, 'sent' AS status, count(*) AS n FROM outbox GROUP BY ALL
 UNION ALL SELECT 'topic', sensor_id, type, '', count(*) FROM outbox WHERE status = 'pending' GROUP BY ALL""")
 def st14(t):
+    """The first attempt breaks off in the middle of its messages; the next one publishes the same batch."""
     path = fresh(t, "st14")
-    after = ingest.outbox_dispatch(t.outbox, "json", path, schemas.READING_KEY)
-    sent = messages.readings(messages.open_messages(t.spark, "json", path=path)).withColumn("status", F.lit(""))
+    box = Outbox(f"{path}-box", schemas.READING_KEY)
+    box.add(t.outbox)
+    after = _sent_after_a_failure(t, box, messages.reading_messages, f"{path}-topic")
+    sent = messages.readings(messages.open_messages(t.spark, "json", path=f"{path}-topic")).withColumn("status", F.lit(""))
     count = lambda df, kind: df.groupBy(F.lit(kind).alias("kind"), "sensor_id", "type", "status").agg(F.count(F.lit(1)).alias("n"))
     return count(after, "outbox").unionByName(count(sent, "topic"))
 
 
+def _sent_after_a_failure(t: Tables, box: Outbox, encode, topic_path: str) -> DataFrame:
+    def breaks_off(rows, number):
+        encode(rows.limit(100)).write.format("json").save(f"{topic_path}/batch={number}/_temporary")
+        raise OSError("lost")
+
+    try:
+        box.dispatch(t.spark, breaks_off, attempts=1)
+    except OSError:
+        pass
+    for _ in range(2):  # the second finds nothing
+        box.dispatch(t.spark, lambda rows, number: messages.publish_once(encode(rows), "json", topic_path, number))
+    return box.rows(t.spark)
+
+
+@query("st14_statistics", """SELECT 'outbox' AS kind, region_name AS region, type, 'sent' AS status, count(*) AS n FROM zone_q GROUP BY ALL
+UNION ALL SELECT 'topic', region_name, type, '', count(*) FROM zone_q GROUP BY ALL""")
+def st14_statistics(t):
+    """Statistics wait in an outbox of their own."""
+    path = fresh(t, "st14s")
+    box = Outbox(f"{path}-box", schemas.ZONE_STATS_KEY)
+    box.add(rollup.zone_stats(t.readings))
+    after = _sent_after_a_failure(t, box, messages.statistics_messages, f"{path}-topic").withColumnRenamed("region_name", "region")
+    sent = messages.statistics(messages.open_messages(t.spark, "json", path=f"{path}-topic")).withColumn("status", F.lit(""))
+    count = lambda df, kind: df.groupBy(F.lit(kind).alias("kind"), "region", "type", "status").agg(F.count(F.lit(1)).alias("n"))
+    return count(after, "outbox").unionByName(count(sent, "topic"))
+
+
 @query("st15", """SELECT event_id, status, time >= TIMESTAMP '2024-01-30 00:00:00' AS retained FROM outbox
   WHERE NOT (status = 'sent' AND time < TIMESTAMP '2024-01-30 12:00:00')""")
 def st15(t):

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from meterfold import schemas
 from meterfold.functions import timeutil
+from meterfold.sources import files
 
 PAYLOAD = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 
@@ -100,12 +101,26 @@ def publish(messages: DataFrame, fmt: str, path: str | None = None, **options):
     return writer.save(path) if path else writer.save()
 
 
+def publish_once(messages: DataFrame, fmt: str, path: str, batch: int) -> None:
+    """Messages of a numbered batch to a folder of its own; a number that is complete is left alone,
+    one that broke off is written anew."""
+    spark, folder = messages.sparkSession, f"{path}/batch={batch}"
+    if not files.exists(spark, f"{folder}/_SUCCESS"):
+        messages.write.format(fmt).mode("overwrite").save(folder)
+
+
 def with_region(rows: DataFrame, region: str | DataFrame) -> DataFrame:
-    """Rows with ``region_name``: one region's name, or looked up by macrozone in a table of macrozones."""
+    """Rows with ``region_name``: one region's name, or looked up by macrozone in a table of macrozones.
+
+    A macrozone that is not in the table, or whose name several regions use, does not say its
+    region: such rows keep a null and are no rows of a neighbour's region by chance.
+    """
     if isinstance(region, str):
         return rows.withColumn("region_name", F.lit(region))
-    places = region.select("region_name", F.col("name").alias("macrozone_name"))
-    return rows.join(places, "macrozone_name")
+    places = region.groupBy(F.col("name").alias("macrozone_name")).agg(
+        F.when(F.min("region_name") == F.max("region_name"), F.min("region_name")).alias("region_name")
+    )
+    return rows.join(places, "macrozone_name", "left")
 
 
 def stored_readings(wire: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from meterfold.functions import geo
+from meterfold.operators import latest
 from meterfold.sources import files
 
 
@@ -40,6 +41,24 @@ def scan(spark: SparkSession, path: str, start=None, end=None, time: str = "time
     return df
 
 
+def newest(spark: SparkSession, path: str, limit: int, ties: tuple[str, ...] = (), time: str = "time", first: int = 1, most: int | None = None, **key) -> DataFrame:
+    """The newest ``limit`` rows of a key in a table stored by day.
+
+    Day folders are read from the newest one on, twice as many each time, until they hold
+    enough rows of the key; rows are clustered by key, so most of a folder is skipped. At most about
+    twice the needed days are read. A key with fewer rows takes all days, or the newest ``most``.
+    """
+    days = files.matching(spark, f"{path}/day=*")[::-1][:most]
+    read = min(first, len(days))
+    while True:
+        rows = spark.read.option("basePath", path).parquet(*days[:read]) if days else spark.read.parquet(path).limit(0)
+        for name, value in key.items():
+            rows = rows.filter(F.col(name) == F.lit(value))
+        if read >= len(days) or rows.limit(limit).count() >= limit:
+            return latest.latest(rows, limit, ties, time)
+        read = min(2 * read, len(days))
+
+
 def locations(rows: DataFrame, wkt: str = "location") -> DataFrame:
     """Location rows with the WKT polygon parsed into ``ring``."""
     return rows.withColumn("ring", geo.parse_polygon(F.col(wkt))).drop(wkt)

@@ -17,7 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from meterfold import schemas
 from meterfold.operators import filters
-from meterfold.operators import outbox as outboxes
 from meterfold.sources import keyed, messages, tables
 
 ONCE = {"availableNow": True}
@@ -133,8 +132,3 @@ def relay(stream: DataFrame, encode: Callable[[DataFrame], DataFrame], fmt: str,
     if path:
         writer = writer.option("path", path)
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-def outbox_dispatch(outbox: DataFrame, fmt: str, path: str, keys: list[str]) -> DataFrame:
-    """Publish all pending readings of an outbox; returns the outbox with them marked sent."""
-    return outboxes.dispatch(outbox, lambda rows: messages.publish(messages.reading_messages(rows), fmt, path), keys)

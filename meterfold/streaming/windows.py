@@ -36,6 +36,24 @@ def macrozone_stats(readings: DataFrame, seconds: int = params.ZONE_INTERVAL, de
     return out.select(F.col("window.end").alias("time"), *keys, *rollup.STAT_COLUMNS)
 
 
+def zone_and_macrozone_stats(readings: DataFrame, seconds: int = params.ZONE_INTERVAL, delay: int = params.ZONE_DELAY) -> DataFrame:
+    """Zone and macrozone rows of one stream, told apart by ``grain``: the readings are read and aggregated once.
+
+    Each closed zone window goes on as itself and as a part of its macrozone; the chained
+    aggregate lets the first pass and merges the second.
+    """
+    keys = ["region_name", "macrozone_name", "type"]
+    zones = readings.withWatermark("time", f"{delay} seconds").groupBy(_window(seconds), *keys, "zone_name").agg(*rollup.from_readings())
+    levels = F.array(
+        F.struct(F.lit("zone").alias("grain"), F.col("zone_name").alias("zone_name")),
+        F.struct(F.lit("macrozone").alias("grain"), F.lit("").alias("zone_name")),
+    )
+    parts = zones.withColumn("_level", F.explode(levels)).drop("zone_name").withColumns({"grain": F.col("_level.grain"), "zone_name": F.col("_level.zone_name")})
+    again = F.window(F.window_time("window"), f"{int(seconds)} seconds")
+    out = parts.groupBy(again, *keys, "zone_name", "grain").agg(*rollup.merge_partials())
+    return out.select(F.col("window.end").alias("time"), "grain", *keys, "zone_name", *rollup.STAT_COLUMNS)
+
+
 def region_stats(
     readings: DataFrame, fine: int = params.ZONE_INTERVAL, seconds: int = params.REGION_INTERVAL,
     delay: int = params.REGION_DELAY,

@@ -69,18 +69,6 @@ def test_outbox(spark):
     df = spark.createDataFrame([(1, T(2024, 1, 1), "sent"), (2, T(2024, 1, 1), "pending"), (3, T(2024, 1, 2, 23), "sent")], "id int, time timestamp_ntz, status string")
     assert sorted(r.id for r in outbox.purge_sent(df, now).collect()) == [2, 3]
     assert [r.id for r in outbox.retain(df, now).collect()] == [3]
-    calls = []
-
-    def flaky(rows):
-        calls.append(rows.count())
-        if len(calls) < 3:
-            raise RuntimeError("down")
-
-    after = {r.id: r.status for r in outbox.dispatch(df, flaky, ["id"]).collect()}
-    assert calls == [1, 1, 1] and set(after.values()) == {"sent"}
-    calls.clear()
-    with pytest.raises(RuntimeError):
-        outbox.dispatch(df, flaky, ["id"], attempts=2)
 
 
 def test_guards_and_routing(spark):

@@ -8,6 +8,7 @@ from meterfold import schemas, session
 from meterfold.operators import rollup
 from meterfold.plans import jobs
 from meterfold.sources import messages, tables
+from meterfold.sources.outbox import Outbox
 
 T = dt.datetime
 
@@ -193,6 +194,50 @@ def test_read_through_refuses_young_days_and_survives_a_failure(spark, tmp_path,
     assert jobs.read_through(spark, path, [day], {"span": 3}, compute, T(2024, 1, 7)).count() == 1 and len(calls) == 2
 
 
+def test_newest_rows_of_a_key_read_few_days(spark, tmp_path):
+    path = str(tmp_path / "byday")
+    rows = spark.range(3000).selectExpr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(cast(id div 3 AS int)) AS time", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 300 = 1 THEN 'rare' ELSE 'b' END AS id", "cast(id AS int) AS v")
+    rows.withColumn("day", F.to_date("time")).repartition(2).write.partitionBy("day").parquet(path)
+    days = lambda df: len({f.split("day=")[1][:10] for f in df.inputFiles()})
+    few = tables.newest(spark, path, 5, id="a")
+    assert [r.v for r in few.collect()] == [2997 - 3 * k for k in range(5)] and days(few) <= 8
+    rare = tables.newest(spark, path, 2, id="rare")
+    assert [r.v for r in rare.collect()] == [2701, 2401] and days(rare) <= 256
+    assert tables.newest(spark, path, 5, id="nobody").collect() == []
+    limited = tables.newest(spark, path, 5, id="rare", most=10)
+    assert limited.collect() == [] and days(limited) == 10
+
+
+def test_an_outbox_keeps_no_message_twice_and_misses_none(spark, tmp_path):
+    box, topic = Outbox(str(tmp_path / "box"), ["time", "id"]), str(tmp_path / "topic")
+    make = lambda *rows: spark.createDataFrame(list(rows), "time timestamp_ntz, id string, v int")
+    sent = lambda: sorted(r.id for r in spark.read.json(topic).collect())
+    box.add(make((T(2024, 1, 1), "a", 1), (T(2024, 1, 1), "b", 2)))
+    box.add(make((T(2024, 1, 1), "old", 0)).withColumn("status", F.lit("sent")))
+    calls = []
+
+    def breaks_off(rows, number):
+        calls.append(number)
+        rows.limit(1).write.json(f"{topic}/batch={number}/_part{len(calls)}")
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        box.dispatch(spark, breaks_off, attempts=2)
+    assert calls == [0, 0]
+    box.add(make((T(2024, 1, 2), "c", 3), (T(2024, 1, 1), "a", 9)))  # one more, and one repeated
+    assert {r.id: r.status for r in box.rows(spark).collect()} == {"a": "pending", "b": "pending", "c": "pending", "old": "sent"}
+    once = lambda rows, number: messages.publish_once(rows, "json", topic, number)
+    assert box.dispatch(spark, once) == 0 and sent() == ["a", "b"]  # the frozen batch, not the newcomer
+    once(make((T(2024, 1, 1), "z", 0)), 0)
+    assert sent() == ["a", "b"]  # the sink knows the number
+    assert box.dispatch(spark, once) == 1 and box.dispatch(spark, once) is None
+    assert sent() == ["a", "b", "c"] and {r.status for r in box.rows(spark).collect()} == {"sent"}
+    box.add(make((T(2024, 1, 3), "d", 4)))
+    assert box.purge(spark, T(2024, 1, 3, 12)) == ["2024-01-01", "2024-01-02"]
+    box.add(make((T(2024, 1, 1), "a", 9)))  # comes late once more
+    assert {r.id: r.status for r in box.rows(spark).collect()} == {"a": "sent", "d": "pending"}
+
+
 def test_scan_prunes_days(spark, tmp_path):
     path = str(tmp_path / "byday")
     rows = spark.range(10).selectExpr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(cast(id AS int)) AS time", "id")
@@ -214,10 +259,11 @@ def test_conflicting_rows_of_a_key_are_decided_by_the_row(spark):
 
 
 def test_region_by_name_or_by_macrozone(spark):
-    rows = spark.createDataFrame([("m1",), ("m2",)], "macrozone_name string")
-    places = spark.createDataFrame([("EU", "m1"), ("US", "m2")], "region_name string, name string")
+    rows = spark.createDataFrame([("m1",), ("m2",), ("twice",), ("unknown",)], "macrozone_name string")
+    places = spark.createDataFrame([("EU", "m1"), ("US", "m2"), ("EU", "twice"), ("US", "twice"), ("EU", "m1")], "region_name string, name string")
     assert {r.region_name for r in messages.with_region(rows, "EU").collect()} == {"EU"}
-    assert {(r.macrozone_name, r.region_name) for r in messages.with_region(rows, places).collect()} == {("m1", "EU"), ("m2", "US")}
+    found = sorted((r.macrozone_name, r.region_name) for r in messages.with_region(rows, places).collect())
+    assert found == [("m1", "EU"), ("m2", "US"), ("twice", None), ("unknown", None)]
 
 
 def test_refresh_drops_buckets_that_came_out_empty(spark, tmp_path):

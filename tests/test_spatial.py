@@ -51,6 +51,30 @@ def test_near_point_equals_exact_test(spark):
         spatial.near_point(df, 0, 0, -1)
 
 
+def test_many_points_equal_one_by_one(spark):
+    """Points and radii of every size, poles, the date line, a crowd of points in one place, large and odd polygons."""
+    rng = random.Random(6)
+    zones = [("r", f"m{i}", rng.uniform(-179.5, 179), rng.uniform(-89, 88), rng.choice([0.01, 0.3, 1.0])) for i in range(60)]
+    zones += [("r", f"spot{i}", 9 + i / 1000, 45.0, 0.02) for i in range(30)] + [("r", "wide", -170.0, -20.0, 60.0), ("r", "pole", 10.0, 89.5, 0.5)]
+    rings = spark.createDataFrame(zones, "region_name string, name string, lon0 double, lat0 double, side double")
+    at = lambda dx, dy: F.struct((F.col("lon0") + F.col("side") * dx).alias("lon"), (F.col("lat0") + F.col("side") * dy).alias("lat"))
+    rings = rings.withColumn("ring", F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0)))
+    line = [(float(lon), float(lat)) for lon, lat in ((179, 1), (-179, 1), (-179, 3), (179, 3), (179, 1))]
+    rings = rings.select("region_name", "name", "ring").unionByName(
+        spark.createDataFrame([("r", "dateline", [{"lon": x, "lat": y} for x, y in line])], "region_name string, name string, ring array<struct<lon:double,lat:double>>")
+    ).cache()
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180), rng.choice([0.0, 100.0, 3e4, 4e5, 2e6, 2.5e7])) for i in range(80)]
+    points += [(100 + i, 45.01, 9.01 + i / 10_000, rng.choice([0.0, 50.0, 2e3])) for i in range(60)]
+    points += [(200, 89.99, 0.0, 1e5), (201, -89.99, 3.0, 2e6), (202, 2.0, 179.99, 1e3), (203, 2.0, -180.0, 3e5), (204, 2.0, 179.5, 5.0)]
+    points += [(300, None, 1.0, 5.0), (301, 1.0, 1.0, None), (302, 1.0, 1.0, -1.0), (303, 1.0, 1.0, float("nan"))]
+    asked = spark.createDataFrame(points, "point_id long, lat double, lon double, radius_m double").withColumn("name", F.lit("clash"))
+    got = sorted((r.point_id, r.name) for r in spatial.near_points(asked, rings, rows_per_block=5).collect())
+    every = asked.drop("name").join(rings, F.lit(True)).filter(geo.distance_m(F.col("ring"), F.col("lon"), F.col("lat")) <= F.col("radius_m"))
+    assert got == sorted((r.point_id, r.name) for r in every.filter("radius_m >= 0 AND NOT isnan(radius_m)").collect())
+    assert len(got) > 300 and any(name == "dateline" for _, name in got)
+    assert spatial.near_points(asked.limit(0), rings).collect() == spatial.near_points(asked, rings.limit(0)).collect() == []
+
+
 def test_with_neighbours(spark):
     pairs = spark.createDataFrame([("r", "a", "q", "b"), ("q", "b", "r", "a"), ("r", "a", "r", "c")], "region_name string, name string, neighbour_region string, neighbour string")
     asked = spark.createDataFrame([("r", "a"), ("r", "c")], "region_name string, name string")

@@ -176,7 +176,8 @@ def leaks(
     kinds = items.dropDuplicates(item)
     offered = kinds.select(*item, F.col("_n").alias("_in"), "_fp", F.inline(block_values(F.col("_fp"))).alias("_block", "_v"))
     offered = offered.withColumn("_value", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("_v"))))).drop("_v")
-    near = asked.join(offered.select(*item, "_in", "_fp", "_block", "_value"), ["_block", "_value"])
+    # Merged, not broadcast: shuffled bytes say little about how large the variations of many items are on the driver.
+    near = asked.join(offered.select(*item, "_in", "_fp", "_block", "_value").hint("merge"), ["_block", "_value"])
     near = near.filter((F.col("_n") == F.col("_in")) & (F.bit_count(F.col("_fp").bitwiseXOR(F.col("_wfp"))) <= radius)).select(*content, *item).distinct()
     pairs = near.join(classes.select(*content, "_window"), content).join(kinds.select(*item, "_item"), item)
     same = pairs.withColumn("similarity", weighted_jaccard(F.col("_window"), F.col("_item"))).filter(F.col("similarity") >= similarity)

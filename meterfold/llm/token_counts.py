@@ -10,6 +10,7 @@ a text are one token, as the library takes them by default; prefixes that end in
 string are ordinary text.
 """
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ class TextCounter:
         self.program = PrefixCounter(path)
         self.pieces = Pieces(self._values, 4)
         self.blanks: dict[str, int] = {}
+        by_length = sorted(self.program.special, key=len, reverse=True)
+        self.any_special = re.compile("|".join(map(re.escape, by_length))) if by_length else None
 
     @staticmethod
     def of(path: str) -> "TextCounter":
@@ -82,14 +85,18 @@ class TextCounter:
         return counts - np.repeat(base, np.diff(np.append(breaks, len(points))))
 
     def one(self, text: str) -> np.ndarray:
-        """The counts of all prefixes of one text, which may hold special strings."""
-        for special in self.program.special:
-            if special in text:
-                head, _, rest = text.partition(special)
-                seen = self.plain((head + special[:-1]).encode(), np.zeros(1, np.int64))
-                total = (int(seen[len(head) - 1]) if head else 0) + 1
-                return np.concatenate([seen, [total], total + self.one(rest)])
-        return self.plain(text.encode(), np.zeros(1, np.int64))
+        """The counts of all prefixes of one text, which may hold special strings; the leftmost is a token, then the longest."""
+        found, at, total = [], 0, 0
+        for m in self.any_special.finditer(text) if self.any_special else ():
+            # Prefixes that end inside the special string are ordinary text.
+            seen = self.plain((text[at : m.start()] + m[0][:-1]).encode(), np.zeros(1, np.int64))
+            found.append(total + seen)
+            total += (int(seen[m.start() - at - 1]) if m.start() > at else 0) + 1
+            found.append(np.full(1, total))
+            at = m.end()
+        if at < len(text):
+            found.append(total + self.plain(text[at:].encode(), np.zeros(1, np.int64)))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of all prefixes of all rows one after the other, and where the rows begin."""

@@ -44,6 +44,24 @@ def test_special_strings_contractions_and_long_pieces():
         assert got == [len(ids(text[:k])) for k in range(1, len(text) + 1)]
 
 
+def test_thousands_of_special_strings():
+    text = "<|endoftext|> a" * 5000
+    (got,) = prefixes([text])
+    assert len(got) == len(text) and got[-1] == len(ids(text))
+    assert [got[k - 1] for k in (1, 13, 14, 15, 28, 30)] == [len(ids(text[:k])) for k in (1, 13, 14, 15, 28, 30)]
+
+
+def test_the_leftmost_of_two_special_strings(tmp_path):
+    other = Tokenizer.from_file(PATH)
+    other.add_special_tokens(["<|end|>", "<|end|>more"])
+    other.save(str(tmp_path / "two.json"))
+    counter = token_counts.TextCounter(str(tmp_path / "two.json"))
+    for text in ("a<|end|>b<|endoftext|>c", "<|endoftext|><|end|>x<|end|>", "q <|end|>mox"):
+        want = [len(other.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
+        for _, data, offsets in byte_slices(pa.array([text])):
+            assert counter.rows(data, offsets)[0].tolist() == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=4))
 def test_ids_equal_the_library(texts):

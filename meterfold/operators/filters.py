@@ -34,6 +34,25 @@ def in_days(col: str, first: dt.date, last: dt.date) -> Column:
     return in_range(col, start, end)
 
 
+def within(df: DataFrame, start: dt.datetime, end: dt.datetime, col: str = "time") -> DataFrame:
+    """Rows of ``[start, end)``; of a table stored by day only the folders of those days are read."""
+    rows = df.filter(in_range(col, start, end))
+    if "day" in df.columns and col != "day":
+        rows = rows.filter(F.col("day").between(F.lit(start.date()), F.lit((end - dt.timedelta(microseconds=1)).date())))
+    return rows
+
+
+def within_days(df: DataFrame, first: dt.date, last: dt.date, col: str = "time") -> DataFrame:
+    """Rows of a closed range of days."""
+    start = dt.datetime(first.year, first.month, first.day)
+    return within(df, start, dt.datetime(last.year, last.month, last.day) + dt.timedelta(days=1), col)
+
+
+def within_minute(df: DataFrame, minute: dt.datetime, col: str = "time") -> DataFrame:
+    start = minute.replace(second=0, microsecond=0)
+    return within(df, start, start + dt.timedelta(minutes=1), col)
+
+
 def in_minute(col: str, minute: dt.datetime) -> Column:
     start = minute.replace(second=0, microsecond=0)
     return in_range(col, start, start + dt.timedelta(minutes=1))

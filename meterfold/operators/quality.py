@@ -1,10 +1,11 @@
 """Delivery, outlier and latency reports, profiles and summaries."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterfold import params
-from meterfold.session import checkpointed
 
 
 def hourly_profile(values: DataFrame, time: str = "time", value: str = "value") -> DataFrame:
@@ -71,57 +72,103 @@ def throughput(messages: DataFrame, latency_seconds: Column, window_minutes: flo
     )
 
 
-def trimmed_mean(df: DataFrame, value: str, keys: list[str] = (), sigmas: float = 2.0) -> DataFrame:
-    """Mean without the values above mean + ``sigmas`` sample deviations; ``kept`` counts the rest."""
+def trimmed_mean(df: DataFrame, value: str, keys: list[str] = (), sigmas: float = 2.0, salts: int = 64) -> DataFrame:
+    """Mean without the values above mean + ``sigmas`` sample deviations; ``kept`` counts the rest.
+
+    A group's rows meet its bound under ``salts`` keys, so a large group is many join keys.
+    """
     v = F.col(value).cast("double")
     rows = df.select(*keys, v.alias("_v"))
     limit = (F.avg(v) + sigmas * F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("bound")
     bound = df.groupBy(*keys).agg(limit)
-    rows = rows.join(bound, list(keys)) if keys else rows.withColumn("bound", bound.scalar())
+    if keys:
+        bound = bound.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int")).join(bound, [*keys, "_salt"])
+    else:
+        rows = rows.withColumn("bound", bound.scalar())
     return (
         rows.filter(F.col("_v") <= F.col("bound"))
         .groupBy(*keys, "bound").agg(F.avg("_v").alias("trimmed_mean"), F.count(F.lit(1)).alias("kept"))
     )
 
 
-def box_plot(df: DataFrame, columns: list[str], partitions: int | None = None) -> DataFrame:
+_QUANTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+_BRACKET = "metric string, rank long, lo double, hi double, below long"
+
+
+def _in_brackets(long: DataFrame, brackets: list[tuple]) -> DataFrame:
+    """Values with each bracket of their metric that holds them; there are at most ten brackets a metric."""
+    found = F.broadcast(long.sparkSession.createDataFrame(brackets, _BRACKET))
+    inside = (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
+    return long.join(found, "metric").filter(inside)
+
+
+def _narrowed(long: DataFrame, brackets: list[tuple], sizes: dict, accuracy: int) -> list[tuple]:
+    """Each bracket cut down to the neighbourhood of its rank: a sketch proposes ends, exact counts judge them."""
+    step = 2.0 / accuracy
+
+    def around(metric: str, rank: int, below: int) -> tuple[float, float]:
+        q = (rank - below + 0.5) / sizes[metric, rank]
+        return round(max(0.0, q - step), 12), round(min(1.0, q + step), 12)
+
+    shares = sorted({s for m, r, _, _, below in brackets for s in around(m, r, below)})
+    sketch = _in_brackets(long, brackets).groupBy("metric", "rank").agg(F.percentile_approx("value", shares, accuracy).alias("at")).collect()
+    below_of = {(m, r): below for m, r, _, _, below in brackets}
+    ends = {}
+    for row in sketch:
+        key = row["metric"], row["rank"]
+        ends[key] = tuple(row["at"][shares.index(s)] for s in around(*key, below_of[key]))
+    proposed = F.broadcast(long.sparkSession.createDataFrame([(*key, *e) for key, e in ends.items()], "metric string, rank long, left double, right double"))
+    v, left, right = F.col("value"), F.col("left"), F.col("right")
+    counts = _in_brackets(long, brackets).join(proposed, ["metric", "rank"]).groupBy("metric", "rank").agg(
+        F.count_if(v < left).alias("under"), F.count_if(v < right).alias("until"), F.count_if(v <= right).alias("upto")
+    )
+    counted = {(r["metric"], r["rank"]): r for r in counts.collect()}
+    out = []
+    for m, rank, lo, hi, below in brackets:
+        (first, last), n = ends[m, rank], counted[m, rank]
+        if rank < below + n["under"]:  # the sketch missed: the rank lies before its ends
+            out.append((m, rank, lo, first, below))
+        elif rank >= below + n["upto"]:  # or behind them
+            out.append((m, rank, last, hi, below + n["until"]))
+        else:
+            out.append((m, rank, first, last, below + n["under"]))
+    return out
+
+
+def box_plot(df: DataFrame, columns: list[str], enough: int = 100_000, accuracy: int = 10_000) -> DataFrame:
     """min, q1, median, q3, max (linear interpolation) of each column, exact at any size.
 
-    Equal values are counted first; the distinct ones are range-partitioned by (metric,
-    value), so one value or metric may hold most rows. Per-partition totals locate the
-    partitions that hold the wanted ranks and only those are ranked.
+    Every wanted rank is narrowed to a bracket of values: a mergeable sketch proposes its ends,
+    counting says which side the rank lies on. Each round is two aggregations that leave
+    about 1 / 2,500 of the rows, so two rounds do for any table. Once a bracket holds
+    at most ``enough`` rows, or a round changes nothing because a few values repeat, its values are
+    counted and ranked. Only some numbers for each column reach the driver.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "metric", "value")
-    counted = long.filter(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    parts = checkpointed(counted.repartitionByRange(n, "metric", "value").withColumn("pid", F.spark_partition_id()))
-
-    per_part = parts.groupBy("metric", "pid").agg(F.sum("n").alias("n"))
-    by_pid = Window.partitionBy("metric").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_part.select("metric", "pid", F.col("n").alias("part_n"), F.coalesce(F.sum("n").over(by_pid), F.lit(0)).alias("before"))
-    total = per_part.groupBy("metric").agg(F.sum("n").alias("total"))
-
-    names = ["min", "q1", "median", "q3", "max"]
-    at = [0.0, 0.25, 0.5, 0.75, 1.0]
-    wanted = total.select("metric", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), ((F.col("total") - 1) * q).alias("h")) for i, q in enumerate(at)
-    ])).alias("w")).select("metric", "w.i", "w.h", F.explode(F.array(F.floor("w.h"), F.ceil("w.h"))).alias("rank")).distinct()
-    hits = wanted.join(starts, "metric").filter(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("part_n"))
-    )
-    inside = Window.partitionBy("metric", "pid").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        parts.join(hits.select("metric", "pid").distinct(), ["metric", "pid"], "left_semi")
-        .withColumn("upto", F.sum("n").over(inside))
-    )
-    picked = hits.join(ranked, ["metric", "pid"]).filter(
-        (F.col("rank") - F.col("before") < F.col("upto")) & (F.col("rank") - F.col("before") >= F.col("upto") - F.col("n"))
-    )
-    lo, hi, fraction = F.min("value"), F.max("value"), F.col("h") - F.floor("h")
-    quantiles = picked.groupBy("metric", "i", "h").agg(lo.alias("lo"), hi.alias("hi")).withColumn(
-        "q", F.col("lo") + (F.col("hi") - F.col("lo")) * fraction
+    long = long.filter(F.col("value").isNotNull())
+    totals = {r["metric"]: r["n"] for r in long.groupBy("metric").agg(F.count("*").alias("n")).collect()}
+    wanted = [(m, name, q * (n - 1)) for m, n in totals.items() for name, q in _QUANTILES.items()]
+    brackets = [(m, r, None, None, 0) for m, r in sorted({(m, r) for m, _, h in wanted for r in (math.floor(h), math.ceil(h))})]
+    done: list[tuple] = []
+    sizes = {(m, r): totals[m] for m, r, *_ in brackets}
+    while wide := [b for b in brackets if sizes[b[:2]] > enough and not (b[2] is not None and b[2] == b[3])]:
+        done += [b for b in brackets if b not in wide]
+        brackets = _narrowed(long, wide, sizes, accuracy)
+        left = {(r["metric"], r["rank"]): r["n"] for r in _in_brackets(long, brackets).groupBy("metric", "rank").agg(F.count("*").alias("n")).collect()}
+        still = [b for b in brackets if left[b[:2]] == sizes[b[:2]]]
+        done += still
+        brackets = [b for b in brackets if b not in still]
+        sizes |= left
+    done += brackets
+    if not done:
+        return df.sparkSession.createDataFrame([], "metric string, " + ", ".join(f"{n} double" for n in _QUANTILES))
+    counted = _in_brackets(long, done).groupBy("metric", "rank", "below", "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("metric", "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    found = counted.withColumn("upto", F.col("below") + upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    asked = df.sparkSession.createDataFrame(
+        [(m, name, r, h - math.floor(h)) for m, name, h in wanted for r in {math.floor(h), math.ceil(h)}], "metric string, name string, rank long, part double"
     )
-    return quantiles.groupBy("metric").agg(*[
-        F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)
-    ])
+    ends = found.select("metric", "rank", "value").join(F.broadcast(asked), ["metric", "rank"]).groupBy("metric", "name", "part").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
+    return ends.groupBy("metric").agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in _QUANTILES])

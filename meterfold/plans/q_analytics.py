@@ -421,7 +421,7 @@ BOX_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 @query("a28", " UNION ALL ".join(_box(c) for c in BOX_COLUMNS))
 def a28(t):
-    return rnd(quality.box_plot(t.base("lineitem"), BOX_COLUMNS), 6, "min", "q1", "median", "q3", "max")
+    return rnd(quality.box_plot(t.base("lineitem"), BOX_COLUMNS, enough=20_000), 6, "min", "q1", "median", "q3", "max")
 
 
 # ---- W: series -----------------------------------------------------------------

@@ -10,6 +10,8 @@ from meterfold.operators import analysis, catalog, filters, latest, rollup, sets
 from meterfold.plans import endpoints
 from meterfold.plans.fixtures import NOW
 from meterfold.plans.oracle import nudge, query
+from meterfold.session import scratch_path
+from meterfold.sources import tables
 
 LAT, LON, RADIUS = 31.0, -172.3, 150_000.0
 DAY = dt.date(2024, 1, 10)
@@ -54,14 +56,22 @@ def p2(t):
     return filters.valid_heartbeats(t.heartbeats)
 
 
+def by_day(t, name):
+    """The readings as a table stored by day."""
+    path = scratch_path(t.spark, name)
+    rows = t.readings.withColumn("day", F.to_date("time"))
+    tables.by_partition(rows, ["day"], ["time"]).parquet(path)
+    return t.spark.read.parquet(path)
+
+
 @query("p3", f"SELECT * FROM readings WHERE time >= {ts(PERIOD[0])} AND time < {ts(PERIOD[1])}")
 def p3(t):
-    return t.readings.filter(filters.in_range("time", *PERIOD))
+    return filters.within(by_day(t, "p3"), *PERIOD).drop("day")
 
 
 @query("p4", f"SELECT event_id, cast(time AS date) = DATE '{DAY}' AS on_day FROM readings WHERE cast(time AS date) BETWEEN DATE '{DAY}' AND DATE '2024-01-20'")
 def p4(t):
-    rows = t.readings.filter(filters.in_days("time", DAY, dt.date(2024, 1, 20)))
+    rows = filters.within_days(by_day(t, "p4"), DAY, dt.date(2024, 1, 20))
     return rows.select("event_id", filters.on_day("time", DAY).alias("on_day"))
 
 
@@ -114,7 +124,7 @@ def p11(t):
 @query("p13", """SELECT * FROM readings WHERE date_trunc('minute', time) = (SELECT date_trunc('minute', min(time)) FROM readings)""")
 def p13(t):
     first = t.readings.agg(F.min("time").alias("m")).first().m
-    return t.readings.filter(filters.in_minute("time", first))
+    return filters.within_minute(by_day(t, "p13"), first).drop("day")
 
 
 # ---- U: sets -------------------------------------------------------------------

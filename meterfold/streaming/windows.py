@@ -16,8 +16,16 @@ def _window(seconds: int):
 
 
 def sensor_means(readings: DataFrame, seconds: int = params.MINUTE, delay: str = "1 minute") -> DataFrame:
-    out = readings.withWatermark("time", delay).groupBy(_window(seconds), *schemas.SENSOR).agg(
-        F.avg("value").alias("value"), F.max_by("type", F.struct("time", "type")).alias("type")
+    """Mean per sensor and interval with the type of the newest reading.
+
+    Readings are added up by type first; a chained aggregate compares the few types of a
+    sensor's interval.
+    """
+    typed = readings.withWatermark("time", delay).groupBy(_window(seconds), *schemas.SENSOR, "type").agg(
+        F.sum(F.col("value").cast("double")).alias("_sum"), F.count("value").alias("_n"), F.max("time").alias("_at")
+    )
+    out = typed.groupBy(F.window(F.window_time("window"), f"{int(seconds)} seconds"), *schemas.SENSOR).agg(
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("value"), F.max_by("type", F.struct("_at", "type")).alias("type")
     )
     return out.select(F.col("window.start").alias("time"), *schemas.SENSOR, "type", "value")
 

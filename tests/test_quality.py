@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from meterfold.operators import quality
 
 
-@pytest.mark.parametrize("partitions", [1, 5])
-def test_box_plot_equals_numpy(spark, partitions):
+@pytest.mark.parametrize("enough", [10, 100_000])
+def test_box_plot_equals_numpy(spark, enough):
     rng = random.Random(1)
     a = [7.0] * 400 + [rng.uniform(0, 10) for _ in range(333)]  # one value holds most rows
     b = [float(rng.randint(0, 5)) for _ in a]
     rng.shuffle(a)
     df = spark.createDataFrame([(x, y if i % 9 else None) for i, (x, y) in enumerate(zip(a, b))], "a double, b double")
-    got = {r.metric: (r.min, r.q1, r.median, r.q3, r.max) for r in quality.box_plot(df, ["a", "b"], partitions).collect()}
+    got = {r.metric: (r.min, r.q1, r.median, r.q3, r.max) for r in quality.box_plot(df, ["a", "b"], enough, 50).collect()}
     kept = [y for i, y in enumerate(b) if i % 9]
     assert got["a"] == pytest.approx(tuple(np.quantile(a, [0, 0.25, 0.5, 0.75, 1])))
     assert got["b"] == pytest.approx(tuple(np.quantile(kept, [0, 0.25, 0.5, 0.75, 1])))
@@ -56,3 +56,24 @@ def test_throughput(spark):
     df = spark.range(20).select(F.lit("m").alias("m"), (F.col("id") % 4).alias("s"), F.when(F.col("id") > 0, F.col("id")).alias("lat"))
     r = quality.throughput(df, F.col("lat"), 10, ["m", "s"]).first()
     assert tuple(r) == (20, 4, 2.0, 20 / 600, 19, 10.0, 19)
+
+
+def test_box_plot_of_repeated_and_odd_values(spark):
+    rng = random.Random(4)
+    rows = [(float(rng.choice([0, 0, 0, 1, 7, rng.gauss(0, 1)])), 5.0 if k % 10 else float(k), rng.choice([-1.0, 1.0]), None if k % 3 else -float(k)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").withColumn("none", F.lit(None).cast("double")).repartition(3)
+    for how in ({}, {"enough": 20, "accuracy": 100}, {"enough": 1, "accuracy": 1000}):
+        got = {r.metric: [r["min"], r.q1, r.median, r.q3, r["max"]] for r in quality.box_plot(df, ["a", "b", "c", "d", "none"], **how).collect()}
+        assert sorted(got) == ["a", "b", "c", "d"]
+        for k, name in enumerate("abcd"):
+            values = [r[k] for r in rows if r[k] is not None]
+            assert got[name] == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.75, 1]).tolist(), abs=1e-12)
+    assert quality.box_plot(df.limit(0), ["a"]).collect() == []
+
+
+def test_trimmed_mean_of_a_large_group(spark):
+    df = spark.createDataFrame([("hot", float(k % 50 + 900 * (k % 100 == 0))) for k in range(2000)] + [("one", 3.0)], "k string, v double")
+    got = {r.k: (r.trimmed_mean, r.kept) for r in quality.trimmed_mean(df, "v", ["k"], salts=8).collect()}
+    values = np.array([k % 50 + 900 * (k % 100 == 0) for k in range(2000)], float)
+    kept = values[values <= values.mean() + 2 * values.std(ddof=1)]
+    assert got == {"hot": (pytest.approx(kept.mean()), len(kept)), "one": (3.0, 1)}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterfold import schemas, session
-from meterfold.operators import rollup
+from meterfold.operators import filters, rollup
 from meterfold.plans import jobs
 from meterfold.sources import messages, tables
 from meterfold.sources.outbox import Outbox
@@ -194,6 +194,21 @@ def test_read_through_refuses_young_days_and_survives_a_failure(spark, tmp_path,
     assert jobs.read_through(spark, path, [day], {"span": 3}, compute, T(2024, 1, 7)).count() == 1 and len(calls) == 2
 
 
+def test_ranges_of_time_prune_days(spark, tmp_path):
+    path = str(tmp_path / "byday")
+    rows = spark.range(10).selectExpr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(cast(id AS int)) AS time", "id")
+    rows.withColumn("day", F.to_date("time")).write.partitionBy("day").parquet(path)
+    df = spark.read.parquet(path)
+    for found, want in (
+        (filters.within(df, T(2024, 1, 3), T(2024, 1, 5)), [2, 3]), (filters.within_days(df, dt.date(2024, 1, 9), dt.date(2024, 1, 20)), [8, 9]),
+        (filters.within_minute(df, T(2024, 1, 6, 12, 0, 30)), [5]),
+    ):
+        assert sorted(r.id for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "day" in plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert filters.within(df.drop("day"), T(2024, 1, 3), T(2024, 1, 5)).count() == 2
+
+
 def test_newest_rows_of_a_key_read_few_days(spark, tmp_path):
     path = str(tmp_path / "byday")
     rows = spark.range(3000).selectExpr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(cast(id div 3 AS int)) AS time", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 300 = 1 THEN 'rare' ELSE 'b' END AS id", "cast(id AS int) AS v")

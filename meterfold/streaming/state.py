@@ -8,8 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from meterfold import params, schemas
 from meterfold.operators import outlier
@@ -17,6 +16,9 @@ from meterfold.session import checkpointed
 from meterfold.sources import files, tables
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 class Histories:
     """Accepted values of every sensor, by version: what a sensor had before a micro-batch.
 
@@ -146,43 +148,64 @@ def filter_outliers(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+class Liveness(StatefulProcessor):
+    """A sensor's newest time and status, with one event-time timer for what silence makes of it next.
+
+    A removed sensor leaves no state behind.
+    """
+
+    def __init__(self, keys: list[str], unhealthy_after: int, deregister_after: int):
+        self.keys, self.waits = keys, {"healthy": unhealthy_after * 1000, "unhealthy": deregister_after * 1000}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last_ms long, status string")
+
+    def _become(self, status: str, last: int, watermark: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.seen.update((last, status))
+        self.handle.registerTimer(max(last + self.waits[status], watermark + 1))
+
+    def _row(self, key, status: str, last: int) -> pd.DataFrame:
+        place = {name: [value] for name, value in zip(self.keys, key)}
+        return pd.DataFrame({**place, "status": [status], "last_seen": [pd.Timestamp(last, unit="ms")]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, status = self.seen.get() if self.seen.exists() else (None, "")
+        newest = max(int(pdf["time"].max().value // 1_000_000) for pdf in rows)
+        if last is not None and newest <= last:
+            return
+        self._become("healthy", newest, timerValues.getCurrentWatermarkInMs())
+        if status != "healthy":
+            yield self._row(key, "healthy", newest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, status = self.seen.get()
+        if status == "healthy":
+            self._become("unhealthy", last, timerValues.getCurrentWatermarkInMs())
+            yield self._row(key, "unhealthy", last)
+        else:
+            self.seen.clear()
+            yield self._row(key, "removed", last)
+
+    def close(self) -> None:
+        pass
+
+
 def health_changes(
     readings: DataFrame, lateness: str = "1 minute", unhealthy_after: int = params.UNHEALTHY_AFTER,
     deregister_after: int = params.DEREGISTER_AFTER, keys: list[str] = schemas.SENSOR,
 ) -> DataFrame:
     """(the sensor's keys, status, last_seen) each time a sensor turns healthy, unhealthy or removed.
 
-    Time is event time: a sensor is silent as long as the watermark says so.
+    Time is event time: a sensor is silent as long as the watermark says so. State lies in RocksDB,
+    beyond the heap; queries of this session that start from now on use it too.
     """
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, status = state.get if state.exists else (0, "")
-        changed = None
-        if state.hasTimedOut:
-            changed = "unhealthy" if status == "healthy" else "removed"
-        else:
-            newest = max(int(pdf["time"].max().value // 1_000_000) for pdf in batches)
-            if newest > last:
-                last = newest
-                changed = "healthy" if status != "healthy" else None
-                status = "healthy"
-        if changed == "removed":
-            state.remove()
-        else:
-            status = changed or status
-            state.update((last, status))
-            wait = unhealthy_after if status == "healthy" else deregister_after
-            state.setTimeoutTimestamp(max(last + wait * 1000, state.getCurrentWatermarkMs() + 1))
-        if changed:
-            place = {name: [value] for name, value in zip(keys, key)}
-            yield pd.DataFrame({**place, "status": [changed], "last_seen": [pd.Timestamp(last, unit="ms")]})
-
-    return (
-        readings.withWatermark("time", lateness).select(*keys, "time").groupBy(*keys)
-        .applyInPandasWithState(
-            step, ", ".join(f"{k} string" for k in keys) + ", status string, last_seen timestamp", "last_ms long, status string",
-            "append", GroupStateTimeout.EventTimeTimeout,
-        )
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = ", ".join(f"{k} string" for k in keys) + ", status string, last_seen timestamp"
+    return readings.withWatermark("time", lateness).select(*keys, "time").groupBy(*keys).transformWithStateInPandas(
+        Liveness(list(keys), unhealthy_after, deregister_after), schema, "append", "EventTime"
     )
 
 

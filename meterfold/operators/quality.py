@@ -98,7 +98,7 @@ _BRACKET = "metric string, rank long, lo double, hi double, below long"
 
 def _in_brackets(long: DataFrame, brackets: list[tuple]) -> DataFrame:
     """Values with each bracket of their metric that holds them; there are at most ten brackets a metric."""
-    found = F.broadcast(long.sparkSession.createDataFrame(brackets, _BRACKET))
+    found = long.sparkSession.createDataFrame(brackets, _BRACKET)
     inside = (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
     return long.join(found, "metric").filter(inside)
 
@@ -118,7 +118,7 @@ def _narrowed(long: DataFrame, brackets: list[tuple], sizes: dict, accuracy: int
     for row in sketch:
         key = row["metric"], row["rank"]
         ends[key] = tuple(row["at"][shares.index(s)] for s in around(*key, below_of[key]))
-    proposed = F.broadcast(long.sparkSession.createDataFrame([(*key, *e) for key, e in ends.items()], "metric string, rank long, left double, right double"))
+    proposed = long.sparkSession.createDataFrame([(*key, *e) for key, e in ends.items()], "metric string, rank long, left double, right double")
     v, left, right = F.col("value"), F.col("left"), F.col("right")
     counts = _in_brackets(long, brackets).join(proposed, ["metric", "rank"]).groupBy("metric", "rank").agg(
         F.count_if(v < left).alias("under"), F.count_if(v < right).alias("until"), F.count_if(v <= right).alias("upto")
@@ -169,6 +169,6 @@ def box_plot(df: DataFrame, columns: list[str], enough: int = 100_000, accuracy:
     asked = df.sparkSession.createDataFrame(
         [(m, name, r, h - math.floor(h)) for m, name, h in wanted for r in {math.floor(h), math.ceil(h)}], "metric string, name string, rank long, part double"
     )
-    ends = found.select("metric", "rank", "value").join(F.broadcast(asked), ["metric", "rank"]).groupBy("metric", "name", "part").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    ends = found.select("metric", "rank", "value").join(asked, ["metric", "rank"]).groupBy("metric", "name", "part").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
     return ends.groupBy("metric").agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in _QUANTILES])

@@ -1,5 +1,6 @@
 import os
 import re
+import warnings
 
 import pytest
 
@@ -26,6 +27,21 @@ def test_every_operator_is_registered():
     assert set(IDS) <= entry.oracle_sql().keys()
 
 
+@pytest.mark.parametrize("missing,left_out", [("meterfold.llm", True), ("a_package_of_its_own", True), ("meterfold.session", False)])
+def test_the_optional_part_may_be_missing(monkeypatch, missing, left_out):
+    def fails(name):
+        raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+
+    monkeypatch.setattr(entry.importlib, "import_module", fails)
+    if left_out:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            assert entry._optional("meterfold.llm.queries") is None
+    else:
+        with pytest.raises(ModuleNotFoundError):
+            entry._optional("meterfold.llm.queries")
+
+
 @pytest.fixture(scope="module")
 def duck():
     if not os.path.isdir(SMALL):

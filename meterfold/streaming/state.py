@@ -39,21 +39,26 @@ class Histories:
             found.setdefault(int(files.value(p, "bucket")), []).append(int(files.value(p, "epoch")))
         return {b: sorted(v) for b, v in found.items()}
 
-    def before(self, epoch: int) -> DataFrame:
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("_sensor"), F.lit(self.buckets)).cast("int")
+
+    def of(self, sensors: DataFrame, epoch: int) -> DataFrame:
+        """Histories before an epoch, of the buckets that hold the sensors (``_sensor``) only."""
+        touched = {r.bucket for r in sensors.select(self.bucket().alias("bucket")).distinct().collect()}  # at most ``buckets``
+        return self.before(epoch, touched)
+
+    def before(self, epoch: int, only: set[int] | None = None) -> DataFrame:
         done = {int(files.value(p, "epoch")) for p in files.matching(self.spark, f"{self.path}/epoch=*/_SUCCESS")}
         newest = {b: max((e for e in v if e < epoch and e in done), default=-1) for b, v in self._versions().items()}
-        folders = [f"{self.path}/epoch={e}/bucket={b}" for b, e in sorted(newest.items()) if e >= 0]
+        folders = [f"{self.path}/epoch={e}/bucket={b}" for b, e in sorted(newest.items()) if e >= 0 and (only is None or b in only)]
         if not folders:
             return self.spark.createDataFrame([], HISTORY + ", bucket int")
         return self.spark.read.schema(HISTORY + ", bucket int").option("basePath", self.path).parquet(*folders).select("_sensor", "_seed", "_last", "bucket")
 
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64("_sensor"), F.lit(self.buckets)).cast("int")
-
     def write(self, changed: DataFrame, before: DataFrame, epoch: int) -> None:
+        """The sensors of an epoch, and those beside them in their buckets (``before`` from ``of``)."""
         changed = changed.withColumn("bucket", self.bucket())
-        touched = changed.select("bucket").distinct()
-        kept = before.join(touched, "bucket", "left_semi").join(changed.select("_sensor"), "_sensor", "left_anti")
+        kept = before.join(changed.select("_sensor"), "_sensor", "left_anti")
         rows = kept.select(*changed.columns).unionByName(changed)
         tables.by_partition(rows, ["bucket"], ["_sensor"]).mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
         for b, versions in self._versions().items():
@@ -100,8 +105,8 @@ def _judged(entries: dict, rule: tuple, forget: int | None, columns: list[str]):
 
 def filter_batch(
     batch: DataFrame, before: DataFrame, rule: tuple, order: list[str], forget_after: int | None, keys: list[str],
-) -> tuple[DataFrame, DataFrame]:
-    """Accepted readings of a micro-batch, and the histories of its sensors after it.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted readings of a micro-batch, the histories of its sensors after it, and what to unpersist after both.
 
     ``before`` has histories (``_sensor``, ``_seed``, ``_last``). Readings are range-partitioned and
     sorted by sensor and time, so one sensor may fill many tasks; a sensor's history is a row that
@@ -119,7 +124,7 @@ def filter_batch(
     both = dealt.mapInPandas(_judged(entries, rule, forget, batch.columns), schema).persist()
     newest = F.max_by(F.struct("_seed", "_last"), "_pid")  # a sensor's last partition has its final history
     after = both.filter("_pid >= 0").groupBy("_sensor").agg(newest.alias("_h")).select("_sensor", "_h._seed", "_h._last")
-    return both.filter("_pid < 0").select(*batch.columns), after
+    return both.filter("_pid < 0").select(*batch.columns), after, both
 
 
 def filter_outliers(
@@ -139,10 +144,16 @@ def filter_outliers(
 
     def run(batch: DataFrame, epoch: int) -> None:
         known = Histories(batch.sparkSession, histories)
-        before = known.before(epoch)
-        accepted, after = filter_batch(batch, before, rule, list(order), forget_after, keys)
-        save(accepted, epoch)
-        known.write(after, before, epoch)
+        held = [batch.persist()]
+        try:
+            before = known.of(batch.select(outlier.sensor_name(keys).alias("_sensor")), epoch)
+            accepted, after, judged = filter_batch(batch, before, rule, list(order), forget_after, keys)
+            held.append(judged)
+            save(accepted, epoch)
+            known.write(after, before, epoch)
+        finally:
+            for df in held:
+                df.unpersist()
 
     writer = readings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

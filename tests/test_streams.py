@@ -77,7 +77,7 @@ def test_a_hot_sensor_spreads_over_tasks_and_arrow_batches(spark):
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        kept, after = state.filter_batch(batch, none, (20, 5, 3.0), ["time", "value"], None, schemas.SENSOR)
+        kept, after, _ = state.filter_batch(batch, none, (20, 5, 3.0), ["time", "value"], None, schemas.SENSOR)
         tasks = kept.filter("sensor_id = 's0'").select(F.spark_partition_id()).distinct().count()
         got, histories = sorted(kept.collect()), {r._sensor[-2:]: r for r in after.collect()}
     finally:
@@ -99,9 +99,11 @@ def test_a_replayed_epoch_starts_from_the_same_histories(spark, feed, filtered,
     rows = lambda df: sorted((r._sensor, tuple(r._seed), r._last) for r in df.collect())
     newest = rows(known.before(9))
     batch = spark.createDataFrame([reading("a", 40 + i, 400 if i == 7 else 10 + i % 3) for i in range(10)] + [reading("other4", 4, 4)], READING)
-    kept, after = state.filter_batch(batch, known.before(4), (9, 5, 3.0), ["time", "value"], 300, schemas.SENSOR)
+    before = known.of(batch.select(outlier.sensor_name(schemas.SENSOR).alias("_sensor")), 4)
+    assert {r._sensor[-1] for r in before.collect()} <= {"a", *"0123"} and before.count() < 5  # its buckets only
+    kept, after, _ = state.filter_batch(batch, before, (9, 5, 3.0), ["time", "value"], 300, schemas.SENSOR)
     assert set(kept.collect()) <= set(want)
-    known.write(after, known.before(4), 4)
+    known.write(after, before, 4)
     assert rows(known.before(9)) == newest
 
 

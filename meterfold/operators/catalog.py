@@ -56,15 +56,15 @@ def nest(parents: DataFrame, keys: list[str], children: dict[str, tuple[DataFram
     return out.select(*parents.columns, "page", *[f"{k}_count" for k in kinds], *kinds)
 
 
-def region_detail(regions: DataFrame, macrozones: DataFrame, region_hubs: DataFrame) -> DataFrame:
+def region_detail(regions: DataFrame, macrozones: DataFrame, region_hubs: DataFrame, pages: int = 1) -> DataFrame:
     mz = with_centroid(macrozones).withColumn("region", F.col("region_name"))
     return nest(regions.withColumnRenamed("name", "region"), ["region"], {
         "macrozones": (mz, ["name", "lat", "lon"]),
         "hubs": (region_hubs.withColumnRenamed("region_name", "region"), ["id", "service", "registration_time", "last_seen"]),
-    }).withColumnRenamed("region", "name")
+    }, pages).withColumnRenamed("region", "name")
 
 
-def macrozone_detail(macrozones: DataFrame, zones: DataFrame, macrozone_hubs: DataFrame, zone_hubs: DataFrame, sensors: DataFrame) -> DataFrame:
+def macrozone_detail(macrozones: DataFrame, zones: DataFrame, macrozone_hubs: DataFrame, zone_hubs: DataFrame, sensors: DataFrame, pages: int = 1) -> DataFrame:
     times = ["registration_time", "last_seen"]
     base = with_centroid(macrozones).select("region_name", F.col("name").alias("macrozone_name"), "lat", "lon", "creation_time")
     return nest(base, ["region_name", "macrozone_name"], {
@@ -72,13 +72,13 @@ def macrozone_detail(macrozones: DataFrame, zones: DataFrame, macrozone_hubs: Da
         "hubs": (macrozone_hubs, ["id", "service", *times]),
         "zone_hubs": (zone_hubs, ["id", "zone_name", "service", *times]),
         "sensors": (sensors, ["id", "zone_name", "type", "reference", *times]),
-    })
+    }, pages)
 
 
-def zone_detail(zones: DataFrame, zone_hubs: DataFrame, sensors: DataFrame) -> DataFrame:
+def zone_detail(zones: DataFrame, zone_hubs: DataFrame, sensors: DataFrame, pages: int = 1) -> DataFrame:
     times = ["registration_time", "last_seen"]
     base = zones.select("region_name", "macrozone_name", F.col("name").alias("zone_name"), "creation_time")
     return nest(base, ["region_name", "macrozone_name", "zone_name"], {
         "hubs": (zone_hubs, ["id", "service", *times]),
         "sensors": (sensors, ["id", "type", "reference", *times]),
-    })
+    }, pages)

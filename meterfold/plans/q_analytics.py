@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterfold import params, schemas
@@ -95,6 +96,17 @@ query("e2", _J4 + " WHERE r.r_name = 'AFRICA'")(
 )
 
 
+@query("j4_pages", """SELECT r.r_name AS name, m.name AS macrozone, count(*) OVER (PARTITION BY r.r_name) AS macrozones_count, cast(8 AS bigint) AS pages
+FROM region r JOIN macrozones m ON m.region_name = r.r_name""")
+def j4_pages(t):
+    """Eight pages a region hold every macrozone once; each page knows the total."""
+    out = catalog.region_detail(t.regions, t.macrozones, t.region_hubs, pages=8)
+    pages = F.count("*").over(Window.partitionBy("name"))
+    return out.withColumn("pages", pages).select("name", F.explode("macrozones").alias("m"), "macrozones_count", "pages").select(
+        "name", F.col("m.name").alias("macrozone"), "macrozones_count", "pages"
+    )
+
+
 def _children(table: str, cols: str, macro: str = "m.macrozone_name", zone: str = "") -> str:
     return f"FROM {table} c WHERE c.region_name = m.region_name AND c.macrozone_name = {macro}{zone}"
 

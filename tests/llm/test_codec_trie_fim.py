@@ -18,6 +18,7 @@ from tests.llm import samples
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+VOCABULARY = bpe_codec.Vocabulary(PATH)
 LETTERS = "abcdefghistreonTH'svelmdr  \n\t\x0b\xa0!?.,0129éüß漢字🙂́Ⅷ²ǅ"
 
 
@@ -43,7 +44,7 @@ def test_ids_equal_the_library_and_decode_to_the_text(texts):
 @given(st.binary(min_size=1, max_size=30))
 def test_pieces_of_any_bytes_equal_plain_merging(piece):
     """Merges applied one by one, the lowest rank first, the leftmost of equal ones first."""
-    vocabulary = bpe_codec.Vocabulary(PATH)
+    vocabulary = VOCABULARY
     parts = [vocabulary.ids[bytes([b])] for b in piece]
     while True:
         ranked = [(vocabulary.rank[pair], k) for k, pair in enumerate(zip(parts, parts[1:])) if pair in vocabulary.rank]

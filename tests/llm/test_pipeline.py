@@ -16,7 +16,7 @@ data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "benchmarks", "packing"]
 
 

@@ -26,7 +26,7 @@ class Outbox:
     keys: list[str]
 
     def add(self, rows: DataFrame) -> None:
-        """Rows of a table wait from now on; those with a status ``sent`` are kept only."""
+        """Rows wait from now on; those with a status ``sent`` are only kept, those without a time are left out."""
         if "status" not in rows.columns:
             rows = rows.withColumn("status", F.lit(params.PENDING))
         tables.append_absent(rows, f"{self.path}/rows", self.keys)
@@ -46,9 +46,13 @@ class Outbox:
         sent = self._frozen(spark, self._numbers(spark, "done/batch=*"))
         if sent is None:
             return stored
-        sent = sent.select(*self.keys).withColumn("_sent", F.lit(True))
+        names = {k: f"_key_{n}" for n, k in enumerate(self.keys)}
+        sent = sent.select(*[F.col(k).alias(x) for k, x in names.items()]).distinct().withColumn("_sent", F.lit(True))
+        same = F.lit(True)
+        for k, x in names.items():
+            same = same & stored[k].eqNullSafe(sent[x])
         status = F.when(F.col("_sent"), params.SENT).otherwise(F.col("status"))
-        return stored.join(sent, self.keys, "left").withColumn("status", status).select(*stored.columns)
+        return stored.join(sent, same, "left").withColumn("status", status).select(*stored.columns)
 
     def dispatch(self, spark: SparkSession, publish: Callable[[DataFrame, int], None], attempts: int = params.OUTBOX_ATTEMPTS) -> int | None:
         """Publishes what waits; the number of the batch, or None if nothing does.

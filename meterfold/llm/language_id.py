@@ -7,9 +7,12 @@ one-versus-rest kernel ridge regression is fitted on them. Scoring is one matrix
 batch: the texts' presence matrix times the landmarks' presence matrix, features and
 regression weights, which are multiplied beforehand.
 
-Fitting uses a bounded sample: ``per_language`` labelled rows of each language, those of the
-smallest hash of doc_id (and text), of at most ``languages`` languages, the most frequent
-ones. Only n-gram sets of the sample reach the driver. Everything is scored.
+Every language that labels a row is learned. Fitting uses a bounded sample: of each language
+``per_language`` labelled rows, those of the smallest hash of doc_id (and text), ``landmarks``
+of them as landmarks, and the ``most_grams`` n-grams that most of its landmarks hold. With more
+than ``full`` languages each one's share shrinks, down to 16 rows, 4 landmarks and 300 n-grams.
+Of a sampled text with more than ``row_grams`` n-grams those of the smallest hash are learned
+from. Only n-gram sets of the sample reach the driver. Everything is scored, whole.
 
 Null texts and texts without a letter are ``und`` with score 0; rows with a null language
 teach nothing; without any labelled row all texts are ``und``. Ties go to the language that
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterfold.llm.common import byte_slices, small_batches
+from meterfold.llm.common import byte_slices, mix, small_batches
 
 UNKNOWN = "und"
 BITS = 21  # of a code point
@@ -78,54 +81,85 @@ class Model:
     sharpness: float
 
 
+def places(grams: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where each code stands in the sorted ``grams``; their number if it does not."""
+    at = np.searchsorted(grams, found)
+    at[at == len(grams)] = 0
+    return np.where(grams[at] == found, at, len(grams)) if len(grams) else np.zeros(len(found), np.int64)
+
+
 def fit_sets(names: list[str], sets: list[np.ndarray], landmarks: int, most_grams: int, ridge: float, sharpness: float) -> Model:
+    """Fits on gram sets; ``landmarks`` texts and ``most_grams`` n-grams come from each language."""
     languages = sorted(set(names))
-    order = sorted(range(len(names)), key=lambda k: (sum(n == names[k] for n in names[:k]), names[k]))  # languages in turn
-    chosen = order[:landmarks]
-    grams, count = np.unique(np.concatenate([sets[k] for k in chosen]), return_counts=True)
-    if len(grams) > most_grams:
-        grams = np.sort(grams[np.lexsort((grams, -count))[:most_grams]])
-
-    def presence(rows: list[int]) -> np.ndarray:
-        out = np.zeros((len(rows), len(grams)), np.float32)
-        for r, k in enumerate(rows):
-            out[r, np.flatnonzero(np.isin(grams, sets[k], assume_unique=True))] = 1
-        return out / np.maximum(1, np.sqrt(out.sum(1, keepdims=True)))
-
-    marks = presence(chosen)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    own: dict[str, list[int]] = {lang: [] for lang in languages}
+    for k, name in enumerate(names):
+        own[name].append(k)
+    chosen = [k for lang in languages for k in own[lang][:landmarks]]
+    kept = []
+    for lang in languages:  # a small language's n-grams do not compete with a large one's
+        codes, count = np.unique(np.concatenate([sets[k] for k in own[lang][:landmarks]]), return_counts=True)
+        kept.append(codes[np.lexsort((codes, -count))[:most_grams]])
+    grams = np.unique(np.concatenate(kept))
+
+    held = [places(grams, x) for x in sets]
+    held = [x[x < len(grams)] for x in held]
+    scale = np.array([1 / np.sqrt(max(1, len(x))) for x in held])
+    # Which landmarks hold each gram: the kernel of a text with all landmarks adds up its grams' lists.
+    listed = np.concatenate([held[k] for k in chosen])
+    holder = np.repeat(np.arange(len(chosen)), [len(held[k]) for k in chosen])[np.argsort(listed, kind="stable")]
+    ends = np.searchsorted(np.sort(listed), np.arange(len(grams) + 1))
+
+    def kernel(k: int) -> np.ndarray:
+        begin, size = ends[held[k]], ends[held[k] + 1] - ends[held[k]]
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(holder[at], minlength=len(chosen)) * scale[chosen] * scale[k]
+
+    values, vectors = np.linalg.eigh(np.array([kernel(k) for k in chosen]))
     keep = values > 1e-6
     nystroem = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.concatenate([presence(list(range(a, min(a + 200, len(sets))))) @ marks.T for a in range(0, len(sets), 200)]) @ nystroem
+    features = np.array([kernel(k) for k in range(len(sets))]) @ nystroem
     target = np.array([[1.0 if n == lang else -1.0 for lang in languages] for n in names])
     # Each language weighs the same, however many rows it has in the sample.
     weight = 1 / (target > 0).sum(0)[[languages.index(n) for n in names]]
     weighted = features * weight[:, None]
-    solved = np.linalg.solve(features.T @ weighted + ridge * np.eye(features.shape[1]), weighted.T @ target)
-    return Model(languages, grams, (marks.T @ (nystroem @ solved)).astype(np.float32), sharpness)
+    solved = nystroem @ np.linalg.solve(features.T @ weighted + ridge * np.eye(features.shape[1]), weighted.T @ target)
+    weights = np.zeros((len(grams), len(languages)))
+    for m, k in enumerate(chosen):
+        weights[held[k]] += scale[k] * solved[m]
+    return Model(languages, grams, weights.astype(np.float32), sharpness)
 
 
-def fit(docs: DataFrame, per_language: int = 250, languages: int = 50, landmarks: int = 160, most_grams: int = 12_000, ridge: float = 1e-3, sharpness: float = 6.0) -> Model:
+def fit(
+    docs: DataFrame, per_language: int = 250, landmarks: int = 40, most_grams: int = 4_000, full: int = 16,
+    row_grams: int = 8_000, ridge: float = 1e-3, sharpness: float = 6.0,
+) -> Model:
     """Learns from ``docs`` (doc_id, text, lang)."""
     small_batches(docs.sparkSession)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keyed = labelled.select("lang", F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id")
-    known = [r["lang"] for r in keyed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not known:
+    keyed = labelled.select("lang", F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id").distinct()
+    share = min(1.0, full / max(1, labelled.select("lang").distinct().count()))
+    rows_each, landmarks, most_grams = max(16, int(per_language * share)) if share < 1 else per_language, max(4, int(landmarks * share)), max(300, int(most_grams * share))
+    first = keyed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    picked = [r["doc_id"] for r in first.filter(F.col("k") <= rows_each).select("doc_id").distinct().collect()]
+    if not picked:
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), sharpness)
-    first = keyed.filter(F.col("lang").isin(known)).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    picked = [r["doc_id"] for r in first.filter(F.col("k") <= per_language).select("doc_id").distinct().collect()]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for _, data, offsets in byte_slices(batch.column("text")):
                 points, at = lowered(data, offsets)
-                found += [gram_set(np.append(points[a:b], np.uint32(0))).tobytes() for a, b in zip(at[:-1], at[1:])]
+                for a, b in zip(at[:-1], at[1:]):
+                    codes = gram_set(np.append(points[a:b], np.uint32(0)))
+                    if len(codes) > row_grams:
+                        codes = np.sort(codes[np.argsort(mix(codes), kind="stable")[:row_grams]])
+                    found.append(codes.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(found, pa.binary())], names=["lang", "h", "grams"])
 
-    sample = labelled.filter(F.col("doc_id").isin(picked) & F.col("lang").isin(known)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    rows = sample.mapInArrow(sets_of, "lang string, h long, grams binary").distinct().collect()
+    # An id may stand on many rows, so the rows are bounded once more.
+    texts = labelled.filter(F.col("doc_id").isin(picked)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).dropDuplicates(["lang", "h"])
+    sample = texts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= rows_each)
+    rows = sample.select("lang", "text", "h").mapInArrow(sets_of, "lang string, h long, grams binary").collect()
     rows = [r for r in sorted(rows, key=lambda r: (r["h"], r["lang"])) if r["grams"]]
     if not rows:
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), sharpness)
@@ -133,42 +167,34 @@ def fit(docs: DataFrame, per_language: int = 250, languages: int = 50, landmarks
 
 
 class Scorer:
-    """The model with tables from letters to symbols and from symbol codes to columns."""
+    """The model with a last column for all other n-grams."""
 
     def __init__(self, model: Model):
-        self.model = model
-        mask = np.uint64((1 << BITS) - 1)
-        three = model.grams >> np.uint64(63) == 1
-        codes = model.grams & np.uint64((1 << 63) - 1)
-        parts = [(codes >> np.uint64(BITS * k)) & mask for k in (2, 1, 0)]
-        symbols, count = np.unique(np.concatenate(parts), return_counts=True)
-        symbols, count = symbols[symbols > 0], count[symbols > 0]
-        symbols = np.sort(symbols[np.lexsort((symbols, -count))[:254]])  # 0: blank, 255: any other letter
-        self.of_letter = np.full(0x110000, 255, np.uint8)
-        self.of_letter[0] = 0
-        self.of_letter[symbols.astype(np.int64)] = np.arange(1, len(symbols) + 1)
-        none = len(model.grams)
-        self.tables = [np.full(1 << (8 * n), none, np.uint16) for n in (1, 2, 3)]
-        a, b, c = (self.of_letter[p.astype(np.int64)].astype(np.int64) for p in parts)
-        size = np.where(three, 3, np.where(codes >> np.uint64(BITS) > 0, 2, 1))
-        usable = (a != 255) & (b != 255) & (c != 255)
-        for n, code in ((1, c), (2, b << 8 | c), (3, a << 16 | b << 8 | c)):
-            at = np.flatnonzero((size == n) & usable)
-            self.tables[n - 1][code[at]] = at
+        self.grams = model.grams
         self.weights = np.concatenate([model.weights, np.zeros((1, model.weights.shape[1]), np.float32)])
+        self.rows = max(1, 2_400_000 // len(self.weights))  # texts in one presence matrix
+        # Most n-grams of other scripts are told by their letters alone.
+        self.known = np.zeros(0x110000, bool)
+        for k in range(3):
+            letter = model.grams >> np.uint64(BITS * k) & np.uint64((1 << BITS) - 1)
+            self.known[letter.astype(np.int64)] = True
 
     def scores(self, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Margins of all languages for each text, and whether it has a letter."""
-        n, columns = len(at) - 1, len(self.weights)
-        s = np.append(self.of_letter[points], 0).astype(np.int32)
+        n = len(at) - 1
         row = np.repeat(np.arange(n), np.diff(at))
-        two = s[:-1] << 8 | s[1:]
-        three = two[:-1] << 8 | s[2:]
-        present = np.zeros((n, columns), np.float32)
-        present[row, self.tables[0][s[:-1]]] = 1
-        present[row, self.tables[1][two]] = 1
-        inner = row[: len(three)]  # the last 3-gram would reach over the end
-        present[inner, self.tables[2][three]] = 1
+        known = np.append(self.known[points], [True, True])
+        p = np.append(points, np.zeros(2, np.uint32)).astype(np.uint64)
+        two = p[:-1] << np.uint64(BITS) | p[1:]
+        three = two[:-1] << np.uint64(BITS) | p[2:] | np.uint64(1 << 63)
+        last = np.zeros(len(row) + 1, bool)
+        last[at[1:]] = True  # a 3-gram from a text's last letter on would reach into the next text
+        present = np.zeros((n, len(self.weights)), np.float32)
+        one = known[:-2] & (points > 0)
+        pair = one & known[1:-1]
+        triple = known[:-2] & known[1:-1] & known[2:] & ~last[1:]
+        for use, codes in ((one, p[:-2]), (pair, two[:-1]), (triple, three)):
+            present[row[use], places(self.grams, codes[use])] = 1
         present[:, -1] = 0
         size = np.sqrt(np.maximum(1, present.sum(1, keepdims=True)))
         lettered = np.bincount(row[points > 0], minlength=n) > 0
@@ -195,8 +221,9 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
                 if model.languages:
                     parts = []
                     points, at = lowered(data, offsets)
-                    for a in range(0, n, 200):
-                        b = min(n, a + 200)
+                    step = _tables[key].rows
+                    for a in range(0, n, step):
+                        b = min(n, a + step)
                         parts.append(_tables[key].scores(points[at[a] : at[b]], at[a : b + 1] - at[a]))
                     margin = np.concatenate([p[0] for p in parts])
                     lettered = np.concatenate([p[1] for p in parts])

@@ -121,3 +121,40 @@ def test_scoring_equals_the_kernel(spark):
         found = np.isin(model.grams, language_id.gram_set(np.append(points, np.uint32(0))))
         want = found.astype(np.float32) @ model.weights / np.sqrt(found.sum())
         assert np.allclose(scorer.scores(points, at)[0][0], want, atol=1e-4)
+
+
+def test_many_languages_and_a_script_of_many_letters(spark):
+    """80 languages are all learned, the rarest too, and thousands of different letters count."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(80):
+        letters = [chr(c) for c in rng.sample(range(ord("a"), ord("z") + 1), 8)]
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(25)]
+        rows += [(100 * k + j, " ".join(rng.choices(words, k=30)), f"l{k:02}", None, None) for j in range(60 if k < 3 else 12)]
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    rows += [(9000 + j, "".join(rng.choices(han[:1500], k=400)), "zh", None, None) for j in range(20)]
+    rows += [(9100 + j, "".join(rng.choices(han[1500:], k=400)), "zy", None, None) for j in range(20)]
+    df = samples.frame(spark, rows)
+    model = language_id.fit(df.filter(remainder("doc_id", 3) != 1))
+    assert len(model.languages) == 82
+    assert len({int(g & np.uint64((1 << 21) - 1)) for g in model.grams}) > 254
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, model).collect()}
+    held = [(d, lang) for d, _, lang, *_ in rows if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert sum(got[d] == lang for d, lang in held) >= 0.95 * len(held)
+    assert all(got[d] == lang for d, lang in held if lang in ("zh", "zy"))
+
+
+def test_one_id_on_many_rows_and_texts_of_one_batch(spark):
+    """The sample stays bounded, and a text's score does not depend on its neighbours in the batch."""
+    rows = [(7, t, lang, s, n) for _, t, lang, s, n in labelled(120)]
+    model = language_id.fit(samples.frame(spark, rows), per_language=20, landmarks=10)
+    assert model.languages == ["xx", "yy"]
+    scorer = language_id.Scorer(model)
+
+    def scores(texts):
+        data = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *(len(x) for x in data)])
+        return scorer.scores(*language_id.lowered(np.frombuffer(b"".join(data), np.uint8), offsets))[0]
+
+    texts = [t for _, t, *_ in rows[:12]] + ["", "ba", "7"]
+    assert np.allclose(scores(texts), np.concatenate([scores([t]) for t in texts]), atol=1e-5)

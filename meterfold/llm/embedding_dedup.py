@@ -8,9 +8,11 @@ brings such pairs together; inside a slice a second coordinate and the block's d
 the candidates, and each is verified exactly on the whole vectors in double precision. A pair
 is counted in the first block in which it qualifies, so every link counts once.
 
-Equal vectors are one class with a multiplicity. A label's slices are dealt out over chunks of
-about ``chunk`` vectors, so a label that holds a third of all rows is many tasks. Tasks return
-link counts and a spanning forest of their links, never the pairs.
+A vector is a member of its own slice and asks in the next one. The vectors of every slice are
+counted, and one with more than ``chunk`` of them is dealt out over chunks of about that many;
+every two chunks meet in one task, so neither a hot label nor a dense slice is one task, and
+the others are sent once for a block and once to ask. Equal vectors are one class with a
+multiplicity. Tasks return link counts and a spanning forest of their links, never the pairs.
 
 Vectors that are null, empty or zero, that hold null or non-finite components, or have a null
 label link with nothing. Vectors of different lengths link with nothing either. Repeated rows
@@ -107,7 +109,17 @@ class Links:
             self.verify(i, j)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8, chunk: int = 4096) -> DataFrame:
+def crowded(placed: DataFrame, chunk: int) -> DataFrame:
+    """_label, _rep, _k1 and _dealt: of a vector's places (block * 2 + 1 where it asks), those in slices of several chunks."""
+    spots = placed.select("_label", "_size", "_rep", "_k1", F.posexplode("_slices").alias("_block", "_own"))
+    spots = spots.withColumn("_probe", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slice", F.col("_own") + F.col("_probe"))
+    keys = ["_label", "_size", "_block", "_slice"]
+    dense = spots.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_chunks")).filter("_chunks > 1")
+    place = F.struct((F.col("_block") * 2 + F.col("_probe")).alias("place"), "_chunks")
+    return spots.join(dense, keys).groupBy("_label", "_rep", "_k1").agg(F.collect_set(place).alias("_dealt"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8, chunk: int = 16_384) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector (vec_id, embedding, label)."""
     small_batches(vectors.sparkSession)
     width = sqrt((2 - 2 * threshold) / blocks + SLACK)
@@ -117,10 +129,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
     keyed = rows.withColumn("_ok", F.coalesce(usable, F.lit(False))).withColumns({"_k1": F.xxhash64("_v"), "_k2": F.xxhash64(F.lit(5), "_v")})
     keyed = stored(keyed, "vectors")
     classes = keyed.filter("_ok").groupBy("label", "_k1", "_k2").agg(F.min("vec_id").alias("_rep"), F.count(F.lit(1)).alias("_many"), F.first("_v").alias("_v"))
-    sizes = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_chunks"))
-    ready = classes.join(sizes, "label").withColumn("_chunk", F.pmod(F.xxhash64("_rep"), F.col("_chunks")).cast("int"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, sizes = batch.column("_v").flatten().to_numpy(zero_copy_only=False), np.diff(batch.column("_v").offsets.to_numpy())
             begin = np.cumsum(sizes) - sizes
@@ -130,40 +140,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
                 turned = rotated(unit(v), blocks)
                 first = np.floor(turned[:, :: turned.shape[1] // blocks] / width).astype(np.int64)[:, :blocks]
                 part = batch.take(pa.array(at))
-                packed = pa.array([x.tobytes() for x in v], pa.binary())
-                n = len(at)
-                for block in range(blocks):
-                    for probe in (0, 1):  # in its own slice, and in the next as one that asks
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column("_label"), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(first[:, block] + probe),
-                             part.column("_rep"), part.column("_many"), part.column("_chunk"), part.column("_chunks"), pa.array(np.full(n, probe == 1)), packed],
-                            names=["_label", "_size", "_block", "_slice", "_rep", "_many", "_chunk", "_chunks", "_probe", "_bytes"],
-                        )
-
-    dealt = ready.select(F.col("label").cast("string").alias("_label"), "_rep", "_many", "_chunk", "_chunks", "_v").mapInArrow(
-        deal, "_label string, _size int, _block int, _slice long, _rep long, _many long, _chunk int, _chunks int, _probe boolean, _bytes binary"
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_label"), pa.array(np.full(len(at), size, np.int32)), part.column("_rep"), part.column("_k1"), part.column("_many"),
+                     pa.array(list(first), pa.list_(pa.int64())), pa.array([x.tobytes() for x in v], pa.binary())],
+                    names=["_label", "_size", "_rep", "_k1", "_many", "_slices", "_bytes"],
+                )
+
+    placed = classes.select(F.col("label").cast("string").alias("_label"), "_rep", "_k1", "_many", "_v").mapInArrow(
+        place, "_label string, _size int, _rep long, _k1 long, _many long, _slices array<long>, _bytes binary"
     )
-    # Members meet the members of every chunk, those that ask meet each chunk once.
+    placed = stored(placed, "places")
+    ready = placed.join(crowded(placed, chunk), ["_label", "_rep", "_k1"], "left")
+    dealt = ready.select("*", F.posexplode("_slices").alias("_block", "_own")).withColumn("_probe", F.explode(F.array(F.lit(0), F.lit(1))))
+    here = F.col("_block") * 2 + F.col("_probe")
+    chunks = F.coalesce(F.get(F.filter("_dealt", lambda x: x["place"] == here), F.lit(0))["_chunks"], F.lit(1))
+    dealt = dealt.withColumn("_slice", F.col("_own") + F.col("_probe")).withColumn("_chunks", chunks)
+    dealt = dealt.withColumn("_chunk", F.pmod(F.xxhash64("_rep"), F.col("_chunks")).cast("int"))
+    # The vectors of a chunk go with those of each chunk of their slice.
     spread = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    pair = {"_lo": F.least("_chunk", "_j"), "_hi": F.greatest("_chunk", "_j")}
-    spread = spread.withColumns({k: F.when(F.col("_probe"), F.col("_j")).otherwise(c) for k, c in pair.items()})
+    spread = spread.withColumns({"_lo": F.least("_chunk", "_j"), "_hi": F.greatest("_chunk", "_j")})
     group = ["_label", "_size", "_block", "_slice", "_lo", "_hi"]
 
     def link(table: pa.Table) -> pa.Table:
-        probe = table.column("_probe").to_numpy()
+        probe = table.column("_probe").to_numpy() == 1
         ids, weight, chunks = (table.column(c).to_numpy() for c in ("_rep", "_many", "_chunk"))
         out = [np.zeros(0, np.int64)] * 3
-        if not probe.all():
+        if len(ids) > 1 and not probe.all():
             data = np.frombuffer(b"".join(table.column("_bytes").to_pylist()), np.float64).reshape(len(ids), -1)
             lo, hi = table.column("_lo")[0].as_py(), table.column("_hi")[0].as_py()
             found = Links(data, weight, blocks, table.column("_block")[0].as_py(), threshold)
-            members, asking = np.flatnonzero(~probe), np.flatnonzero(probe)
-            if lo == hi:
-                found.between(members, members, True)
-                if len(asking):
-                    found.between(asking, members, False)
-            else:
-                found.between(members[chunks[members] == lo], members[chunks[members] == hi], False)
+            members, asking = ({c: np.flatnonzero((probe == p) & (chunks == c)) for c in (lo, hi)} for p in (False, True))
+            found.between(members[lo], members[hi], lo == hi)
+            for a, b in {(lo, hi), (hi, lo)}:
+                found.between(asking[a], members[b], False)
             at = np.flatnonzero(found.count)
             out = [ids[at], ids[found.label[at]], found.count[at]]
         return pa.Table.from_arrays([pa.array(x) for x in out], names=["a", "b", "n"])

@@ -116,6 +116,33 @@ def test_embedding_links(spark, chunk):
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_only_crowded_slices_are_dealt_over_chunks(spark):
+    """Copies follow the slice, not the label: one dense slice leaves the others of its label whole."""
+    near = [("a", 4, k, k, 1, [0, k % 40], b"") for k in range(400)]
+    placed = spark.createDataFrame(near, "_label string, _size int, _rep long, _k1 long, _many long, _slices array<long>, _bytes binary")
+    got = {r["_rep"]: {(x["place"], x["_chunks"]) for x in r["_dealt"]} for r in embedding_dedup.crowded(placed, 100).collect()}
+    assert got == {k: {(0, 4), (1, 4)} for k in range(400)}
+    assert embedding_dedup.crowded(placed, 400).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [30, 100_000])
+def test_links_across_slices_of_unequal_size(spark, chunk):
+    """A crowded slice asks in a nearly empty one; each link counts once whatever the chunks."""
+    rng = np.random.default_rng(11)
+    center = rng.normal(size=16)
+    v = np.concatenate([center + rng.normal(size=(250, 16)) * 0.05, center + rng.normal(size=(20, 16)) * 0.3, rng.normal(size=(30, 16))])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.93
+    want = linked.sum(1) - 1
+    df = spark.createDataFrame([(k, x.tolist(), "one") for k, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, chunk=chunk).collect()}
+    assert [got[k]["n_links"] for k in range(300)] == want.tolist()
+    forest = Forest()
+    for i, j in zip(*np.nonzero(linked)):
+        forest.join(int(i), int(j))
+    assert all(got[k]["component_id"] == forest.find(k) for k in range(300))
+
+
 def test_rotation_keeps_distances_and_does_not_depend_on_the_batch():
     v = np.random.default_rng(1).normal(size=(50, 24))
     turned = embedding_dedup.rotated(v, 8)

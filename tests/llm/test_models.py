@@ -70,6 +70,63 @@ def test_probabilities_of_a_state_add_up_to_one(spark):
             assert math.isclose(total, 1.0)
 
 
+def automaton(rows, learn, order):
+    """States as tuples of words, one walk a text: (score, states visited with P(. | state) as a function)."""
+    taught = [["<s>", *tokens(t)] for (d, t, *_), ok in zip(rows, learn) if ok]
+    c = {k: Counter(tuple(t[i : i + k]) for t in taught for i in range(len(t) - k + 1)) for k in range(1, order + 1)}
+    starts = c[1].pop(("<s>",), 0)
+    n, v = sum(c[1].values()), len(c[1])
+    strength = {}
+    for k in range(1, order):
+        own = Counter(x.bit_length() for x in c[k].values())
+        after = Counter(0 if g[:-1] == ("<s>",) else c[k][g[:-1]].bit_length() for g in c[k + 1])
+        strength[k] = {size: max(1.0, after[size] / own[size]) if own[size] else 1.0 for size in range(64)}
+        if k == 1:
+            strength[k][0], first = 1.0, max(1.0, after[0])
+
+    def often(h):
+        return starts if h == ("<s>",) else c[len(h)][h]
+
+    def weight(h):
+        return first if h == ("<s>",) else strength[len(h)][often(h).bit_length()]
+
+    def prob(h, w):
+        if not h:
+            return (c[1][(w,)] + 0.5) / (n + 0.5 * (v + 1)) if n else 1.0
+        return (c[len(h) + 1][(*h, w)] + weight(h) * prob(h[1:], w)) / (often(h) + weight(h))
+
+    scores, states = [], set()
+    for _, t, *_ in rows:
+        state, score = ("<s>",) if starts and order > 1 else (), 0.0
+        for w in tokens(t):
+            states.add(state)
+            while state and not c[len(state) + 1][(*state, w)]:
+                score += math.log10(weight(state) / (often(state) + weight(state)))
+                state = state[1:]
+            score += math.log10(prob(state, w))
+            state = (*state, w) if state or c[1][(w,)] else ()
+            state = state[len(state) - order + 1 :] if len(state) >= order else state
+        scores.append(score)
+    words = [w for (w,) in c[1]]
+    return scores, {h: sum(prob(h, w) for w in [*words, "an unknown word"]) for h in states}
+
+
+@pytest.mark.parametrize(("order", "chunk", "piece"), [(1, 500, 1024), (2, 500, 7), (3, 2_000_000, 1024), (3, 500, 7), (4, 800, 5)])
+def test_a_carried_state_of_any_order(spark, monkeypatch, order, chunk, piece):
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(lm_score, "PIECE", piece)
+    rows = [r for r in samples.documents() if r[0] is not None and r[0] != 207]
+    rows += [(300 + k, rows[k][1], None, None, None) for k in range(20)]
+    learn = [zlib.crc32(str(d).encode()) % 5 != 1 for d, *_ in rows]
+    got = lm_score.score(samples.frame(spark, rows).withColumn("learn", remainder("doc_id", 5) != 1), order=order).collect()
+    want, sums = automaton(rows, learn, order)
+    have = sorted((r["doc_id"], r["score"]) for r in got)
+    assert np.allclose([x for _, x in have], [x for _, x in sorted(zip([d for d, *_ in rows], want))], rtol=1e-9)
+    assert all(math.isclose(x, 1.0, rel_tol=1e-9) for x in sums.values())
+    if order == 2:
+        assert np.allclose(want, [x[1] for x in brute_force(rows, learn)], rtol=1e-9)
+
+
 def test_nothing_to_learn_from(spark):
     df = samples.frame(spark).withColumn("learn", F.lit(None).cast("boolean"))
     assert {(r["base_score"], r["train_tokens"], r["n_known"]) for r in lm_score.score(df).collect()} == {(0.0, 0, 0)}

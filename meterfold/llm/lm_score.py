@@ -115,7 +115,6 @@ class Texts:
         self.learned = np.repeat(self.learn, self.sizes)
         self.first = np.cumsum(self.sizes) - self.sizes
 
-        self.place = np.arange(len(self.ids)) - np.repeat(self.first, self.sizes)
         self.levels: dict[int, tuple] = {}
 
     def before(self, x: np.ndarray, start) -> np.ndarray:
@@ -124,6 +123,10 @@ class Texts:
         out[self.first] = start
         return out
 
+    def places(self) -> np.ndarray:
+        """How many words of its text stand before each."""
+        return np.arange(len(self.ids), dtype=np.int32) - np.repeat(self.first.astype(np.int32), self.sizes)
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes of the grams of ``k`` words (the start is one) in rising order, the number of the
         gram that ends at each position (one more than there are where a text has not k words yet), and a position of each."""
@@ -132,7 +135,7 @@ class Texts:
             for n in range(2, k + 1):
                 key = mix(self.before(key, START if n == 2 else np.uint64(0)) * _A + self.vocabulary[self.ids] * _B)
             if k > 1:
-                full = np.flatnonzero(self.place >= k - 2)
+                full = np.flatnonzero(self.places() >= k - 2)
                 distinct, where, which = np.unique(key[full], return_index=True, return_inverse=True)
                 every = np.full(len(key), len(distinct))
                 every[full] = which
@@ -163,7 +166,7 @@ def walk(t: Texts, known: np.ndarray, seen: list[np.ndarray], arcs: list[np.ndar
     length = np.minimum(t.sizes[text] - number * PIECE, PIECE) + warm
     order = np.argsort(-length, kind="stable")
     text, warm, begin, length = text[order], warm[order], begin[order], length[order]
-    state = np.where((warm == 0) & started & (t.place[begin] == 0), min(1, longest), 0)
+    state = np.where((begin == t.first[text]) & started, min(1, longest), 0)
     total = np.zeros(len(text))
     active = len(text)
     for step in range(length[0] if len(length) else 0):
@@ -269,7 +272,7 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
                 counts = np.bincount(which[t.learned], minlength=len(keys) + 1)[:-1]
                 kinds = size_class(t.contexts(k - 1, answered(right, k - 2), starts)[where])
                 if k == 2:
-                    kinds[t.place[where] == 0] = 0  # the start is a state of its own
+                    kinds[t.places()[where] == 0] = 0  # the start is a state of its own
                 out += by_range(t.chunk, keys, counts, kinds, ranges)
             return pa.Table.from_batches(out) if out else pa.table({x.split()[0]: pa.array([], pa.int64() if x.endswith("long") else pa.binary()) for x in PACKED.split(", ")})
 
@@ -306,6 +309,8 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
                 arcs.append(np.log10(p))
                 fails.append(np.log10(weight / (often + weight)))
             base = np.add.reduceat(arcs[0], t.first)
+            t.levels.clear()
+            p = often = weight = count = None  # a chunk's arrays are large, and the walk needs none of these
             total = walk(t, known, seen, arcs, fails, starts > 0)
             sure = np.add.reduceat(known.astype(np.int64), t.first)
             out.append(pa.table({"doc_id": pa.array(t.doc_ids, pa.int64()), "learn": pa.array(t.learn), "n_tokens": t.sizes, "n_known": sure, "train_tokens": np.full(len(t.sizes), n), "base_score": base, "score": total}))

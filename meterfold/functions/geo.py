@@ -8,6 +8,11 @@ from meterfold import params
 _R_KM = params.EARTH_RADIUS_KM
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value taken once; lambdas run without common subexpressions."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat = F.sin(F.radians(lat2 - lat1) / 2)
     dlon = F.sin(F.radians(lon2 - lon1) / 2)
@@ -74,9 +79,7 @@ def centroid(ring: Column) -> Column:
     return F.aggregate(_edges(ring), zero, step, done)
 
 
-def contains(ring: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd test; the boundary counts as inside."""
-
+def _contains(edges: Column, lon: Column, lat: Column) -> Column:
     def on_edge(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
         cross = (bx - ax) * (lat - ay) - (by - ay) * (lon - ax)
@@ -91,34 +94,62 @@ def contains(ring: Column, lon: Column, lat: Column) -> Column:
         at = ax + F.try_divide((lat - ay) * (bx - ax), by - ay)
         return ((ay > lat) != (by > lat)) & F.coalesce(lon < at, F.lit(False))
 
-    edges = _edges(ring)
     odd = F.size(F.filter(edges, crosses)) % 2 == 1
     return F.exists(edges, on_edge) | odd
 
 
+def contains(ring: Column, lon: Column, lat: Column) -> Column:
+    """Even-odd test; the boundary counts as inside."""
+    return _contains(_edges(ring), lon, lat)
+
+
 def distance_m(ring: Column, lon: Column, lat: Column) -> Column:
     """Metres from a point to a polygon, 0 inside.
 
     The nearest point of each edge is found in a projection centred at the query
-    point, its distance is measured on the sphere.
+    point, its distance is measured on the sphere. Each step keeps what the next ones use
+    more than once, and only the nearest edge's angle becomes a distance.
     """
-    shrink = F.cos(F.radians(lat))
 
     def wrap(d: Column) -> Column:
         return F.pmod(d + 180, F.lit(360.0)) - 180
 
-    def edge_distance(e: Column) -> Column:
-        ax, ay = wrap(e["a"]["lon"] - lon) * shrink, e["a"]["lat"] - lat
-        bx, by = wrap(e["b"]["lon"] - lon) * shrink, e["b"]["lat"] - lat
-        dx, dy = bx - ax, by - ay
-        t = F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        near_lat = lat + ay + t * dy
-        near_lon = lon + wrap(e["a"]["lon"] - lon) + t * wrap(e["b"]["lon"] - e["a"]["lon"])
-        return haversine_km(lat, lon, near_lat, near_lon) * 1000
-
-    nearest = F.array_min(F.transform(_edges(ring), edge_distance))
-    return F.when(contains(ring, lon, lat), F.lit(0.0)).otherwise(nearest)
+    def from_point(e: Column, shrink: Column) -> Column:
+        east = wrap(e["a"]["lon"] - lon)
+        bx = wrap(e["b"]["lon"] - lon) * shrink
+        return F.struct(
+            east.alias("east"), (east * shrink).alias("ax"), (e["a"]["lat"] - lat).alias("ay"), bx.alias("bx"),
+            (e["b"]["lat"] - lat).alias("by"), wrap(e["b"]["lon"] - e["a"]["lon"]).alias("span"),
+        )
+
+    def with_course(e: Column) -> Column:
+        return F.struct(e["east"].alias("east"), e["ax"].alias("ax"), e["ay"].alias("ay"), e["span"].alias("span"),
+                        (e["bx"] - e["ax"]).alias("dx"), (e["by"] - e["ay"]).alias("dy"))
+
+    def with_foot(e: Column) -> Column:
+        t = F.coalesce(F.try_divide(-(e["ax"] * e["dx"] + e["ay"] * e["dy"]), e["dx"] * e["dx"] + e["dy"] * e["dy"]), F.lit(0.0))
+        return F.struct(e.alias("e"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)).alias("t"))
+
+    def nearest_point(f: Column) -> Column:
+        e, t = f["e"], f["t"]
+        return F.struct((lat + e["ay"] + t * e["dy"]).alias("lat"), (lon + e["east"] + t * e["span"]).alias("lon"))
+
+    def half_sines(p: Column) -> Column:
+        return F.struct(
+            F.sin(F.radians(p["lat"] - lat) / 2).alias("dlat"), F.sin(F.radians(p["lon"] - lon) / 2).alias("dlon"), F.cos(F.radians(p["lat"])).alias("shrink")
+        )
+
+    def nearest(edges: Column, shrink: Column) -> Column:
+        points = F.transform(F.transform(F.transform(F.transform(edges, lambda e: from_point(e, shrink)), with_course), with_foot), nearest_point)
+        # rounding can push the value beyond 1 for antipodal points
+        chords = F.transform(F.transform(points, half_sines), lambda h: F.least(h["dlat"] * h["dlat"] + shrink * h["shrink"] * h["dlon"] * h["dlon"], F.lit(1.0)))
+        return _let(F.array_min(chords), lambda a: F.atan2(F.sqrt(a), F.sqrt(1 - a)) * (2 * _R_KM) * 1000)
+
+    def from_edges(known: Column) -> Column:
+        edges, shrink = known["edges"], known["shrink"]
+        return F.when(_contains(edges, lon, lat), F.lit(0.0)).otherwise(nearest(edges, shrink))
+
+    return _let(F.struct(_edges(ring).alias("edges"), F.cos(F.radians(lat)).alias("shrink")), from_edges)
 
 
 def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:

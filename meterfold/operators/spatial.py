@@ -9,6 +9,8 @@ from meterfold import params
 from meterfold.functions import geo
 
 _ROWS_PER_BLOCK = 2_000
+#: Smaller where each pair within reach costs an exact distance.
+_POINTS_PER_BLOCK = 500
 
 
 def near_point(macrozones: DataFrame, lat: float, lon: float, radius_m: float) -> DataFrame:
@@ -68,16 +70,26 @@ _CELL = ["_level", "_cx", "_cy", "_cz"]
 
 
 def _ball(lat: Column, lon: Column, radians: Column) -> list[Column]:
-    """A cap of the sphere: its centre as a unit vector and the level whose cubes are twice as wide as its reach."""
+    """A cap of the sphere: its centre as a unit vector, its reach as a chord and the level whose cubes are twice as wide."""
     chord = 2 * F.sin(F.least(radians, F.lit(math.pi)) / 2) * (1 + 1e-9) + 1e-9
     x, y, z = geo.unit_vector(lat, lon)
     level = F.greatest(F.lit(0), F.least(F.lit(_LEVELS), F.floor(F.log2(2 / chord)))).cast("int")
-    return [x.alias("_x"), y.alias("_y"), z.alias("_z"), level.alias("_own")]
+    return [x.alias("_x"), y.alias("_y"), z.alias("_z"), chord.alias("_chord"), level.alias("_own")]
+
+
+def _caps_meet(left: str, right: str) -> Column:
+    """Whether two caps can share a point: chords add up to at least that of the summed angles."""
+    apart = F.lit(0.0)
+    for c in ("_x", "_y", "_z"):
+        d = F.col(left + c) - F.col(right + c)
+        apart = apart + d * d
+    both = F.col(left + "_chord") + F.col(right + "_chord")
+    return F.nanvl(apart, F.lit(0.0)) <= both * both
 
 
 def _in_cubes(df: DataFrame) -> DataFrame:
-    side = 4 / F.pow(F.lit(2.0), F.col("_level"))
-    return df.withColumns({c: F.floor((F.col(v) + 1) / side).cast("long") for c, v in zip(_CELL[1:], ("_x", "_y", "_z"))})
+    df = df.withColumn("_side", 4 / F.pow(F.lit(2.0), F.col("_level")))
+    return df.withColumns({c: F.floor((F.col(v) + 1) / F.col("_side")).cast("long") for c, v in zip(_CELL[1:], ("_x", "_y", "_z"))})
 
 
 def _with_touching(df: DataFrame) -> DataFrame:
@@ -85,10 +97,10 @@ def _with_touching(df: DataFrame) -> DataFrame:
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     for c in _CELL[1:]:
         df = df.withColumn("_d", F.explode(around)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
-    return df.filter(_touches_sphere(_CELL[1:], 4 / F.pow(F.lit(2.0), F.col("_level"))))
+    return df.filter(_touches_sphere(_CELL[1:], F.col("_side")))
 
 
-def near_points(points: DataFrame, macrozones: DataFrame, rows_per_block: int = _ROWS_PER_BLOCK) -> DataFrame:
+def near_points(points: DataFrame, macrozones: DataFrame, rows_per_block: int = _POINTS_PER_BLOCK) -> DataFrame:
     """For many points at once the macrozones that contain them or lie within their radius.
 
     ``points`` has point_id, lat, lon, radius_m; the result has point_id, region_name, name and
@@ -97,10 +109,13 @@ def near_points(points: DataFrame, macrozones: DataFrame, rows_per_block: int =
     Points and polygons are put into caps of the unit sphere, which knows no pole and no date line.
     A cap belongs to cubes at least twice as wide as its reach; a pair meets at the coarser level of
     its two sides, in the same or a touching cube. So a small radius costs little beside a large one,
-    and every pair is tested once. Crowded cubes are cut into blocks.
+    and every pair is tested once. Crowded cubes are cut into blocks. Most pairs of a cube and those around
+    it are too far apart; their caps say so, and only the rest get the exact distance, once.
     """
     given = points.select("point_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("radius_m").cast("double").alias("radius_m"))
     given = given.filter("lat IS NOT NULL AND lon IS NOT NULL AND radius_m >= 0 AND NOT isnan(radius_m)")
+    # A point is a short row with much to do: a small file of them is dealt out first.
+    given = given.repartition("point_id", "lat", "lon")
     reach = F.col("radius_m") / 1000 / params.EARTH_RADIUS_KM
     asking = given.select("*", *_ball(F.col("lat"), F.col("lon"), reach), F.xxhash64("point_id", "lat", "lon").alias("_h"))
 
@@ -121,15 +136,20 @@ def near_points(points: DataFrame, macrozones: DataFrame, rows_per_block: int =
     def coarser(df: DataFrame, found: list[int], strictly: bool) -> DataFrame:
         """Rows at every level of the other side that is not finer than their own."""
         at = F.filter(F.array(*[F.lit(n) for n in found]), lambda n: (n < F.col("_own")) if strictly else (n <= F.col("_own")))
-        return _in_cubes(df.withColumn("_level", F.explode(at))).drop("_own", "_x", "_y", "_z")
+        return _in_cubes(df.withColumn("_level", F.explode(at)))
 
     def at_own(df: DataFrame) -> DataFrame:
-        return _with_touching(_in_cubes(df.withColumn("_level", F.col("_own")))).drop("_own", "_x", "_y", "_z")
+        return _with_touching(_in_cubes(df.withColumn("_level", F.col("_own"))))
+
+    def sided(df: DataFrame, prefix: str) -> DataFrame:
+        return df.drop("_own", "_side").withColumnsRenamed({c: prefix + c for c in ("_x", "_y", "_z", "_chord")})
 
-    wider = _blocked_join(at_own(asking), coarser(zones, levels(asking), False), _CELL, rows_per_block)
-    finer = _blocked_join(at_own(zones), coarser(asking, levels(zones), True), _CELL, rows_per_block)
-    met = wider.unionByName(finer).withColumn("distance_m", geo.distance_m(F.col("ring"), F.col("lon"), F.col("lat")))
-    return met.filter(F.col("distance_m") <= F.col("radius_m")).select("point_id", "region_name", "name", "distance_m")
+    wider = _blocked_join(sided(at_own(asking), "p"), sided(coarser(zones, levels(asking), False), "z"), _CELL, rows_per_block)
+    finer = _blocked_join(sided(at_own(zones), "z"), sided(coarser(asking, levels(zones), True), "p"), _CELL, rows_per_block)
+    met = wider.filter(_caps_meet("p", "z")).unionByName(finer.filter(_caps_meet("p", "z")))
+    # An exploded array of one value instead of a filter, which would take the distance twice.
+    near = F.filter(F.array(geo.distance_m(F.col("ring"), F.col("lon"), F.col("lat"))), lambda d: d <= F.col("radius_m"))
+    return met.select("point_id", "region_name", "name", F.explode(near).alias("distance_m"))
 
 
 def neighbours(places: DataFrame, radius_m: float, rows_per_block: int = _ROWS_PER_BLOCK) -> DataFrame:

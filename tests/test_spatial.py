@@ -75,6 +75,32 @@ def test_many_points_equal_one_by_one(spark):
     assert spatial.near_points(asked.limit(0), rings).collect() == spatial.near_points(asked, rings.limit(0)).collect() == []
 
 
+def test_far_pairs_get_no_exact_distance(spark):
+    """Pairs of a join are told apart by their caps; the distance is worked out once for each that is left."""
+    zones = spark.createDataFrame([("r", f"m{i}", i * 0.5, 45.0) for i in range(20)], "region_name string, name string, lon0 double, lat0 double")
+    zones = zones.withColumn("ring", geo.square(F.col("lon0"), F.col("lat0"), 0.02))
+    asked = spark.createDataFrame([(1, 45.01, 0.01, 60_000.0), (2, 45.01, 5.01, 100.0)], "point_id long, lat double, lon double, radius_m double")
+    found = spatial.near_points(asked, zones)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    tested = [x for x in lines if "Join" in x or "Filter" in x]
+    assert not any("ATAN2" in x for x in tested) and sum("Join" in x and "chord" in x for x in tested) == 2
+    assert sorted((r.point_id, r.name) for r in found.collect()) == [(1, "m0"), (1, "m1"), (2, "m10")]
+
+
+def test_distance_of_odd_rings(spark):
+    """Inside, on the border, across the date line, beside a ring of one point, without a ring."""
+    ring = lambda *ps: [{"lon": float(x), "lat": float(y)} for x, y in ps]
+    rows = [
+        (0, ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0)), 1.0, 1.0), (1, ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0)), 2.0, 1.0),
+        (2, ring((179, 0), (-179, 0), (-179, 1), (179, 1), (179, 0)), 180.0, -1.0), (3, ring((5, 5), (5, 5)), 5.0, 6.0), (4, None, 1.0, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "id long, ring array<struct<lon:double,lat:double>>, lon double, lat double")
+    got = {r.id: r.d for r in df.select("id", geo.distance_m(F.col("ring"), F.col("lon"), F.col("lat")).alias("d")).collect()}
+    degree = math.radians(1) * 6_371_000
+    assert got[0] == got[1] == 0.0 and got[4] is None
+    assert got[2] == pytest.approx(degree) and got[3] == pytest.approx(degree)
+
+
 def test_with_neighbours(spark):
     pairs = spark.createDataFrame([("r", "a", "q", "b"), ("q", "b", "r", "a"), ("r", "a", "r", "c")], "region_name string, name string, neighbour_region string, neighbour string")
     asked = spark.createDataFrame([("r", "a"), ("r", "c")], "region_name string, name string")

@@ -93,79 +93,111 @@ def trimmed_mean(df: DataFrame, value: str, keys: list[str] = (), sigmas: float
 
 
 _QUANTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
-_BRACKET = "metric string, rank long, lo double, hi double, below long"
 
 
-def _in_brackets(long: DataFrame, brackets: list[tuple]) -> DataFrame:
-    """Values with each bracket of their metric that holds them; there are at most ten brackets a metric."""
-    found = long.sparkSession.createDataFrame(brackets, _BRACKET)
-    inside = (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
-    return long.join(found, "metric").filter(inside)
+def _ordered(values) -> list[float]:
+    """Distinct values in Spark's order: NaN is the largest."""
+    found = {(math.isnan(v), 0.0 if math.isnan(v) else v): v for v in values}
+    return [found[k] for k in sorted(found)]
 
 
-def _narrowed(long: DataFrame, brackets: list[tuple], sizes: dict, accuracy: int) -> list[tuple]:
-    """Each bracket cut down to the neighbourhood of its rank: a sketch proposes ends, exact counts judge them."""
+def _piece(cuts: dict[str, list[float]]) -> Column:
+    """Where a value lies among the ordered cuts of its metric: 2 i before cut i, 2 i + 1 on it."""
+    out = F.lit(0)
+    for metric, values in cuts.items():
+        at = F.lit(0)
+        for c in values:
+            at = at + (F.col("value") >= c).cast("int") + (F.col("value") > c).cast("int")
+        out = F.when(F.col("metric") == metric, at).otherwise(out)
+    return out
+
+
+def _in_pieces(long: DataFrame, cuts: dict[str, list[float]], pieces: list[tuple[str, int]]) -> DataFrame:
+    """Values of the given pieces, which are at most ten a metric."""
+    inside = F.lit(False)
+    for metric in {m for m, _ in pieces}:
+        inside = inside | ((F.col("metric") == metric) & F.col("piece").isin([p for m, p in pieces if m == metric]))
+    return long.withColumn("piece", _piece(cuts)).filter(inside)
+
+
+def _sketched(long: DataFrame, cuts: dict[str, list[float]], wide: dict[tuple, tuple], accuracy: int) -> dict[str, list[float]]:
+    """More cuts: two values around each rank of the wide pieces, proposed by one sketch a piece."""
     step = 2.0 / accuracy
 
-    def around(metric: str, rank: int, below: int) -> tuple[float, float]:
-        q = (rank - below + 0.5) / sizes[metric, rank]
+    def around(rank: int, below: int, n: int) -> tuple[float, float]:
+        q = (rank - below + 0.5) / n
         return round(max(0.0, q - step), 12), round(min(1.0, q + step), 12)
 
-    shares = sorted({s for m, r, _, _, below in brackets for s in around(m, r, below)})
-    sketch = _in_brackets(long, brackets).groupBy("metric", "rank").agg(F.percentile_approx("value", shares, accuracy).alias("at")).collect()
-    below_of = {(m, r): below for m, r, _, _, below in brackets}
-    ends = {}
-    for row in sketch:
-        key = row["metric"], row["rank"]
-        ends[key] = tuple(row["at"][shares.index(s)] for s in around(*key, below_of[key]))
-    proposed = long.sparkSession.createDataFrame([(*key, *e) for key, e in ends.items()], "metric string, rank long, left double, right double")
-    v, left, right = F.col("value"), F.col("left"), F.col("right")
-    counts = _in_brackets(long, brackets).join(proposed, ["metric", "rank"]).groupBy("metric", "rank").agg(
-        F.count_if(v < left).alias("under"), F.count_if(v < right).alias("until"), F.count_if(v <= right).alias("upto")
-    )
-    counted = {(r["metric"], r["rank"]): r for r in counts.collect()}
-    out = []
-    for m, rank, lo, hi, below in brackets:
-        (first, last), n = ends[m, rank], counted[m, rank]
-        if rank < below + n["under"]:  # the sketch missed: the rank lies before its ends
-            out.append((m, rank, lo, first, below))
-        elif rank >= below + n["upto"]:  # or behind them
-            out.append((m, rank, last, hi, below + n["until"]))
-        else:
-            out.append((m, rank, first, last, below + n["under"]))
+    wanted = {key: {s for r in ranks for s in around(r, below, n)} for key, (below, n, ranks) in wide.items()}
+    shares = sorted(set().union(*wanted.values()))
+    sketch = _in_pieces(long, cuts, list(wide)).groupBy("metric", "piece").agg(F.percentile_approx("value", shares, accuracy).alias("at"))
+    out = dict(cuts)
+    for row in sketch.collect():
+        m = row["metric"]
+        out[m] = _ordered([*out[m], *(row["at"][shares.index(s)] for s in wanted[m, row["piece"]])])
     return out
 
 
+def _located(long: DataFrame, cuts: dict[str, list[float]], ranks: list[tuple[str, int]]) -> tuple[list[tuple], dict[tuple, tuple]]:
+    """Ranks whose value is a cut, with it, and for each piece that holds others (rows before it, its rows, ranks)."""
+    counted = long.groupBy("metric", _piece(cuts).alias("piece")).agg(F.count("*").alias("n")).collect()
+    sizes = {(r["metric"], r["piece"]): r["n"] for r in counted}
+    below, total = {}, dict.fromkeys(cuts, 0)
+    for m, p in sorted(sizes):
+        below[m, p] = total[m]
+        total[m] += sizes[m, p]
+    done, left = [], {}
+    for m, rank in ranks:
+        key = next(k for k in below if k[0] == m and below[k] <= rank < below[k] + sizes[k])
+        if key[1] % 2:
+            done.append((m, rank, cuts[m][key[1] // 2]))
+        else:
+            left.setdefault(key, (below[key], sizes[key], []))[2].append(rank)
+    return done, left
+
+
+def _needed(cuts: dict[str, list[float]], left: dict[tuple, tuple]) -> tuple[dict[str, list[float]], dict[tuple, tuple]]:
+    """Only the cuts beside the pieces that are left, and the pieces under their new numbers."""
+    kept = {m: sorted({i for n, p in left if n == m for i in (p // 2 - 1, p // 2) if 0 <= i < len(values)}) for m, values in cuts.items()}
+    moved = {(m, 2 * sum(i < p // 2 for i in kept[m])): found for (m, p), found in left.items()}
+    return {m: [cuts[m][i] for i in at] for m, at in kept.items()}, moved
+
+
 def box_plot(df: DataFrame, columns: list[str], enough: int = 100_000, accuracy: int = 10_000) -> DataFrame:
     """min, q1, median, q3, max (linear interpolation) of each column, exact at any size.
 
-    Every wanted rank is narrowed to a bracket of values: a mergeable sketch proposes its ends,
-    counting says which side the rank lies on. Each round is two aggregations that leave
-    about 1 / 2,500 of the rows, so two rounds do for any table. Once a bracket holds
-    at most ``enough`` rows, or a round changes nothing because a few values repeat, its values are
-    counted and ranked. Only some numbers for each column reach the driver.
+    Cuts divide the values of a column into pieces, and into those equal to a cut. A mergeable sketch
+    proposes two cuts around each wanted rank, counting the rows of all pieces says where the rank
+    lies: on a cut, which is then its value, or in a piece, which is about 1 / 2,500 of the rows. Pieces of
+    more than ``enough`` rows are divided again, so two rounds do for any table; a cut is a value
+    of its piece, so every round leaves less. The values of the last pieces are counted and ranked.
+    Every step is one scan with a partial aggregation, and no row is repeated for a rank.
+    Only some numbers for each column reach the driver.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "metric", "value")
     long = long.filter(F.col("value").isNotNull())
     totals = {r["metric"]: r["n"] for r in long.groupBy("metric").agg(F.count("*").alias("n")).collect()}
-    wanted = [(m, name, q * (n - 1)) for m, n in totals.items() for name, q in _QUANTILES.items()]
-    brackets = [(m, r, None, None, 0) for m, r in sorted({(m, r) for m, _, h in wanted for r in (math.floor(h), math.ceil(h))})]
-    done: list[tuple] = []
-    sizes = {(m, r): totals[m] for m, r, *_ in brackets}
-    while wide := [b for b in brackets if sizes[b[:2]] > enough and not (b[2] is not None and b[2] == b[3])]:
-        done += [b for b in brackets if b not in wide]
-        brackets = _narrowed(long, wide, sizes, accuracy)
-        left = {(r["metric"], r["rank"]): r["n"] for r in _in_brackets(long, brackets).groupBy("metric", "rank").agg(F.count("*").alias("n")).collect()}
-        still = [b for b in brackets if left[b[:2]] == sizes[b[:2]]]
-        done += still
-        brackets = [b for b in brackets if b not in still]
-        sizes |= left
-    done += brackets
-    if not done:
+    if not totals:
         return df.sparkSession.createDataFrame([], "metric string, " + ", ".join(f"{n} double" for n in _QUANTILES))
-    counted = _in_brackets(long, done).groupBy("metric", "rank", "below", "value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("metric", "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    found = counted.withColumn("upto", F.col("below") + upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    wanted = [(m, name, q * (n - 1)) for m, n in totals.items() for name, q in _QUANTILES.items()]
+    ranks: dict[str, set[int]] = {m: set() for m in totals}
+    for m, _, h in wanted:
+        ranks[m] |= {math.floor(h), math.ceil(h)}
+    cuts: dict[str, list[float]] = {m: [] for m in totals}
+    left = {(m, 0): (0, n, sorted(ranks[m])) for m, n in totals.items()}
+    values: list[tuple] = []
+    while wide := {key: found for key, found in left.items() if found[1] > enough}:
+        cuts = _sketched(long, cuts, wide, accuracy)
+        done, left = _located(long, cuts, [(m, r) for (m, _), (_, _, held) in left.items() for r in held])
+        values += done
+        cuts, left = _needed(cuts, left)
+    found = df.sparkSession.createDataFrame(values, "metric string, rank long, value double")
+    if left:
+        sought = df.sparkSession.createDataFrame([(m, p, below, r) for (m, p), (below, _, held) in left.items() for r in held], "metric string, piece int, below long, rank long")
+        counted = _in_pieces(long, cuts, list(left)).groupBy("metric", "piece", "value").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("metric", "piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        last = counted.withColumn("upto", upto).join(sought, ["metric", "piece"]).withColumn("at", F.col("rank") - F.col("below"))
+        found = found.unionByName(last.filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select("metric", "rank", "value"))
     asked = df.sparkSession.createDataFrame(
         [(m, name, r, h - math.floor(h)) for m, name, h in wanted for r in {math.floor(h), math.ceil(h)}], "metric string, name string, rank long, part double"
     )

@@ -77,3 +77,26 @@ def test_trimmed_mean_of_a_large_group(spark):
     values = np.array([k % 50 + 900 * (k % 100 == 0) for k in range(2000)], float)
     kept = values[values <= values.mean() + 2 * values.std(ddof=1)]
     assert got == {"hot": (pytest.approx(kept.mean()), len(kept)), "one": (3.0, 1)}
+
+
+def test_box_plot_repeats_no_row_for_a_rank(spark, monkeypatch):
+    """Whole tables are scanned and added up; only the last, small pieces meet the ranks."""
+    df = spark.range(5000).select((F.col("id") % 977).cast("double").alias("a"), F.sqrt("id").alias("b")).repartition(3)
+    joined, join = [], type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, *a, **k: (joined.append(self.columns), join(self, *a, **k))[1])
+    got = {r.metric: [r["min"], r.q1, r.median, r.q3, r["max"]] for r in quality.box_plot(df, ["a", "b"], 10, 100).collect()}
+    ids = np.arange(5000)
+    assert got["a"] == pytest.approx(np.quantile(ids % 977, [0, 0.25, 0.5, 0.75, 1]).tolist())
+    assert got["b"] == pytest.approx(np.quantile(np.sqrt(ids), [0, 0.25, 0.5, 0.75, 1]).tolist())
+    assert ["metric", "value"] not in joined
+
+
+def test_box_plot_of_infinite_and_missing_numbers(spark):
+    values = [float("nan")] * 300 + [float("inf")] * 200 + [-float("inf")] * 150 + [float(k % 90) for k in range(350)]
+    random.Random(8).shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values], "a double").repartition(3)
+    rows = [quality.box_plot(df, ["a"], enough, 100).first() for enough in (5, 100_000)]
+    assert str(rows[0]) == str(rows[1])
+    # 999 / 4 lies between the ranks 249 and 250; NaN is the largest
+    finite = sorted(v for v in values if v == v)
+    assert rows[0].q1 == pytest.approx(finite[249] + (finite[250] - finite[249]) * 0.75) and np.isnan(rows[0]["max"])

@@ -54,57 +54,72 @@ def yearly_variation(macro_daily: DataFrame, first: dt.date, last: dt.date | Non
     return pairs.withColumn("delta_perc", percent_change(F.col("current"), F.col("previous")))
 
 
-def neighbour_variations(variations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each own variation the neighbours' of the same type and day, one row each.
+_DAYS = 64
+
+
+def _block(day: Column) -> list[Column]:
+    """The 64 days a day belongs to, and its place there."""
+    n = F.datediff(day, F.lit(dt.date(1970, 1, 1)))
+    return [F.floor(n / _DAYS).alias("_block"), F.pmod(n, F.lit(_DAYS)).alias("_bit")]
+
+
+def _neighbour_days(own: DataFrame, theirs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of ``theirs`` (neighbour_region, neighbour, type, day, ...) for every own row they are a neighbour of.
 
-    Own rows are sent to the neighbours first, so the large join has the fine key.
+    An own row is known by its key alone, so a macrozone's days of a type travel to its neighbours as bits of
+    64 days each; a row of own days and one of theirs meet there, and the bit says which days both have.
     """
+    near = pairs.withColumnRenamed("name", "macrozone_name").drop("distance_m")
+    # Rows that repeat a key count as often as they come; their days travel apart.
+    days = own.repartition(*KEYS).groupBy(*KEYS, "day").agg(F.count(F.lit(1)).alias("_times")).select(*KEYS, "_times", *_block(F.col("day")))
+    packed = days.groupBy(*KEYS, "_times", "_block").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_days"))
+    sent = packed.join(near, ["region_name", "macrozone_name"])
+    met = sent.join(theirs.select("*", *_block(F.col("day"))), ["neighbour_region", "neighbour", "type", "_block"])
+    both = met.filter(F.getbit("_days", F.col("_bit")) == 1).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    keys = ["neighbour_region", "neighbour", "type", "day", "region_name", "macrozone_name"]
+    rest = [c for c in [*near.columns, *theirs.columns] if c not in keys]
+    return both.select(*keys, *rest)
+
+
+def neighbour_variations(variations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each own variation the neighbours' of the same type and day, one row each."""
     theirs = variations.withColumnsRenamed(
         {"region_name": "neighbour_region", "macrozone_name": "neighbour"}
     )
-    near = pairs.withColumnRenamed("name", "macrozone_name").drop("distance_m")
-    own = variations.select(*KEYS, "day").join(near, ["region_name", "macrozone_name"])
-    return own.join(theirs, ["neighbour_region", "neighbour", "type", "day"])
+    return _neighbour_days(variations, theirs, pairs)
 
 
 _VALUES = ["current", "previous", "delta_perc"]
 
 
-def _spread(around: DataFrame, keys: list[str], prefix: str, nested: bool) -> DataFrame:
-    delta = F.col(f"{prefix}delta_perc")
-    aggs = [F.avg(delta).alias("neighbor_mean"), F.stddev_pop(delta).alias("neighbor_std_dev")]
-    if nested:
-        item = F.struct("neighbour_region", "neighbour", *[F.col(f"{prefix}{c}").alias(c) for c in _VALUES])
-        aggs.append(F.sort_array(F.collect_list(item)).alias("neighbor_variation"))
-    return around.groupBy(*keys).agg(*aggs)
-
-
 def neighbour_spread(around: DataFrame, nested: bool = False) -> DataFrame:
     """Mean and population deviation of the neighbours' changes; ``nested`` also lists them."""
-    return _spread(around, [*KEYS, "day"], "", nested)
+    aggs = [F.avg("delta_perc").alias("neighbor_mean"), F.stddev_pop("delta_perc").alias("neighbor_std_dev")]
+    if nested:
+        item = F.struct("neighbour_region", "neighbour", *_VALUES)
+        aggs.append(F.sort_array(F.collect_list(item)).alias("neighbor_variation"))
+    return around.groupBy(*KEYS, "day").agg(*aggs)
 
 
 def anomalies(variations: DataFrame, pairs: DataFrame, nested: bool = False) -> DataFrame:
     """Own change against the neighbours'. No row without neighbours; z is 0 when they agree.
 
-    Own rows are first sent to their neighbours and then meet the neighbour's row of the
-    same type and day: the large join has a fine-grained key, and days without an own
-    value never reach it. ``nested=True`` adds the neighbours as an array, which is as long as the radius makes
+    The spread of the neighbours depends on the own key only, so own values stay where they are
+    and meet it in the end. ``nested=True`` adds the neighbours as an array, which is as long as the radius makes
     it; ``neighbour_variations`` gives the same as rows.
     """
-    near = pairs.withColumnRenamed("name", "macrozone_name").drop("distance_m")
-    theirs = variations.select(
-        F.col("region_name").alias("neighbour_region"), F.col("macrozone_name").alias("neighbour"), "type", "day",
-        *[F.col(c).alias(f"_{c}") for c in _VALUES],
-    )
-    around = variations.join(near, ["region_name", "macrozone_name"]).join(
-        theirs, ["neighbour_region", "neighbour", "type", "day"]
-    )
-    # the own values depend on the key and only travel along
-    rows = _spread(around, [*KEYS, "day", *_VALUES], "_", nested)
+    mine = variations.groupBy(*KEYS, "day", *_VALUES).agg(F.count(F.lit(1)).alias("_times"))
+    theirs = variations.withColumnsRenamed({"region_name": "neighbour_region", "macrozone_name": "neighbour"})
+    theirs = theirs.select("neighbour_region", "neighbour", "type", "day", *_VALUES)
+    around = _neighbour_days(variations.select(*KEYS, "day").distinct(), theirs, pairs)
+    rows = mine.join(neighbour_spread(around, nested), [*KEYS, "day"])
+    if nested:
+        # an own row that comes twice has every neighbour twice
+        each = F.flatten(F.transform("neighbor_variation", lambda v: F.array_repeat(v, F.col("_times").cast("int"))))
+        rows = rows.withColumn("neighbor_variation", each)
     off = F.col("delta_perc") - F.col("neighbor_mean")
     z = F.when(F.col("neighbor_std_dev") != 0, off / F.col("neighbor_std_dev")).otherwise(F.lit(0.0))
-    return rows.withColumn("abs_error", F.abs(off)).withColumn("z_score", z)
+    return rows.drop("_times").withColumn("abs_error", F.abs(off)).withColumn("z_score", z)
 
 
 def with_centre(stats: DataFrame, places: DataFrame) -> DataFrame:

@@ -212,8 +212,15 @@ FROM variation o JOIN pairs p ON p.region_name = o.region_name AND p.name = o.ma
 JOIN variation v ON v.region_name = p.neighbour_region AND v.macrozone_name = p.neighbour AND v.type = o.type AND v.day = o.day"""
 
 
+def variation_once(t):
+    """The variation as an intermediate table, for analyses that read it as own rows and as neighbours'."""
+    path = scratch_path(t.spark, "variation")
+    variation(t).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 def neighbours_of(t):
-    return analysis.neighbour_variations(variation(t), spatial.neighbours(t.places, FAR))
+    return analysis.neighbour_variations(variation_once(t), spatial.neighbours(t.places, FAR))
 
 
 @query("j12", f"SELECT * REPLACE (round(current, 6) AS current, round(previous, 6) AS previous, round(delta_perc, 6) AS delta_perc) FROM ({_AROUND})")
@@ -242,7 +249,7 @@ def _anomaly_columns(df):
 
 @query("w7", _W7)
 def w7(t):
-    return _anomaly_columns(analysis.anomalies(variation(t), spatial.neighbours(t.places, FAR)))
+    return _anomaly_columns(analysis.anomalies(variation_once(t), spatial.neighbours(t.places, FAR)))
 
 
 @query("e9", _W7.replace("SELECT v.region_name", "SELECT (SELECT string_agg(a.neighbour, ';' ORDER BY a.neighbour) FROM (" + _AROUND + ") a WHERE a.region_name = v.region_name AND a.macrozone_name = v.macrozone_name AND a.type = v.type AND a.day = v.day) AS neighbor_variation, v.region_name") + f" WHERE v.day = {ts(dt.datetime(2000, 6, 30))}")

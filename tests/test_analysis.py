@@ -114,3 +114,26 @@ def test_trend_similarity(spark):
     assert [s.avg_value for s in a.macrozone_series] == [1, 2, 3, 4, 5]  # only days in both, by day
     one = got["single"]
     assert (one.correlation, one.slope_macro, one.slope_region, one.divergence) == (0.0, 0.0, 0.0, 0.5)
+
+
+def test_neighbours_days_travel_packed_and_equal_the_plain_join(spark):
+    """Days far apart and before 1970, repeated and missing keys; own rows meet the pairs as bits of 64 days."""
+    rng = __import__("random").Random(2)
+    days = [dt.date(1969, 12, 30) + dt.timedelta(days=k) for k in (0, 1, 2, 3, 63, 64, 65, 66, 67, 128, 400)]
+    rows = [("r", m, t, d, 1.0, 2.0, float(rng.randint(0, 99))) for m in "abcd" for t in "xy" for d in days if rng.random() < 0.7]
+    rows += rows[:7] + rows[3:5] + [("r", "a", "x", None, 1.0, 2.0, 3.0), ("r", "b", None, days[0], 1.0, 2.0, 3.0), (None, "a", "x", days[0], 1.0, 2.0, 3.0)]
+    v = spark.createDataFrame(rows, "region_name string, macrozone_name string, type string, day date, current double, previous double, delta_perc double")
+    near = [(a, b) for a in "abcd" for b in "abcde" if a != b and (a, b) != ("c", "a")]
+    pairs = spark.createDataFrame([("r", a, "r", b, 1.0) for a, b in near], "region_name string, name string, neighbour_region string, neighbour string, distance_m double")
+    got = analysis.neighbour_variations(v, pairs)
+    want = sorted(
+        (o[1], w[1], o[2], o[3], w[6]) for o in rows for w in rows
+        if None not in o[:4] and o[2:4] == w[2:4] and (o[1], w[1]) in near and w[0] == "r"
+    )
+    assert sorted((r.macrozone_name, r.neighbour, r.type, r.day, r.delta_perc) for r in got.collect()) == want
+    assert "bit_or" in got._jdf.queryExecution().optimizedPlan().toString()
+    found = analysis.anomalies(v, pairs, nested=True).collect()
+    assert len(found) == len({o for o in rows if any(w[:3] == (o[1], w[1], o[2]) and w[3] == o[3] for w in want)})
+    assert all(len(r.neighbor_variation) == sum(w[0] == r.macrozone_name and w[2:4] == (r.type, r.day) for w in want) // max(
+        1, sum(o[:4] == (r.region_name, r.macrozone_name, r.type, r.day) for o in rows)) * sum(
+        o == (r.region_name, r.macrozone_name, r.type, r.day, r.current, r.previous, r.delta_perc) for o in rows) for r in found)
